@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import SegmentConfig
 from ..functions.hashing import seeded_unit
+from .ordering import position_within
 
 SPLITS = ("train", "validation", "test")
 
@@ -28,26 +29,21 @@ def hash_split(features: DataFrame, config: SegmentConfig = SegmentConfig()) ->
     return features.withColumn("split", split_label(F.col("customer_id"), config))
 
 
-def chrono_split(features: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
+def chrono_split(features: DataFrame, config: SegmentConfig = SegmentConfig(), key_prefix: int = 4) -> DataFrame:
     """Cut the (as_of_date, customer_id) order at 1 - test - validation and 1 - test.
 
-    Positions come from cohort totals (one small aggregate) plus the rank inside the
-    cohort; the in-cohort rank is a window per cohort over ``customer_id``.
+    Positions come from :func:`position_within` with (as_of_date, key prefix) buckets,
+    so no cohort is ranked inside one task; the total is one small aggregate.
     """
-    cohorts = features.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("_cn"))
-    cw = Window.orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, -1)
-    cohorts = cohorts.withColumn("_cstart", F.coalesce(F.sum("_cn").over(cw), F.lit(0))).withColumn(
-        "_n", F.sum("_cn").over(Window.partitionBy())
-    )
-    inner = Window.partitionBy("as_of_date").orderBy("customer_id")
-    ranked = features.join(F.broadcast(cohorts), "as_of_date").withColumn(
-        "_pos", F.col("_cstart") + F.row_number().over(inner) - 1
-    )
+    coarse = F.struct(F.col("as_of_date"), F.substring(F.col("customer_id"), 1, key_prefix))
+    ranked = position_within(features, [], ["as_of_date", "customer_id"], coarse, out="_pos", base=0)
+    total = features.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ranked.crossJoin(F.broadcast(total))
     n = F.col("_n")
     test_start = F.greatest(F.lit(1), F.floor(n * F.lit(1 - config.test_fraction)))
     val_start = F.greatest(F.lit(1), F.floor(n * F.lit(1 - config.test_fraction - config.validation_fraction)))
     label = F.when(F.col("_pos") < val_start, "train").when(F.col("_pos") < test_start, "validation").otherwise("test")
-    return ranked.withColumn("split", label).drop("_cn", "_cstart", "_n", "_pos")
+    return ranked.withColumn("split", label).drop("_n", "_pos")
 
 
 def split_sizes(split_df: DataFrame) -> DataFrame:

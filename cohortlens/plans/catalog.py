@@ -169,3 +169,51 @@ def q_final_test_report(spark, sf_dir):
 @register("recommend_conversion")
 def q_recommend_conversion(spark, sf_dir):
     return comparable(run_a(spark, sf_dir).recommend_conversion())
+
+
+# ---------------------------------------------------------------- text rules and event logs
+from ..functions import text as textfn  # noqa: E402
+from ..operators import trace  # noqa: E402
+
+
+@register("route_queries")
+def q_route_queries(spark, sf_dir):
+    t = bindings.request_texts(spark, sf_dir)
+    return t.select("conv_id", "turn", textfn.route_query(F.col("text")).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@register("route_agents")
+def q_route_agents(spark, sf_dir):
+    t = bindings.request_texts(spark, sf_dir)
+    r = textfn.route_agents(F.col("text"))
+    return t.select(
+        "conv_id", "turn", r["route"].alias("route"), F.array_join(r["agents"], ",").alias("agents"), r["reason"].alias("reason")
+    )
+
+
+@register("explain_text")
+def q_explain_text(spark, sf_dir):
+    t = bindings.segment_texts(spark, sf_dir).withColumn("segment", textfn.segment_from_text(F.col("text")))
+    texts = F.broadcast(rules.segment_text_table(spark).select("segment", "basis", "action"))
+    return t.join(texts, "segment", "left").select(
+        "conv_id", "turn", "segment",
+        F.coalesce("basis", F.lit(rules.DEFAULT_BASIS)).alias("basis"),
+        F.coalesce("action", F.lit(rules.DEFAULT_ACTION)).alias("action"),
+    )
+
+
+@register("validate_intent")
+def q_validate_intent(spark, sf_dir):
+    log = bindings.event_log(spark, sf_dir).where(F.col("step") == "query_planning")
+    return log.select("run_id", "event_id", textfn.validate_intent(F.col("detail")).alias("v")).select("run_id", "event_id", "v.*")
+
+
+@register("annotate_events")
+def q_annotate_events(spark, sf_dir):
+    return trace.annotate_events(bindings.event_log(spark, sf_dir))
+
+
+@register("planned_intent")
+def q_planned_intent(spark, sf_dir):
+    log = bindings.event_log(spark, sf_dir)
+    return textfn.planned_intent(log.withColumn("_o", F.struct("ts", "event_id")), "run_id", "_o")

@@ -303,3 +303,137 @@ SELECT customer_id, round(score, 6) AS priority_gap_score, recommended_action, r
         FROM a_segmented WHERE segment = 'regular'))
 ORDER BY round(score, 9), customer_id LIMIT 25
 """
+
+# ---------------------------------------------------------------- text rules and event logs
+def _lit_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+REQUEST_PHRASES = (
+    "Which regular customers could convert to priority next? ",
+    "Compare the average balance of each segment. ",
+    "Explain why these customers were selected. ",
+    "Show the dormant customers. ",
+    "",
+    "Explain and compare the conversion candidates. ",
+)
+SEGMENT_PHRASES = (
+    "Why is this customer priority? ",
+    "Explain the regular group. ",
+    "What makes an account dormant? ",
+    "Which ones need review? ",
+    "",
+)
+PLANNED_INTENTS = ("segment_customers", "explain_segment", "compare_segments", "recommend_conversion", "forecast_revenue")
+LOG_STEPS = (
+    "query_planning", "data_validation", "data_cleaning_filtering", "feature_extraction",
+    "feature_selection", "dimensionality_reduction", "hyperparameter_tuning", "fit_diagnostics",
+    "leakage_audit", "model_evaluation", "recommendations", "visualization", "memory_profile", "memory_saved",
+)
+
+REQUESTS = f"""
+req AS (SELECT conv_id, turn, {_lit_list(REQUEST_PHRASES)}[conv_id % 6 + 1] || text AS text
+        FROM conversations WHERE role = 'user'),
+req_n AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm, lower(text) AS low FROM req)
+"""
+
+
+def _any(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+_INTENT = f"""CASE
+  WHEN {_any('norm', ('convert', 'conversion', 'candidate', 'next best', 'recommend'))} THEN 'recommend_conversion'
+  WHEN {_any('norm', ('compare', 'average', 'median', 'transaction size'))} THEN 'compare_segments'
+  WHEN {_any('norm', ('why', 'basis', 'explain', 'selected'))} THEN 'explain_segment'
+  WHEN {_any('norm', ('segment', 'priority', 'regular', 'dormant'))} THEN 'segment_customers' END"""
+
+ORACLE["route_queries"] = "WITH " + REQUESTS + f"""
+SELECT conv_id, turn, coalesce(i, 'segment_customers') AS intent,
+       CASE WHEN i IS NULL THEN 'deterministic_router_fallback' ELSE 'deterministic_router' END AS source,
+       i IS NULL AS needs_human_input,
+       CASE WHEN i IS NULL THEN 'No supported intent was unambiguously detected; defaulted to segmentation.' END AS reason
+FROM (SELECT conv_id, turn, {_INTENT} AS i FROM req_n)
+"""
+
+_GOV = _any("low", ("explain", "why", "audit", "review", "basis"))
+_ANA = _any("low", ("segment", "compare", "average", "transaction", "convert", "recommend"))
+ORACLE["route_agents"] = "WITH " + REQUESTS + f"""
+SELECT conv_id, turn,
+  CASE WHEN g AND NOT a THEN 'governance_review_loop' ELSE 'analytics_sequential_pipeline' END AS route,
+  CASE WHEN g AND NOT a THEN 'governance_explainability_agent'
+       WHEN a THEN 'eda_agent,feature_engineering_agent,segmentation_agent,explainability_agent'
+       ELSE 'eda_agent,feature_engineering_agent' END AS agents,
+  CASE WHEN g AND NOT a THEN 'explanation/audit intent' WHEN a THEN 'data/segmentation intent'
+       ELSE 'safe exploratory fallback' END AS reason
+FROM (SELECT conv_id, turn, {_GOV} AS g, {_ANA} AS a FROM req_n)
+"""
+
+ORACLE["explain_text"] = "WITH " + SEGMENT_TEXTS + f""",
+st AS (SELECT conv_id, turn, lower({_lit_list(SEGMENT_PHRASES)}[conv_id % 5 + 1] || text) AS low
+       FROM conversations WHERE role = 'assistant'),
+sl AS (SELECT conv_id, turn, CASE WHEN contains(low, 'priority') THEN 'priority' WHEN contains(low, 'regular') THEN 'regular'
+         WHEN contains(low, 'dormant') THEN 'dormant' WHEN contains(low, 'review') OR contains(low, 'unknown') THEN 'needs_review'
+         ELSE low END AS segment FROM st)
+SELECT conv_id, turn, sl.segment, coalesce(t.basis, 'Unknown segment.') AS basis,
+       coalesce(t.action, 'Request clarification.') AS action
+FROM sl LEFT JOIN seg_texts t ON sl.segment = t.segment
+"""
+
+EVENT_LOG = f"""
+ev_k AS (SELECT *, floor(event_id / 15) AS k FROM events),
+ev_s AS (SELECT *, CASE WHEN event_id % 15 = 14 THEN event_type ELSE {_lit_list(LOG_STEPS)}[event_id % 15 + 1] END AS step
+         FROM ev_k),
+elog AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, ts, step,
+  CASE WHEN step = 'query_planning' THEN
+    CASE WHEN k % 7 = 3 THEN props WHEN k % 7 = 5 THEN 'plan unavailable'
+         ELSE '{{"intent": "' || {_lit_list(PLANNED_INTENTS)}[CAST(k % 5 AS BIGINT) + 1]
+              || '", "requested_outputs": ["segment_counts"]}}' END
+  ELSE props END AS detail FROM ev_s)
+"""
+
+_IS_OBJ = "(CASE WHEN json_valid(detail) THEN json_type(detail) = 'OBJECT' ELSE false END)"
+ORACLE["validate_intent"] = "WITH " + EVENT_LOG + f"""
+SELECT run_id, event_id, intent, err IS NULL AS valid, err AS error FROM (
+  SELECT run_id, event_id, CASE WHEN {_IS_OBJ} THEN json_extract_string(detail, '$.intent') END AS intent,
+    CASE WHEN NOT {_IS_OBJ} THEN 'plan is not a JSON object'
+         WHEN NOT coalesce((CASE WHEN {_IS_OBJ} THEN json_extract_string(detail, '$.intent') END) IN
+              ('segment_customers', 'explain_segment', 'compare_segments', 'recommend_conversion'), false)
+         THEN 'provider returned an unsupported intent' END AS err
+  FROM elog WHERE step = 'query_planning')
+"""
+
+_REG_ROWS = ",\n ".join(
+    f"('{s}', '{a}', '{t}')" for s, a, t in (
+        ("query_planning", "orchestrator_agent", "query_planner"),
+        ("data_validation", "data_quality_agent", "data_quality_report"),
+        ("data_cleaning_filtering", "data_quality_agent", "clean_and_filter_events"),
+        ("feature_extraction", "feature_agent", "build_customer_features"),
+        ("feature_selection", "feature_agent", "mutual_information_selection"),
+        ("dimensionality_reduction", "feature_agent", "pca_projection"),
+        ("hyperparameter_tuning", "model_agent", "tune_kmeans_gmm"),
+        ("fit_diagnostics", "model_agent", "fit_diagnostics"),
+        ("leakage_audit", "governance_agent", "leakage_audit"),
+        ("model_evaluation", "model_agent", "cross_validation_and_test_report"),
+        ("recommendations", "recommendation_agent", "priority_candidates"),
+        ("visualization", "visualization_agent", "create_visualizations"),
+        ("memory_profile", "memory_agent", "build_memory_profile"),
+        ("memory_saved", "memory_agent", "save_consent_audit"),
+    )
+)
+ORACLE["annotate_events"] = "WITH " + EVENT_LOG + f""",
+reg(step, agent, tool) AS (VALUES {_REG_ROWS})
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS sequence, 'agent_tool_call' AS type,
+       coalesce(reg.agent, 'orchestrator_agent') AS agent, coalesce(reg.tool, coalesce(elog.step, 'unknown')) AS tool,
+       coalesce(elog.step, 'unknown') AS step, coalesce(detail, '') AS detail, 'completed' AS status
+FROM elog LEFT JOIN reg ON coalesce(elog.step, 'unknown') = reg.step
+"""
+
+ORACLE["planned_intent"] = "WITH " + EVENT_LOG + f""",
+firsts AS (SELECT run_id, arg_min(detail, (ts, event_id)) AS detail FROM elog WHERE step = 'query_planning' GROUP BY 1)
+SELECT run_id, CASE WHEN NOT {_IS_OBJ} THEN NULL
+                    WHEN (CASE WHEN {_IS_OBJ} THEN json_exists(detail, '$.intent') END)
+                    THEN coalesce((CASE WHEN {_IS_OBJ} THEN json_extract_string(detail, '$.intent') END), 'None')
+                    ELSE 'unknown' END AS planned_intent
+FROM firsts
+"""

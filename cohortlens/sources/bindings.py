@@ -108,3 +108,73 @@ def raw_bank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         time_digits(F.col("o_orderkey")).alias("TransactionTime"),
         F.col("o_totalprice").cast("string").alias("TransactionAmount (INR)"),
     )
+
+
+# Fixed values (test inputs of ours): request phrases put in front of user turns,
+# chosen by conv_id % 6 — one per intent, none, and one that mixes intents.
+REQUEST_PHRASES = (
+    "Which regular customers could convert to priority next? ",
+    "Compare the average balance of each segment. ",
+    "Explain why these customers were selected. ",
+    "Show the dormant customers. ",
+    "",
+    "Explain and compare the conversion candidates. ",
+)
+
+# Fixed values (test inputs of ours): phrases naming a segment, by conv_id % 5.
+SEGMENT_PHRASES = (
+    "Why is this customer priority? ",
+    "Explain the regular group. ",
+    "What makes an account dormant? ",
+    "Which ones need review? ",
+    "",
+)
+
+# Fixed values (test inputs of ours): intents written into planning events.
+PLANNED_INTENTS = ("segment_customers", "explain_segment", "compare_segments", "recommend_conversion", "forecast_revenue")
+
+# Fixed values (test inputs of ours): steps given to events by event_id % 15 (14: own type).
+LOG_STEPS = (
+    "query_planning", "data_validation", "data_cleaning_filtering", "feature_extraction",
+    "feature_selection", "dimensionality_reduction", "hyperparameter_tuning", "fit_diagnostics",
+    "leakage_audit", "model_evaluation", "recommendations", "visualization", "memory_profile", "memory_saved",
+)
+
+
+def _pick(options, index):
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (index + 1).cast("int"))
+
+
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with a request phrase in front (every user turn of every conversation)."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return conv.select(
+        "conv_id", "turn", F.concat(_pick(REQUEST_PHRASES, F.col("conv_id") % 6), F.col("text")).alias("text")
+    )
+
+
+def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return conv.select(
+        "conv_id", "turn", F.concat(_pick(SEGMENT_PHRASES, F.col("conv_id") % 5), F.col("text")).alias("text")
+    )
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as workflow logs: one run per user, a step per event, plan JSON in the
+    planning events (some valid, some naming no intent, some not JSON)."""
+    ev = table(spark, sf_dir, "events")
+    k = F.floor(F.col("event_id") / 15)
+    step = F.when(F.col("event_id") % 15 == 14, F.col("event_type")).otherwise(_pick(LOG_STEPS, F.col("event_id") % 15))
+    plan = (
+        F.when(k % 7 == 3, F.col("props"))
+        .when(k % 7 == 5, F.lit("plan unavailable"))
+        .otherwise(F.concat(F.lit('{"intent": "'), _pick(PLANNED_INTENTS, k % 5), F.lit('", "requested_outputs": ["segment_counts"]}')))
+    )
+    return ev.select(
+        F.col("user_id").cast("string").alias("run_id"),
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        step.alias("step"),
+        F.when(step == "query_planning", plan).otherwise(F.col("props")).alias("detail"),
+    )
