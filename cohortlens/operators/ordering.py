@@ -37,3 +37,26 @@ def position_within(
     inner = Window.partitionBy(*p, "_cb").orderBy(*order_cols)
     joined = b.join(offsets, [*p, "_cb"])
     return joined.withColumn(out, F.col("_off") + F.row_number().over(inner) - 1 + base).drop("_cb", "_off")
+
+
+def top_k_per_group(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[Column],
+    k: int,
+    salt: Column,
+    salt_buckets: int = 64,
+    out: str = "rank",
+) -> DataFrame:
+    """Rows ranked 1..k inside each group (``order_cols`` must be a total order).
+
+    Two rounds: the best ``k`` of each ``(group, salt bucket)`` survive the first
+    window, so even a group holding a third of the rows is ranked by ``salt_buckets``
+    tasks; the second window sees at most ``k · salt_buckets`` rows per group.
+    """
+    g = list(group_cols)
+    salted = df.withColumn("_salt", F.abs(F.xxhash64(salt)) % salt_buckets)
+    first = salted.withColumn("_r1", F.row_number().over(Window.partitionBy(*g, "_salt").orderBy(*order_cols)))
+    survivors = first.where(F.col("_r1") <= k).drop("_r1", "_salt")
+    ranked = survivors.withColumn(out, F.row_number().over(Window.partitionBy(*g).orderBy(*order_cols)))
+    return ranked.where(F.col(out) <= k)

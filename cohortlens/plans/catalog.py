@@ -217,3 +217,78 @@ def q_annotate_events(spark, sf_dir):
 def q_planned_intent(spark, sf_dir):
     log = bindings.event_log(spark, sf_dir)
     return textfn.planned_intent(log.withColumn("_o", F.struct("ts", "event_id")), "run_id", "_o")
+
+
+# ---------------------------------------------------------------- memory
+from ..operators import memory as mem  # noqa: E402
+
+
+def _stored(spark, sf_dir):
+    return mem.save(bindings.memory_entries(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
+
+
+@register("memory_save")
+def q_memory_save(spark, sf_dir):
+    saved = _stored(spark, sf_dir)
+    dec = mem.decode(saved["stored"])
+    ok = dec.select(
+        "memory_id", "user_id", F.lit("saved").alias("status"), F.lit(None).cast("string").alias("reason"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "cipher_key_id",
+        F.col("content")["topic"].alias("topic"), F.col("content")["text"].alias("text"),
+        F.col("context")["contact_method"].alias("contact_method"),
+        F.array_join("products_mentioned", ",").alias("products"),
+        F.col("outcome")["satisfaction_score"].alias("satisfaction_score"),
+    )
+    bad = saved["rejected"].select(
+        "memory_id", "user_id", F.lit("rejected").alias("status"), "reason",
+        *[F.lit(None).cast("string").alias(c) for c in ("timestamp", "cipher_key_id", "topic", "text", "contact_method", "products", "satisfaction_score")]
+    )
+    return ok.unionByName(bad)
+
+
+@register("memory_search")
+def q_memory_search(spark, sf_dir):
+    dec = mem.decode(_stored(spark, sf_dir)["stored"])
+    res = mem.search(dec, bindings.memory_queries(spark, sf_dir), limit=10, as_of=bindings.MEMORY_AS_OF)["results"]
+    return comparable(res)
+
+
+def _profiles(spark, sf_dir):
+    dec = mem.decode(_stored(spark, sf_dir)["stored"])
+    return mem.build_profiles(dec, limit=100, as_of=bindings.MEMORY_AS_OF)
+
+
+@register("memory_profile")
+def q_memory_profile(spark, sf_dir):
+    p = _profiles(spark, sf_dir)
+    return p.select(
+        "user_id", "preferred_contact_method",
+        F.array_join(F.transform(F.map_entries("product_interest_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("product_interest"),
+        F.array_join("common_concerns", ",").alias("common_concerns"),
+        F.array_join(F.transform("satisfaction_scores", lambda s: s.cast("string")), ",").alias("satisfaction_scores"),
+        "memory_count",
+    )
+
+
+@register("memory_forget")
+def q_memory_forget(spark, sf_dir):
+    stored = _stored(spark, sf_dir)["stored"]
+    out = mem.forget(stored, bindings.forget_requests(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
+    remaining = out["remaining"].groupBy("user_id").agg(F.count(F.lit(1)).alias("remaining_memory_count"))
+    return out["deleted"].join(remaining, "user_id", "left").select(
+        "user_id", "deleted_memory_count", F.coalesce("remaining_memory_count", F.lit(0)).cast("bigint").alias("remaining_memory_count")
+    )
+
+
+@register("memory_rerank")
+def q_memory_rerank(spark, sf_dir):
+    return mem.rerank(bindings.offers(spark, sf_dir), _profiles(spark, sf_dir))
+
+
+@register("memory_audit")
+def q_memory_audit(spark, sf_dir):
+    saved = _stored(spark, sf_dir)
+    dec = mem.decode(saved["stored"])
+    searched = mem.search(dec, bindings.memory_queries(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
+    forgot = mem.forget(saved["stored"], bindings.forget_requests(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
+    return comparable(mem.audit_trail(saved["audit"], searched["audit"], forgot["audit"]))

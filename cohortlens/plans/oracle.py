@@ -437,3 +437,107 @@ SELECT run_id, CASE WHEN NOT {_IS_OBJ} THEN NULL
                     ELSE 'unknown' END AS planned_intent
 FROM firsts
 """
+
+# ---------------------------------------------------------------- memory
+MEMORY = """
+mem AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS memory_id,
+         'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id,
+         TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn AS INTEGER)) AS ts,
+         role AS topic, text, CASE WHEN conv_id % 2 = 0 THEN 'chat' ELSE 'email' END AS contact_method,
+         CASE WHEN role = 'assistant' THEN CAST(conv_id % 5 + 1 AS VARCHAR) END AS satisfaction_score,
+         [['card'], ['card', 'savings'], []::VARCHAR[]][conv_id % 3 + 1] AS products,
+         role <> 'system' AS consented
+  FROM conversations),
+mem_ok AS (
+  SELECT *, 1.0 / (1.0 + greatest(0.0, (epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) / 86400000000.0)) AS recency
+  FROM mem WHERE consented)
+"""
+
+
+def _tok(expr: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({expr}), '[a-z0-9_]+'), lambda t: length(t) > 2))"
+
+
+ORACLE["memory_save"] = "WITH " + MEMORY + """
+SELECT memory_id, user_id, 'saved' AS status, NULL::VARCHAR AS reason, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
+       'development-plaintext' AS cipher_key_id, topic, text, contact_method, array_to_string(products, ',') AS products,
+       satisfaction_score
+FROM mem WHERE consented
+UNION ALL
+SELECT memory_id, user_id, 'rejected', 'Episodic memory requires explicit consent.', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM mem WHERE NOT consented
+"""
+
+_MEM_TEXT = "'content context products text topic ' || topic || ' ' || text || ' contact_method ' || contact_method || ' ' || array_to_string(products, ' ')"
+
+ORACLE["memory_search"] = "WITH " + MEMORY + f""",
+q AS (SELECT conv_id AS query_id, 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id, {_tok('text')} AS qt
+      FROM conversations WHERE turn = 0),
+m AS (SELECT memory_id, user_id, recency, {_tok(_MEM_TEXT)} AS mt FROM mem_ok),
+s AS (SELECT query_id, q.user_id, memory_id, 10.0 * len(list_intersect(qt, mt)) + recency AS score
+      FROM q JOIN m ON q.user_id = m.user_id)
+SELECT query_id, user_id, rank, memory_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+PROFILE_TOP = "WITH " + MEMORY + """,
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recency DESC, memory_id) AS rank FROM mem_ok)
+        WHERE rank <= 100),
+pc AS (SELECT user_id, arg_min(contact_method, (-n, contact_method)) AS preferred_contact_method
+       FROM (SELECT user_id, contact_method, count(*) AS n FROM top WHERE coalesce(contact_method, '') <> '' GROUP BY 1, 2)
+       GROUP BY 1),
+pp AS (SELECT user_id, string_agg(product || ':' || CAST(n AS VARCHAR), ',' ORDER BY product) AS product_interest,
+              list(product ORDER BY product) AS plist, list(n ORDER BY product) AS nlist
+       FROM (SELECT user_id, product, count(*) AS n FROM (SELECT user_id, unnest(products) AS product FROM top) GROUP BY 1, 2)
+       GROUP BY 1),
+cc AS (SELECT user_id, string_agg(topic, ',' ORDER BY r) AS common_concerns FROM (
+         SELECT user_id, topic, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_rank) AS r
+         FROM (SELECT user_id, topic, count(*) AS n, min(rank) AS first_rank FROM top WHERE coalesce(topic, '') <> '' GROUP BY 1, 2))
+       WHERE r <= 5 GROUP BY 1),
+ss AS (SELECT user_id, string_agg(CAST(CAST(satisfaction_score AS DOUBLE) AS VARCHAR), ',' ORDER BY rank) AS satisfaction_scores
+       FROM top WHERE satisfaction_score IS NOT NULL GROUP BY 1),
+cnt AS (SELECT user_id, count(*) AS memory_count FROM top GROUP BY 1)
+"""
+
+ORACLE["memory_profile"] = PROFILE_TOP + """
+SELECT cnt.user_id, preferred_contact_method, coalesce(product_interest, '') AS product_interest,
+       coalesce(common_concerns, '') AS common_concerns, coalesce(satisfaction_scores, '') AS satisfaction_scores, memory_count
+FROM cnt LEFT JOIN pc USING (user_id) LEFT JOIN pp USING (user_id) LEFT JOIN cc USING (user_id) LEFT JOIN ss USING (user_id)
+"""
+
+FORGET = """
+fu AS (SELECT DISTINCT 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id FROM conversations WHERE role = 'system'),
+fd AS (SELECT fu.user_id, coalesce(n, 0)::BIGINT AS deleted_memory_count FROM fu
+       LEFT JOIN (SELECT user_id, count(*) AS n FROM mem_ok GROUP BY 1) c USING (user_id))
+"""
+
+ORACLE["memory_forget"] = "WITH " + MEMORY + "," + FORGET + """
+SELECT fd.user_id, deleted_memory_count, 0::BIGINT AS remaining_memory_count FROM fd
+"""
+
+ORACLE["memory_rerank"] = PROFILE_TOP + """,
+offers AS (SELECT user_id, unnest(['card', 'savings', 'mortgage']) AS product FROM (SELECT DISTINCT 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id FROM conversations)),
+interest AS (SELECT user_id, product, count(*) AS n FROM (SELECT user_id, unnest(products) AS product FROM top) GROUP BY 1, 2),
+j AS (SELECT o.user_id, o.product, o.product <> 'mortgage' AS eligible, coalesce(i.n, 0)::BIGINT AS memory_interest_count
+      FROM offers o LEFT JOIN interest i ON o.user_id = i.user_id AND o.product = i.product),
+k AS (SELECT *, CASE WHEN memory_interest_count > 0 THEN 'Prior interest recorded' ELSE 'No relevant consented memory' END AS memory_rationale,
+             (CASE WHEN coalesce(eligible, true) THEN least(memory_interest_count, 3) ELSE 0 END)::BIGINT AS memory_rank_adjustment
+      FROM j)
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY memory_rank_adjustment DESC, product) AS rank FROM k
+"""
+
+ORACLE["memory_audit"] = "WITH " + MEMORY + "," + FORGET + f"""
+SELECT '2024-03-01 00:00:00' AS ts, 'memory_saved' AS event_type, sha256(user_id) AS subject_hash,
+       '{{"interaction_type":"conversation","memory_id":"' || memory_id || '"}}' AS detail
+FROM mem_ok
+UNION ALL
+SELECT '2024-03-01 00:00:00', 'memory_retrieved', sha256(q.user_id),
+       '{{"candidate_count":' || CAST(coalesce(c.n, 0) AS VARCHAR) || ',"query_token_count":' || CAST(len({_tok('q.text')}) AS VARCHAR) || '}}'
+FROM (SELECT 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id, text FROM conversations WHERE turn = 0) q
+LEFT JOIN (SELECT user_id, count(*) AS n FROM mem_ok GROUP BY 1) c ON q.user_id = c.user_id
+UNION ALL
+SELECT '2024-03-01 00:00:00', 'user_forgotten', sha256(user_id), '{{"deleted_memory_count":' || CAST(deleted_memory_count AS VARCHAR) || '}}'
+FROM fd
+"""

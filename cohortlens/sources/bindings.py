@@ -178,3 +178,58 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         step.alias("step"),
         F.when(step == "query_planning", plan).otherwise(F.col("props")).alias("detail"),
     )
+
+
+MEMORY_AS_OF = "2024-03-01 00:00:00"
+# Fixed values (test inputs of ours): product lists by conv_id % 3 and the offer catalog.
+PRODUCT_LISTS = (("card",), ("card", "savings"), ())
+OFFER_CATALOG = ("card", "savings", "mortgage")
+
+
+def memory_user(conv_id):
+    return F.concat(F.lit("user-"), (conv_id % 20).cast("string"))
+
+
+def memory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a memory entry of user ``conv_id % 20``; system turns
+    carry no consent."""
+    conv = table(spark, sf_dir, "conversations")
+    products = F.element_at(
+        F.array(*[F.array(*[F.lit(p) for p in ps]).cast("array<string>") for ps in PRODUCT_LISTS]),
+        (F.col("conv_id") % 3 + 1).cast("int"),
+    )
+    empty = F.create_map().cast("map<string,string>")
+    return conv.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("memory_id"),
+        memory_user(F.col("conv_id")).alias("user_id"),
+        (F.to_timestamp(F.lit("2024-01-01")) + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.col("turn").cast("int"))).alias("ts"),
+        F.lit("conversation").alias("interaction_type"),
+        F.create_map(F.lit("text"), F.col("text"), F.lit("topic"), F.col("role")).alias("content"),
+        F.create_map(F.lit("contact_method"), F.when(F.col("conv_id") % 2 == 0, "chat").otherwise("email")).alias("context"),
+        F.when(F.col("role") == "assistant", F.create_map(F.lit("satisfaction_score"), (F.col("conv_id") % 5 + 1).cast("string")))
+        .otherwise(empty).alias("outcome"),
+        (F.col("role") != "system").alias("consented"),
+        F.lit(None).cast("string").alias("emotional_state"),
+        products.alias("products_mentioned"),
+        F.array().cast("array<string>").alias("actions_taken"),
+    )
+
+
+def memory_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per conversation: its opening turn, by the conversation's user."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    return conv.select(F.col("conv_id").alias("query_id"), memory_user(F.col("conv_id")).alias("user_id"), F.col("text").alias("query"))
+
+
+def forget_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who asked to be forgotten: those with a system turn in any conversation."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "system")
+    return conv.select(memory_user(F.col("conv_id")).alias("user_id")).distinct()
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every memory user × the offer catalog; mortgages are not offered (ineligible)."""
+    users = table(spark, sf_dir, "conversations").select(memory_user(F.col("conv_id")).alias("user_id")).distinct()
+    return users.select("user_id", F.explode(F.array(*[F.lit(p) for p in OFFER_CATALOG])).alias("product")).withColumn(
+        "eligible", F.col("product") != "mortgage"
+    )
