@@ -292,3 +292,30 @@ def q_memory_audit(spark, sf_dir):
     searched = mem.search(dec, bindings.memory_queries(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
     forgot = mem.forget(saved["stored"], bindings.forget_requests(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
     return comparable(mem.audit_trail(saved["audit"], searched["audit"], forgot["audit"]))
+
+
+# ---------------------------------------------------------------- preprocessing (train split only)
+from ..operators import transform  # noqa: E402
+
+
+def train_sample(spark, sf_dir, config: SegmentConfig = SegmentConfig()) -> DataFrame:
+    run = run_a(spark, sf_dir, config)
+    return splits.evaluation_sample(run.part("train"), config)
+
+
+@register("behavior_proxy")
+def q_behavior_proxy(spark, sf_dir):
+    return comparable(transform.behavior_proxy(train_sample(spark, sf_dir)))
+
+
+@register("impute_scale")
+def q_impute_scale(spark, sf_dir):
+    return comparable(transform.fit_impute_scale(train_sample(spark, sf_dir)))
+
+
+@register("mutual_information")
+def q_mutual_information(spark, sf_dir):
+    sample = train_sample(spark, sf_dir)
+    stats = transform.fit_impute_scale(sample)
+    long = transform.apply_impute_scale(sample, stats)
+    return comparable(transform.mutual_information(long, transform.behavior_proxy(sample)))

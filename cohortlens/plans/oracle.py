@@ -541,3 +541,65 @@ UNION ALL
 SELECT '2024-03-01 00:00:00', 'user_forgotten', sha256(user_id), '{{"deleted_memory_count":' || CAST(deleted_memory_count AS VARCHAR) || '}}'
 FROM fd
 """
+
+# ---------------------------------------------------------------- preprocessing (train split only)
+_FEATS = ["avg_balance_90d", "min_balance_90d", "balance_stability_90d", "transaction_count_90d",
+          "transaction_frequency_monthly", "avg_transaction_amount", "median_transaction_amount", "recency_days",
+          "active_product_count"]
+
+TRAIN_SAMPLE = f""",
+ts AS (SELECT * FROM a_split WHERE split = 'train' ORDER BY md5('{SEED}:' || customer_id), customer_id LIMIT 25000),
+bm AS (SELECT quantile_cont(avg_balance_90d, 0.5) AS m FROM ts),
+pf AS (SELECT customer_id, coalesce(avg_balance_90d, (SELECT m FROM bm)) AS b, transaction_frequency_monthly AS f,
+              CAST(recency_days AS DOUBLE) AS r FROM ts),
+pr AS (SELECT customer_id,
+         CASE WHEN b IS NOT NULL THEN (rank() OVER (ORDER BY b) - 1 + (count(*) OVER (PARTITION BY b) + 1) / 2.0::DOUBLE) / count(b) OVER () END AS rb,
+         (rank() OVER (ORDER BY f) - 1 + (count(*) OVER (PARTITION BY f) + 1) / 2.0::DOUBLE) / count(f) OVER () AS rf,
+         (rank() OVER (ORDER BY r) - 1 + (count(*) OVER (PARTITION BY r) + 1) / 2.0::DOUBLE) / count(r) OVER () AS rr
+       FROM pf),
+proxy AS (SELECT customer_id, 0.5::DOUBLE * coalesce(rb, 0.0) + 0.3::DOUBLE * rf + 0.2::DOUBLE * (1.0::DOUBLE - rr) AS proxy FROM pr),
+lg AS ({" UNION ALL ".join(f"SELECT customer_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM ts" for c in _FEATS)}),
+st0 AS (SELECT feature, count(*) AS fit_rows, count(*) FILTER (WHERE value IS NULL) AS nulls,
+               quantile_cont(value, 0.5) AS impute_value FROM lg GROUP BY 1),
+st1 AS (SELECT feature, quantile_cont(fv, 0.25) AS q1, quantile_cont(fv, 0.5) AS center, quantile_cont(fv, 0.75) AS q3
+        FROM (SELECT lg.feature, coalesce(value, impute_value) AS fv FROM lg JOIN st0 USING (feature)) GROUP BY 1),
+st2 AS (SELECT 'missingindicator_' || feature AS feature, feature AS indicator_of,
+               quantile_cont(iv, 0.25) AS q1, quantile_cont(iv, 0.5) AS center, quantile_cont(iv, 0.75) AS q3, count(*) AS fit_rows
+        FROM (SELECT feature, CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END AS iv FROM lg
+              WHERE feature IN (SELECT feature FROM st0 WHERE nulls > 0)) GROUP BY 1, 2),
+stats AS (
+  SELECT feature, impute_value, center, CASE WHEN abs(q3 - q1) < 1e-12 THEN 1.0 ELSE q3 - q1 END AS scale,
+         NULL::VARCHAR AS indicator_of, fit_rows
+  FROM st0 JOIN st1 USING (feature)
+  UNION ALL
+  SELECT feature, 0.0, center, CASE WHEN abs(q3 - q1) < 1e-12 THEN 1.0 ELSE q3 - q1 END, indicator_of, fit_rows FROM st2),
+tl AS (
+  SELECT customer_id, lg.feature, (coalesce(value, s.impute_value) - s.center) / s.scale AS value
+  FROM lg JOIN stats s ON s.feature = lg.feature AND s.indicator_of IS NULL
+  UNION ALL
+  SELECT customer_id, s.feature, ((CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) - s.center) / s.scale
+  FROM lg JOIN stats s ON s.indicator_of = lg.feature)
+"""
+
+ORACLE["behavior_proxy"] = with_a("seg") + TRAIN_SAMPLE + "SELECT customer_id, round(proxy, 6) AS proxy FROM proxy"
+
+ORACLE["impute_scale"] = with_a("seg") + TRAIN_SAMPLE + """
+SELECT feature, round(impute_value, 6) AS impute_value, round(center, 6) AS center, round(scale, 6) AS scale,
+       indicator_of, fit_rows, 'train' AS fit_split FROM stats
+"""
+
+ORACLE["mutual_information"] = with_a("seg") + TRAIN_SAMPLE + """,
+yb AS (SELECT customer_id, CAST(least(9, floor(10 * (rank() OVER (ORDER BY proxy) - 1 + (count(*) OVER (PARTITION BY proxy) + 1) / 2.0::DOUBLE)
+                                  / count(*) OVER ())) AS INTEGER) AS ybin FROM proxy),
+xb AS (SELECT customer_id, feature, CAST(least(9, floor(10 * (rank() OVER (PARTITION BY feature ORDER BY value) - 1
+                                  + (count(*) OVER (PARTITION BY feature, value) + 1) / 2.0::DOUBLE)
+                                  / count(*) OVER (PARTITION BY feature))) AS INTEGER) AS bx FROM tl),
+jn AS (SELECT feature, bx, ybin, count(*) AS nxy FROM xb JOIN yb USING (customer_id) GROUP BY 1, 2, 3),
+jm AS (SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n, sum(nxy) OVER (PARTITION BY feature, bx) AS nx,
+              sum(nxy) OVER (PARTITION BY feature, ybin) AS ny FROM jn),
+mi AS (SELECT feature, sum((nxy / n) * ln((nxy * n) / (nx * ny))) AS mutual_information FROM jm GROUP BY 1)
+SELECT feature, round(mutual_information, 6) AS mutual_information,
+       row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) AS rank,
+       row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) <= 6 AS selected
+FROM mi
+"""
