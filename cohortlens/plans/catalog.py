@@ -319,3 +319,21 @@ def q_mutual_information(spark, sf_dir):
     stats = transform.fit_impute_scale(sample)
     long = transform.apply_impute_scale(sample, stats)
     return comparable(transform.mutual_information(long, transform.behavior_proxy(sample)))
+
+
+# ---------------------------------------------------------------- cluster metrics
+from ..operators import clustering  # noqa: E402
+
+
+def _embeddings(spark, sf_dir):
+    return bindings.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    return comparable(clustering.silhouette(_embeddings(spark, sf_dir), "embedding", "label"))
+
+
+@register("davies_bouldin")
+def q_davies_bouldin(spark, sf_dir):
+    return comparable(clustering.davies_bouldin(_embeddings(spark, sf_dir), "embedding", "label"))

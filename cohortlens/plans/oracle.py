@@ -603,3 +603,28 @@ SELECT feature, round(mutual_information, 6) AS mutual_information,
        row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) <= 6 AS selected
 FROM mi
 """
+
+# ---------------------------------------------------------------- cluster metrics (brute force in SQL)
+ORACLE["silhouette"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sizes AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+pd AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(pow(list_distance(a.v, b.v), 2)) AS d
+       FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+pm AS (SELECT vec_id, la, lb, d / (CASE WHEN la = lb THEN s.n - 1 ELSE s.n END) AS m FROM pd JOIN sizes s ON s.label = lb),
+ab AS (SELECT e.vec_id, e.label, sz.n AS own_n,
+              max(CASE WHEN pm.lb = e.label THEN m END) AS a, min(CASE WHEN pm.lb <> e.label THEN m END) AS b
+       FROM e JOIN sizes sz ON sz.label = e.label LEFT JOIN pm ON pm.vec_id = e.vec_id GROUP BY 1, 2, 3),
+s AS (SELECT CASE WHEN own_n <= 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)
+SELECT round(avg(s), 6) AS silhouette, count(*) AS points, (SELECT count(*) FROM sizes) AS clusters FROM s
+"""
+
+ORACLE["davies_bouldin"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ex AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
+c AS (SELECT label, list(m ORDER BY i) AS cv FROM (SELECT label, i, avg(x) AS m FROM ex GROUP BY 1, 2) GROUP BY 1),
+sc AS (SELECT e.label, avg(list_distance(e.v, c.cv)) AS S FROM e JOIN c USING (label) GROUP BY 1),
+cc AS (SELECT c.label, c.cv, sc.S FROM c JOIN sc USING (label)),
+r AS (SELECT i.label, max(CASE WHEN list_distance(i.cv, j.cv) = 0 THEN 0.0 ELSE (i.S + j.S) / list_distance(i.cv, j.cv) END) AS worst
+      FROM cc i JOIN cc j ON i.label <> j.label GROUP BY 1)
+SELECT round(avg(worst), 6) AS davies_bouldin, count(*) AS clusters FROM r
+"""
