@@ -337,3 +337,75 @@ def q_silhouette(spark, sf_dir):
 @register("davies_bouldin")
 def q_davies_bouldin(spark, sf_dir):
     return comparable(clustering.davies_bouldin(_embeddings(spark, sf_dir), "embedding", "label"))
+
+
+# ---------------------------------------------------------------- models (rows/invariants only) and chart data
+from ..operators import charts, models  # noqa: E402
+
+# The registered model queries try fewer seeds per configuration than the library
+# default (10 and 20 K-Means seeds, 10 GMM seeds) so the check stays quick.
+MODEL_CONFIG = SegmentConfig(kmeans_n_init=(1, 2), gmm_n_init=1)
+
+
+def _design(spark, sf_dir, config=MODEL_CONFIG):
+    run = run_a(spark, sf_dir, config)
+    tr = splits.evaluation_sample(run.part("train"), config)
+    va = splits.evaluation_sample(run.part("validation"), config)
+    return run, models.design_matrix(tr, va, config)
+
+
+@register("kmeans_tuning")
+def q_kmeans_tuning(spark, sf_dir):
+    _, d = _design(spark, sf_dir)
+    return comparable(models.tune_kmeans(d, MODEL_CONFIG))
+
+
+@register("gmm_tuning")
+def q_gmm_tuning(spark, sf_dir):
+    _, d = _design(spark, sf_dir)
+    return comparable(models.tune_gmm(d, MODEL_CONFIG, max_iter=20))
+
+
+@register("fit_diagnostics")
+def q_fit_diagnostics(spark, sf_dir):
+    _, d = _design(spark, sf_dir)
+    scores = models.tune_kmeans(d, MODEL_CONFIG).unionByName(models.tune_gmm(d, MODEL_CONFIG, max_iter=20))
+    return comparable(models.fit_diagnostics(scores))
+
+
+def _pca(spark, sf_dir, config=MODEL_CONFIG):
+    run = run_a(spark, sf_dir, config)
+    tr = splits.evaluation_sample(run.part("train"), config)
+    stats = models.transform.fit_impute_scale(tr)
+    long = models.transform.apply_impute_scale(tr, stats)
+    mi = models.transform.mutual_information(long, models.transform.behavior_proxy(tr))
+    selected = [r["feature"] for r in mi.where("selected").orderBy("rank").collect()]
+    projected = splits.evaluation_sample(run.features, config)
+    coords, ev = models.pca_projection(tr, projected, stats, selected)
+    return run, coords, ev
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    _, coords, ev = _pca(spark, sf_dir)
+    total = sum(ev) or 1.0
+    return comparable(coords.withColumn("explained_variance_ratio_1", F.lit(ev[0] / total)).withColumn(
+        "explained_variance_ratio_2", F.lit(ev[1] / total)))
+
+
+@register("pca_points_by_segment")
+def q_pca_points_by_segment(spark, sf_dir):
+    run, coords, _ = _pca(spark, sf_dir)
+    return comparable(charts.pca_points_by_segment(coords, run.segmented))
+
+
+@register("cv_stability")
+def q_cv_stability(spark, sf_dir):
+    run = run_a(spark, sf_dir, MODEL_CONFIG)
+    tr = splits.evaluation_sample(run.part("train"), MODEL_CONFIG)
+    return comparable(models.cross_validate_stability(tr, MODEL_CONFIG))
+
+
+@register("boxplot_stats")
+def q_boxplot_stats(spark, sf_dir):
+    return comparable(charts.boxplot_stats(run_a(spark, sf_dir).segmented))

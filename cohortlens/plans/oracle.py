@@ -628,3 +628,18 @@ r AS (SELECT i.label, max(CASE WHEN list_distance(i.cv, j.cv) = 0 THEN 0.0 ELSE
       FROM cc i JOIN cc j ON i.label <> j.label GROUP BY 1)
 SELECT round(avg(worst), 6) AS davies_bouldin, count(*) AS clusters FROM r
 """
+
+# ---------------------------------------------------------------- chart data
+ORACLE["boxplot_stats"] = with_a("seg") + """,
+bl AS (SELECT segment, 'avg_balance_90d' AS feature, avg_balance_90d AS value FROM a_segmented
+       UNION ALL SELECT segment, 'transaction_frequency_monthly', transaction_frequency_monthly FROM a_segmented
+       UNION ALL SELECT segment, 'recency_days', CAST(recency_days AS DOUBLE) FROM a_segmented),
+bq AS (SELECT segment, feature, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+              quantile_cont(value, 0.75) AS q3 FROM bl WHERE value IS NOT NULL GROUP BY 1, 2),
+bw AS (SELECT bl.segment, bl.feature, min(value) AS whisker_low, max(value) AS whisker_high, count(*) AS inside
+       FROM bl JOIN bq USING (segment, feature)
+       WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1) GROUP BY 1, 2)
+SELECT segment, feature, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high, n - coalesce(inside, 0) AS outliers
+FROM bq LEFT JOIN bw USING (segment, feature)
+"""
