@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FEATURE_COLUMNS, SegmentConfig
-from .quality import clean_frames
+from ..session import cut_lineage
+from .quality import EVENT_TABLES, VALUE_COLUMNS, clean_frames, dedupe_first, typed_events
 from .quantiles import exact_quantiles
 
 
@@ -26,9 +27,45 @@ def latest_event_time(cleaned: Mapping[str, DataFrame]) -> DataFrame:
     return b.crossJoin(t).select(F.greatest("_b", "_t").alias("latest"))
 
 
-def _window_rows(df: DataFrame, latest: DataFrame, lookback_days: int) -> DataFrame:
-    cutoff = F.col("latest") - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lookback_days))
-    return df.crossJoin(F.broadcast(latest)).where(F.col("timestamp") >= cutoff)
+def _max_micros(tables: Sequence[DataFrame]) -> int | None:
+    """Largest ``timestamp`` over the tables as epoch microseconds (one small job)."""
+    parts = [t.agg(F.max(F.unix_micros("timestamp")).alias("m")) for t in tables]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.unionByName(p)
+    got = row.agg(F.max("m").alias("m")).collect()[0]["m"]
+    return None if got is None else int(got)
+
+
+def _micros_lit(us: int) -> Column:
+    return F.timestamp_micros(F.lit(us))
+
+
+DAY_US = 86_400_000_000
+
+
+def _cleaned_recent(frames: Mapping[str, DataFrame], lookback_days: int) -> tuple[dict[str, DataFrame], int | None]:
+    """Cleaned event tables restricted to what the lookback window can need, plus the
+    exact global ``latest`` (epoch µs).
+
+    ``U`` = the last time of any row with key and time (a scan, no shuffle). Grouping
+    is by (customer, time), so a time filter commutes with the keep-first step: only
+    rows with ``time >= U - 2·lookback`` are deduplicated, once, and written to the
+    checkpoint folder. If a surviving row lies at or after ``U - lookback`` the true
+    ``latest`` is the last surviving time and its whole window lies inside the kept
+    range; otherwise the full history is cleaned instead.
+    """
+    typed = {n: typed_events(frames[n], VALUE_COLUMNS[n]).na.drop(subset=["customer_id", "timestamp"]) for n in EVENT_TABLES}
+    upper = _max_micros(list(typed.values()))
+    if upper is None:
+        return {n: dedupe_first(typed[n], VALUE_COLUMNS[n]) for n in EVENT_TABLES}, None
+    low = upper - 2 * lookback_days * DAY_US
+    recent = {n: cut_lineage(dedupe_first(typed[n].where(F.col("timestamp") >= _micros_lit(low)), VALUE_COLUMNS[n])) for n in EVENT_TABLES}
+    latest = _max_micros(list(recent.values()))
+    if latest is not None and latest >= upper - lookback_days * DAY_US:
+        return recent, latest
+    full = {n: cut_lineage(dedupe_first(typed[n], VALUE_COLUMNS[n])) for n in EVENT_TABLES}
+    return full, _max_micros(list(full.values()))
 
 
 def customer_list(customers: DataFrame) -> DataFrame:
@@ -42,15 +79,28 @@ def build_customer_features(
     config: SegmentConfig = SegmentConfig(),
     as_of: dt.datetime | None = None,
 ) -> DataFrame:
-    """customer_id, the nine features, as_of_date, insufficient_balance_history."""
-    cleaned = clean_frames(frames)
+    """customer_id, the nine features, as_of_date, insufficient_balance_history.
+
+    Without ``as_of`` the snapshot time is the last usable event (see
+    :func:`_cleaned_recent`); with ``as_of`` the window is ``[as_of - lookback, as_of]``
+    and both bounds are literals that reach the Parquet scan.
+    """
+    spark = frames["customers"].sparkSession
+    lookback = config.lookback_days
+    span = F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lookback))
     if as_of is None:
-        latest = latest_event_time(cleaned)
+        cleaned, latest_us = _cleaned_recent(frames, lookback)
+        latest_col = _micros_lit(latest_us) if latest_us is not None else F.lit(None).cast("timestamp")
+        window = lambda df: df.where(F.col("timestamp") >= latest_col - span)
     else:
-        latest = frames["customers"].sparkSession.range(1).select(F.lit(as_of).cast("timestamp").alias("latest"))
-    lookback = config.lookback_days
-    bal = _window_rows(cleaned["balances"], latest, lookback)
-    txn = _window_rows(cleaned["transactions"], latest, lookback)
+        latest_col = F.lit(as_of).cast("timestamp")
+        typed = {n: typed_events(frames[n], VALUE_COLUMNS[n]).na.drop(subset=["customer_id", "timestamp"]) for n in EVENT_TABLES}
+        bounded = {n: t.where((F.col("timestamp") >= latest_col - span) & (F.col("timestamp") <= latest_col)) for n, t in typed.items()}
+        cleaned = {n: dedupe_first(bounded[n], VALUE_COLUMNS[n]) for n in EVENT_TABLES}
+        window = lambda df: df
+    latest = spark.range(1).select(latest_col.alias("latest"))
+    bal = window(cleaned["balances"])
+    txn = window(cleaned["transactions"])
 
     balance_features = bal.groupBy("customer_id").agg(
         F.avg("balance").alias("avg_balance_90d"),

@@ -52,6 +52,11 @@ def clean_events(df: DataFrame, value_col: str) -> DataFrame:
     combined map-side before the shuffle and a hot key never gathers in one task.
     """
     typed = typed_events(df, value_col).na.drop(subset=["customer_id", "timestamp"])
+    return dedupe_first(typed, value_col)
+
+
+def dedupe_first(typed: DataFrame, value_col: str) -> DataFrame:
+    """Keep-first per (customer_id, timestamp) by (seq, value), then drop bad values."""
     first = typed.groupBy("customer_id", "timestamp").agg(
         F.min_by(F.col(value_col), F.struct(F.col("seq"), F.col(value_col))).alias(value_col)
     )
