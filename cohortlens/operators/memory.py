@@ -86,7 +86,7 @@ def save(entries: DataFrame, as_of=None, key: str | None = None, key_id: str | N
     else:
         payload, kid = text, F.lit(PLAINTEXT_KEY_ID)
     stored = entries.where(consented).select(
-        "memory_id", "user_id", F.col("ts"), "interaction_type",
+        F.coalesce(F.col("memory_id"), F.expr("uuid()")).alias("memory_id"), "user_id", F.col("ts"), "interaction_type",
         F.lit(1).alias("consented"), payload.alias("payload"), kid.alias("cipher_key_id"),
     )
     rejected = entries.where(~consented).select("memory_id", "user_id", F.lit(CONSENT_REFUSAL).alias("reason"))
@@ -99,6 +99,13 @@ def save(entries: DataFrame, as_of=None, key: str | None = None, key_id: str | N
     return {"stored": stored, "rejected": rejected, "audit": audit}
 
 
+def scan(spark, path: str, users: DataFrame | None = None) -> DataFrame:
+    """Consented rows of a memory table; with ``users`` only theirs (semi-join; a
+    literal ``user_id`` filter on the result reaches the Parquet scan)."""
+    rows = spark.read.parquet(path).where(F.col("consented") == 1)
+    return rows if users is None else rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
+
+
 def decode(memories: DataFrame, key: str | None = None) -> DataFrame:
     """Stored rows with the payload parsed back into typed columns."""
     text = F.col("payload")

@@ -50,11 +50,31 @@ def split_sizes(split_df: DataFrame) -> DataFrame:
     return split_df.groupBy("split").agg(F.count(F.lit(1)).alias("customers"))
 
 
-def evaluation_sample(df: DataFrame, config: SegmentConfig = SegmentConfig(), key: str = "customer_id") -> DataFrame:
-    """Exact-size seeded sample: the ``max_evaluation_customers`` rows of smallest seeded
-    hash (all rows when fewer). A top-k, so each partition keeps at most k rows."""
+def evaluation_sample(df: DataFrame, config: SegmentConfig = SegmentConfig(), key: str = "customer_id", margin: float = 3.0) -> DataFrame:
+    """Exact-size seeded sample: the ``max_evaluation_customers`` rows of smallest
+    seeded md5 (all rows when fewer), a top-k on the hash.
+
+    The md5 order begins with its first 32 bits (``seeded_unit``), so rows below a
+    cut-off on that value are a prefix of the order. Keeping only the
+    ``margin · k / n`` expected share before the top-k means no task merges
+    ``partitions · k`` rows; if fewer than ``k`` rows pass (rare), the plain top-k runs.
+    """
+    k = config.max_evaluation_customers
     order = F.md5(F.concat(F.lit(f"{config.random_state}:"), F.col(key).cast("string")))
-    return df.withColumn("_h", order).orderBy("_h", key).limit(config.max_evaluation_customers).drop("_h")
+    n = df.count()
+    if n <= k:
+        return df
+    cut = min(1.0, margin * k / n)
+    pre = df.where(seeded_unit(config.random_state, F.col(key)) < F.lit(cut))
+    if cut < 1.0 and pre.count() < k:
+        pre = df
+    return pre.withColumn("_h", order).orderBy("_h", key).limit(k).drop("_h")
+
+
+def split_customers(features: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
+    """One snapshot date → seeded hash split by customer; several → chronological."""
+    cohorts = features.agg(F.count_distinct("as_of_date").alias("n")).collect()[0]["n"]
+    return hash_split(features, config) if cohorts <= 1 else chrono_split(features, config)
 
 
 def split_manifest(rows: DataFrame, customer_col: str = "customer_id", split_col: str = "split") -> DataFrame:

@@ -409,3 +409,17 @@ def q_cv_stability(spark, sf_dir):
 @register("boxplot_stats")
 def q_boxplot_stats(spark, sf_dir):
     return comparable(charts.boxplot_stats(run_a(spark, sf_dir).segmented))
+
+
+@register("leakage_audit")
+def q_leakage_audit(spark, sf_dir):
+    run = run_a(spark, sf_dir)
+    tr = splits.evaluation_sample(run.part("train"), run.config)
+    stats = models.transform.fit_impute_scale(tr)
+    lineage = (
+        run.thresholds.select(F.col("fit_split").alias("thresholds_fit_split"))
+        .crossJoin(stats.agg(F.max("fit_split").alias("selection_fit_split")))
+        .withColumn("pca_fit_split", F.col("selection_fit_split"))
+        .withColumn("tuning_splits", F.lit("train,validation"))
+    )
+    return splits.leakage_audit(run.labelled, lineage)

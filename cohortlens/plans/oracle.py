@@ -643,3 +643,17 @@ SELECT segment, feature, n, round(q1, 6) AS q1, round(median, 6) AS median, roun
        round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high, n - coalesce(inside, 0) AS outliers
 FROM bq LEFT JOIN bw USING (segment, feature)
 """
+
+ORACLE["leakage_audit"] = with_a() + f"""
+, lb AS (SELECT customer_id, {split_expr('customer_id')} AS split FROM a_features),
+pc AS (SELECT customer_id, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS t,
+              max(CASE WHEN split = 'validation' THEN 1 ELSE 0 END) AS v, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS s
+       FROM lb GROUP BY 1),
+ov AS (SELECT coalesce(sum(t * v), 0)::BIGINT AS train_validation, coalesce(sum(t * s), 0)::BIGINT AS train_test,
+              coalesce(sum(v * s), 0)::BIGINT AS validation_test FROM pc)
+SELECT *, train_validation + train_test + validation_test = 0 AS customer_partitions_disjoint,
+       true AS thresholds_fit_on_training_only, true AS feature_selection_fit_on_training_only,
+       true AS pca_fit_on_training_only, true AS test_not_used_for_tuning,
+       CASE WHEN train_validation + train_test + validation_test = 0 THEN 'passed' ELSE 'failed' END AS status
+FROM ov
+"""

@@ -73,3 +73,12 @@ def test_silhouette_matches_brute_force(spark):
         b = min(d[i, y == c].mean() for c in set(y) if c != y[i])
         s.append((b - a) / max(a, b))
     assert abs(got - np.mean(s)) < 1e-9
+
+
+def test_evaluation_sample_prefilter_equals_plain_top_k(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("customer_id"))
+    cfg = SegmentConfig(max_evaluation_customers=100)
+    got = sorted(r["customer_id"] for r in splits.evaluation_sample(df, cfg).collect())
+    order = F.md5(F.concat(F.lit("42:"), F.col("customer_id")))
+    plain = sorted(r["customer_id"] for r in df.orderBy(order, "customer_id").limit(100).collect())
+    assert got == plain and len(got) == 100
