@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..config import SegmentConfig
 from ..operators import candidates, features, quality, rules, splits
 from ..sources import bindings, contract
+from ..session import cut_lineage
 from .segmentation import SegmentationRun
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +41,17 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+_RUNS: dict = {}
+
+
 def run_a(spark: SparkSession, sf_dir: str, config: SegmentConfig = SegmentConfig()) -> SegmentationRun:
-    return SegmentationRun(bindings.binding_a(spark, sf_dir), config)
+    """The segmentation run of binding A, shared by every query of the same dataset and
+    configuration in this session: its features and thresholds are materialised once
+    in the checkpoint folder (the reference's four intents share one run, too)."""
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    if key not in _RUNS:
+        _RUNS[key] = SegmentationRun(bindings.binding_a(spark, sf_dir), config)
+    return _RUNS[key]
 
 
 # ---------------------------------------------------------------- ingestion / cleaning
@@ -223,8 +233,17 @@ def q_planned_intent(spark, sf_dir):
 from ..operators import memory as mem  # noqa: E402
 
 
+_SAVED: dict = {}
+
+
 def _stored(spark, sf_dir):
-    return mem.save(bindings.memory_entries(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
+    """The memory table of the conversations binding, written once per session (a
+    table in the checkpoint folder, as a memory store would be)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        saved = mem.save(bindings.memory_entries(spark, sf_dir), as_of=bindings.MEMORY_AS_OF)
+        _SAVED[key] = {name: cut_lineage(df) for name, df in saved.items()}
+    return _SAVED[key]
 
 
 @register("memory_save")

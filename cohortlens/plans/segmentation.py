@@ -43,7 +43,8 @@ class SegmentationRun:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        return rules.derive_rule_thresholds(self.part("train"), self.config)
+        # one row, read by segmentation, candidates and the audit: materialised once
+        return cut_lineage(rules.derive_rule_thresholds(self.part("train"), self.config))
 
     @cached_property
     def segmented(self) -> DataFrame:
