@@ -58,5 +58,5 @@ def top_k_per_group(
     salted = df.withColumn("_salt", F.abs(F.xxhash64(salt)) % salt_buckets)
     first = salted.withColumn("_r1", F.row_number().over(Window.partitionBy(*g, "_salt").orderBy(*order_cols)))
     survivors = first.where(F.col("_r1") <= k).drop("_r1", "_salt")
-    ranked = survivors.withColumn(out, F.row_number().over(Window.partitionBy(*g).orderBy(*order_cols)))
+    ranked = survivors.withColumn(out, F.row_number().over(Window.partitionBy(*g).orderBy(*order_cols)).cast("bigint"))
     return ranked.where(F.col(out) <= k)
