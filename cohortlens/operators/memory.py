@@ -10,9 +10,8 @@ Tables (Parquet, append-only except a forget rewrite):
 
 Search scores a memory as ``10 · |query tokens ∩ memory tokens| + 1 / (1 + age_days)``
 and keeps the best ``limit`` per query (ties by memory_id). Tokens are the distinct
-``[a-z0-9_]+`` runs longer than 2 characters of the lower-cased text. Only memory/query
-pairs that share a token are formed (an inverted-index join); the recency-only part
-comes from each user's most recent memories.
+``[a-z0-9_]+`` runs longer than 2 characters of the lower-cased text. Frequent tokens
+are bit masks, rare ones an inverted-index join (see :func:`search`).
 """
 from __future__ import annotations
 
@@ -146,26 +145,66 @@ def _candidates(decoded: DataFrame, as_of) -> DataFrame:
     )
 
 
-def search(decoded: DataFrame, queries: DataFrame, limit: int = 10, as_of=None) -> dict[str, DataFrame]:
+FREQUENT_MIN_MEMORIES = 32
+FREQUENT_MAX_TOKENS = 62
+
+
+def search(
+    decoded: DataFrame,
+    queries: DataFrame,
+    limit: int = 10,
+    as_of=None,
+    frequent_min: int = FREQUENT_MIN_MEMORIES,
+    frequent_max: int = FREQUENT_MAX_TOKENS,
+) -> dict[str, DataFrame]:
     """``queries(query_id, user_id, query)`` → best ``limit`` memories per query
-    (``query_id, user_id, rank, memory_id, score``) plus ``audit`` rows."""
+    (``query_id, user_id, rank, memory_id, score``) plus ``audit`` rows.
+
+    Exact, without forming a pair for every query and memory of a user:
+
+    * a user's *frequent* tokens (in at least ``frequent_min`` of their memories, at
+      most ``frequent_max`` of them) become bits; each memory and query gets a mask,
+      and their shared frequent tokens are ``bit_count(q & m)``;
+    * the other (*rare*) tokens are matched by an inverted-index join on
+      ``(user, token)``, which forms only pairs sharing a rare token;
+    * a memory sharing no rare token scores ``10·bit_count(q & m) + recency``, so per
+      (user, mask) the ``limit`` most recent memories are the only ones that can rank.
+    """
     cand = _candidates(decoded, as_of)
     mem_tokens = cand.select(
         "memory_id", "user_id",
         F.explode(tokens(searchable_text(F.col("content"), F.col("context"), F.col("products_mentioned")))).alias("token"),
     )
     q_tokens = queries.select("query_id", "user_id", F.explode(tokens(F.col("query"))).alias("token"))
-    overlap = q_tokens.join(mem_tokens, ["user_id", "token"]).groupBy("query_id", "memory_id").agg(
-        F.count(F.lit(1)).alias("overlap")
+
+    df = mem_tokens.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= frequent_min)
+    bits = top_k_per_group(df, ["user_id"], [F.col("_df").desc(), F.col("token").asc()], frequent_max, F.col("token"), out="_bit")
+    bits = bits.select("user_id", "token", (F.col("_bit") - 1).alias("_bit"))
+
+    def masks(tok: DataFrame, id_col: str) -> DataFrame:
+        return tok.join(bits, ["user_id", "token"]).groupBy(id_col).agg(
+            F.sum(F.expr("shiftleft(1L, cast(_bit AS INT))")).alias("_mask")
+        )
+
+    mem = cand.select("memory_id", "user_id", "recency").join(masks(mem_tokens, "memory_id"), "memory_id", "left").fillna(0, ["_mask"])
+    qry = queries.select("query_id", "user_id").join(masks(q_tokens, "query_id"), "query_id", "left").fillna(0, ["_mask"])
+    qry = qry.withColumnRenamed("_mask", "_qmask")
+
+    rare_m = mem_tokens.join(bits, ["user_id", "token"], "left_anti")
+    rare_q = q_tokens.join(bits, ["user_id", "token"], "left_anti")
+    rare_overlap = rare_q.join(rare_m, ["user_id", "token"]).groupBy("query_id", "memory_id").agg(
+        F.count(F.lit(1)).alias("_rare")
     )
     by_recency = [F.col("recency").desc(), F.col("memory_id").asc()]
-    recent = top_k_per_group(cand.select("user_id", "memory_id", "recency"), ["user_id"], by_recency, limit, F.col("memory_id"), out="_rr")
-    recent_pairs = queries.select("query_id", "user_id").join(recent.drop("_rr"), "user_id")
-    token_pairs = overlap.join(cand.select("memory_id", "user_id", "recency"), "memory_id")
+    recent = top_k_per_group(mem, ["user_id", "_mask"], by_recency, limit, F.col("memory_id"), out="_rr").drop("_rr")
+    with_rare = rare_overlap.join(mem, "memory_id").join(qry.drop("user_id"), "query_id")
+    by_mask = qry.join(recent, "user_id").withColumn("_rare", F.lit(0).cast("bigint"))
+    cols = ["query_id", "user_id", "memory_id", "recency", "_mask", "_qmask", "_rare"]
     pairs = (
-        token_pairs.unionByName(recent_pairs.withColumn("overlap", F.lit(0).cast("bigint")))
-        .groupBy("query_id", "user_id", "memory_id", "recency")
-        .agg(F.max("overlap").alias("overlap"))
+        with_rare.select(*cols).unionByName(by_mask.select(*cols))
+        .groupBy("query_id", "user_id", "memory_id", "recency", "_mask", "_qmask")
+        .agg(F.max("_rare").alias("_rare"))
+        .withColumn("overlap", F.col("_rare") + F.bit_count(F.col("_mask").bitwiseAND(F.col("_qmask"))))
         .withColumn("score", F.lit(10.0) * F.col("overlap") + F.col("recency"))
     )
     best = top_k_per_group(pairs, ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"))

@@ -5,6 +5,7 @@ and render times as text so that another engine can be compared value by value.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from ..config import SegmentConfig
 from ..operators import candidates, features, quality, rules, splits
 from ..sources import bindings, contract
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .segmentation import SegmentationRun
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,16 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Add a query; it runs with the session time zone pinned to UTC (times in the
+    shared tables are zone-less) and a checkpoint folder configured."""
     def wrap(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = run
         return fn
     return wrap
 

@@ -58,3 +58,24 @@ def test_search_top_k_matches_scoring_rule(spark):
     loans = sorted(f"m{i}" for i in range(30) if i % 4 == 0)
     others = sorted(f"m{i}" for i in range(30) if i % 4 != 0)
     assert [r["memory_id"] for r in res] == (loans + others)[:10]
+
+
+def test_search_with_frequent_token_masks_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["loan", "card", "savings", "mortgage", "chat", "email", "branch", "fees", "rate", "alert"]
+    rows = []
+    for i in range(120):
+        user = f"u{i % 3}"
+        text = " ".join(rng.sample(words, rng.randint(1, 4)))
+        rows.append((f"m{i:03d}", user, dt.datetime(2025, 1, 1) + dt.timedelta(hours=rng.randint(0, 200)), "q",
+                     {"topic": rng.choice(["user", "assistant"]), "text": text}, {"contact_method": rng.choice(["chat", "email"])},
+                     {}, True, None, rng.choice([["card"], [], ["card", "savings"]]), []))
+    entries = spark.createDataFrame(rows, SCHEMA)
+    dec = mem.decode(mem.save(entries, as_of=NOW)["stored"]).cache()
+    qs = [(j, f"u{j % 3}", " ".join(rng.sample(words + ["topic", "text", "user"], 3))) for j in range(12)]
+    q = spark.createDataFrame(qs, "query_id int, user_id string, query string")
+    fast = {(r["query_id"], r["rank"]): r["memory_id"] for r in mem.search(dec, q, limit=7, as_of=NOW, frequent_min=5, frequent_max=6)["results"].collect()}
+    plain = {(r["query_id"], r["rank"]): r["memory_id"] for r in mem.search(dec, q, limit=7, as_of=NOW, frequent_min=10**9)["results"].collect()}
+    assert fast == plain and len(plain) == 12 * 7
