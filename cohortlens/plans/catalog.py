@@ -375,29 +375,42 @@ from ..operators import charts, models  # noqa: E402
 MODEL_CONFIG = SegmentConfig(kmeans_n_init=(1, 2), gmm_n_init=1)
 
 
+_MODELS: dict = {}
+
+
 def _design(spark, sf_dir, config=MODEL_CONFIG):
-    run = run_a(spark, sf_dir, config)
-    tr = splits.evaluation_sample(run.part("train"), config)
-    va = splits.evaluation_sample(run.part("validation"), config)
-    return run, models.design_matrix(tr, va, config)
+    key = (spark.sparkContext.applicationId, sf_dir, config, "design")
+    if key not in _MODELS:
+        run = run_a(spark, sf_dir, config)
+        tr = splits.evaluation_sample(run.part("train"), config)
+        va = splits.evaluation_sample(run.part("validation"), config)
+        _MODELS[key] = (run, models.design_matrix(tr, va, config))
+    return _MODELS[key]
+
+
+def _scores(spark, sf_dir, family: str, config=MODEL_CONFIG) -> DataFrame:
+    """Tuning score table of one model family, computed once per dataset and session."""
+    key = (spark.sparkContext.applicationId, sf_dir, config, family)
+    if key not in _MODELS:
+        _, d = _design(spark, sf_dir, config)
+        table = models.tune_kmeans(d, config) if family == "kmeans" else models.tune_gmm(d, config, max_iter=20)
+        _MODELS[key] = cut_lineage(table)
+    return _MODELS[key]
 
 
 @register("kmeans_tuning")
 def q_kmeans_tuning(spark, sf_dir):
-    _, d = _design(spark, sf_dir)
-    return comparable(models.tune_kmeans(d, MODEL_CONFIG))
+    return comparable(_scores(spark, sf_dir, "kmeans"))
 
 
 @register("gmm_tuning")
 def q_gmm_tuning(spark, sf_dir):
-    _, d = _design(spark, sf_dir)
-    return comparable(models.tune_gmm(d, MODEL_CONFIG, max_iter=20))
+    return comparable(_scores(spark, sf_dir, "gmm"))
 
 
 @register("fit_diagnostics")
 def q_fit_diagnostics(spark, sf_dir):
-    _, d = _design(spark, sf_dir)
-    scores = models.tune_kmeans(d, MODEL_CONFIG).unionByName(models.tune_gmm(d, MODEL_CONFIG, max_iter=20))
+    scores = _scores(spark, sf_dir, "kmeans").unionByName(_scores(spark, sf_dir, "gmm"))
     return comparable(models.fit_diagnostics(scores))
 
 
