@@ -80,3 +80,19 @@ def test_multi_snapshot_matches_single_snapshot(spark):
     for cid in ("a", "b"):
         assert single[cid]["avg_balance_90d"] == multi[cid]["avg_balance_90d"]
         assert single[cid]["recency_days"] == multi[cid]["recency_days"]
+
+
+def test_history_pruning_falls_back_when_newest_rows_are_unusable(spark):
+    fr = frames(spark)
+    # the newest rows (December) have no usable value: U is in December, but the last
+    # usable event is 2025-03-31, older than U - lookback
+    fr["balances"] = spark.createDataFrame(
+        [("a", "2025-01-01", 100.0, 1), ("a", "2025-03-31", 200.0, 2), ("a", "2025-12-31", None, 3)],
+        "customer_id string, timestamp string, balance double, seq int")
+    fr["transactions"] = spark.createDataFrame(
+        [("a", "2025-03-31", 30.0, 1), ("b", "2025-12-30", float("inf"), 2)],
+        "customer_id string, timestamp string, amount double, seq int")
+    out = {r["customer_id"]: r for r in features.build_customer_features(fr).collect()}
+    assert out["a"]["as_of_date"] == "2025-03-31"
+    assert out["a"]["avg_balance_90d"] == 150.0 and out["a"]["transaction_count_90d"] == 1
+    assert out["a"]["recency_days"] == 0 and out["b"]["transaction_count_90d"] == 0
