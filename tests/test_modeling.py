@@ -82,3 +82,15 @@ def test_evaluation_sample_prefilter_equals_plain_top_k(spark):
     order = F.md5(F.concat(F.lit("42:"), F.col("customer_id")))
     plain = sorted(r["customer_id"] for r in df.orderBy(order, "customer_id").limit(100).collect())
     assert got == plain and len(got) == 100
+
+
+def test_cv_guard_and_one_segment_per_customer(spark):
+    small = _features(spark, 10)
+    out = models.cv_summary(models.cross_validate_stability(small)).collect()[0]
+    assert out["note"] == models.CV_TOO_SMALL and out["mean_silhouette"] is None
+    from cohortlens.operators import rules
+    feats = _features(spark, 30)
+    seg = rules.assign_rule_segments(feats, rules.derive_rule_thresholds(feats))
+    per = seg.groupBy("customer_id").count().where("count <> 1").count()
+    assert per == 0 and seg.count() == 30
+    assert set(r["segment"] for r in seg.select("segment").distinct().collect()) <= set(rules.SEGMENTS)
