@@ -29,6 +29,24 @@ def hash_split(features: DataFrame, config: SegmentConfig = SegmentConfig()) ->
     return features.withColumn("split", split_label(F.col("customer_id"), config))
 
 
+def quota_split(features: DataFrame, config: SegmentConfig = SegmentConfig(), key: str = "customer_id") -> DataFrame:
+    """Exact split sizes: customers ordered by seeded md5; the first
+    ``ceil(test·n)`` are test, the next ``ceil(validation/(1-test) · rest)`` validation.
+
+    Positions come from :func:`position_within` with the first 4 hex digits of the
+    md5 as buckets (a monotone coarsening of the order), so no task ranks all rows.
+    """
+    h = F.md5(F.concat(F.lit(f"{config.random_state}:"), F.col(key).cast("string")))
+    keyed = features.withColumn("_h", h)
+    ranked = position_within(keyed, [], ["_h", key], F.substring("_h", 1, 4), out="_pos", base=0)
+    total = features.agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    n_test = F.ceil(n * F.lit(config.test_fraction))
+    n_val = F.ceil((n - n_test) * F.lit(config.validation_fraction / (1 - config.test_fraction)))
+    label = F.when(F.col("_pos") < n_test, "test").when(F.col("_pos") < n_test + n_val, "validation").otherwise("train")
+    return ranked.crossJoin(F.broadcast(total)).withColumn("split", label).drop("_h", "_pos", "_n")
+
+
 def chrono_split(features: DataFrame, config: SegmentConfig = SegmentConfig(), key_prefix: int = 4) -> DataFrame:
     """Cut the (as_of_date, customer_id) order at 1 - test - validation and 1 - test.
 

@@ -124,6 +124,11 @@ def q_hash_split(spark, sf_dir):
     return run_a(spark, sf_dir).labelled.select("customer_id", "split")
 
 
+@register("quota_split")
+def q_quota_split(spark, sf_dir):
+    return splits.quota_split(run_a(spark, sf_dir).features).select("customer_id", "split")
+
+
 @register("split_sizes")
 def q_split_sizes(spark, sf_dir):
     return splits.split_sizes(run_a(spark, sf_dir).labelled)

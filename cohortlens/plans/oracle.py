@@ -657,3 +657,11 @@ SELECT *, train_validation + train_test + validation_test = 0 AS customer_partit
        CASE WHEN train_validation + train_test + validation_test = 0 THEN 'passed' ELSE 'failed' END AS status
 FROM ov
 """
+
+ORACLE["quota_split"] = with_a() + f"""
+SELECT customer_id, CASE WHEN pos < nt THEN 'test' WHEN pos < nt + nv THEN 'validation' ELSE 'train' END AS split FROM (
+  SELECT customer_id, pos, nt, CAST(ceil((n - nt) * (0.15 / (1 - 0.2))) AS BIGINT) AS nv FROM (
+    SELECT customer_id, row_number() OVER (ORDER BY md5('{SEED}:' || customer_id), customer_id) - 1 AS pos, n,
+           CAST(ceil(n * 0.2) AS BIGINT) AS nt
+    FROM (SELECT customer_id, count(*) OVER () AS n FROM a_features)))
+"""
