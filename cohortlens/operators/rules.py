@@ -148,3 +148,8 @@ def explain_segments(segmented: DataFrame) -> DataFrame:
 def final_test_report(test_features: DataFrame, thresholds: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
     """Segment distribution of the test split under the training thresholds."""
     return segment_counts(assign_rule_segments(test_features, thresholds, config))
+
+
+def sorted_segments(segmented: DataFrame) -> DataFrame:
+    """Segmented rows in (segment, customer_id) order (a range-partitioned global sort)."""
+    return segmented.orderBy("segment", "customer_id")

@@ -139,3 +139,8 @@ def leakage_audit(split_df: DataFrame, lineage: DataFrame) -> DataFrame:
         & F.col("test_not_used_for_tuning")
     )
     return checks.withColumn("status", F.when(all_ok, "passed").otherwise("failed"))
+
+
+def sorted_customers(rows: DataFrame, customer_col: str = "customer_id") -> DataFrame:
+    """Distinct non-null customer ids in ascending order."""
+    return rows.select(customer_col).where(F.col(customer_col).isNotNull()).distinct().orderBy(customer_col)

@@ -28,3 +28,10 @@ def test_quota_split_has_exact_sizes(spark):
     df = spark.range(1001).select(F.col("id").cast("string").alias("customer_id"))
     sizes = {r["split"]: r["customers"] for r in splits.split_sizes(splits.quota_split(df, SegmentConfig())).collect()}
     assert sizes == {"test": 201, "validation": 150, "train": 650}
+
+
+def test_sorted_helpers(spark):
+    from cohortlens.operators import rules
+    seg = spark.createDataFrame([("b", "regular"), ("a", "regular"), ("c", "dormant")], "customer_id string, segment string")
+    assert [r["customer_id"] for r in rules.sorted_segments(seg).collect()] == ["c", "a", "b"]
+    assert [r["customer_id"] for r in splits.sorted_customers(seg.union(seg)).collect()] == ["a", "b", "c"]
