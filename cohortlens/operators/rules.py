@@ -61,12 +61,20 @@ def round9(c: Column) -> Column:
     return F.round(c, 9)
 
 
-def derive_rule_thresholds(train_features: DataFrame, config: SegmentConfig = SegmentConfig(), fit_split: str = "train") -> DataFrame:
+def derive_rule_thresholds(
+    train_features: DataFrame, config: SegmentConfig = SegmentConfig(), fit_split: str = "train", approx: bool = False
+) -> DataFrame:
     """One row: priority_balance_threshold, priority_frequency_threshold, dormant_days, fit_split.
 
-    Training rows with a balance history only; both quantiles are exact.
+    Training rows with a balance history only; both quantiles are exact unless
+    ``approx`` (then the ``percentile_approx`` sketch).
     """
     valid = train_features.where(~F.col("insufficient_balance_history"))
+    if approx:
+        return valid.agg(
+            F.percentile_approx("avg_balance_90d", config.priority_balance_percentile, 10_000).alias("priority_balance_threshold"),
+            F.percentile_approx("transaction_frequency_monthly", config.priority_frequency_percentile, 10_000).alias("priority_frequency_threshold"),
+        ).select("*", F.lit(config.dormant_days).alias("dormant_days"), F.lit(fit_split).alias("fit_split"))
     bal = exact_quantiles(valid, "avg_balance_90d", {"priority_balance_threshold": config.priority_balance_percentile})
     freq = exact_quantiles(valid, "transaction_frequency_monthly", {"priority_frequency_threshold": config.priority_frequency_percentile})
     return bal.crossJoin(freq).select(

@@ -37,3 +37,16 @@ def test_average_tie_percent_rank_matches_pandas(spark):
     expect = pd.Series(vals).rank(pct=True)
     for i, e in enumerate(expect):
         assert (got[i] is None and np.isnan(e)) or abs(got[i] - e) < 1e-12
+
+
+def test_approximate_options_stay_close(spark):
+    from cohortlens.operators import features, rules
+    from tests.test_features import frames
+
+    fr = frames(spark)
+    exact = {r["customer_id"]: r["median_transaction_amount"] for r in features.build_customer_features(fr).collect()}
+    approx = {r["customer_id"]: r["median_transaction_amount"] for r in features.build_customer_features(fr, approx_median=True).collect()}
+    assert exact == approx
+    feats = features.build_customer_features(fr)
+    a = rules.derive_rule_thresholds(feats, approx=True).collect()[0]
+    assert a["priority_balance_threshold"] == 150.0 and a["fit_split"] == "train"
