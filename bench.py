@@ -1,8 +1,9 @@
 """Headline timings: the segmentation run's queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries", "sf", ...}.
-Each query is built from the tables and fully materialised (``count`` of its rows
-via a no-op write-like action) in a fresh job; timings include planning.
+Each query is built from the tables and fully computed (``count`` of its rows);
+timings include planning and, for the first query of a dataset, building the shared
+segmentation run (checkpointed features and thresholds).
 """
 from __future__ import annotations
 
