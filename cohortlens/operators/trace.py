@@ -33,7 +33,7 @@ def step_registry(spark) -> DataFrame:
 def annotate_events(log: DataFrame, run_col: str = "run_id", order_cols=("ts", "event_id"), coarse=None) -> DataFrame:
     """Per run: 1-based ``sequence`` in (ts, event_id) order, agent and tool from the
     registry (default: orchestrator agent, the step as tool), type and status."""
-    coarse = coarse if coarse is not None else F.date_trunc("hour", F.col(order_cols[0]))
+    coarse = coarse if coarse is not None else F.date_trunc("minute", F.col(order_cols[0]))
     numbered = position_within(log, [run_col], list(order_cols), coarse, out="sequence")
     reg = F.broadcast(step_registry(log.sparkSession).withColumnRenamed("step", "_rstep"))
     step = F.coalesce(F.col("step"), F.lit("unknown"))
