@@ -172,8 +172,20 @@ def build_features_at(
     is copied to the snapshots whose window holds it (an ``explode`` of a filtered
     literal array, no join), then aggregated by ``(as_of_date, customer_id)``.
     """
-    cleaned = clean_frames(frames)
     lookback = config.lookback_days
+    # only [first snapshot - lookback, last snapshot] can matter; the bounds are
+    # literals (pushed to the scan) and commute with the (customer, time) grouping
+    days = sorted(str(d)[:10] for d in as_of_dates)
+    lo = F.to_timestamp(F.lit(days[0])) - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lookback))
+    hi = F.to_timestamp(F.lit(days[-1]))
+    cleaned = {
+        n: dedupe_first(
+            typed_events(frames[n], VALUE_COLUMNS[n]).na.drop(subset=["customer_id", "timestamp"])
+            .where((F.col("timestamp") >= lo) & (F.col("timestamp") <= hi)),
+            VALUE_COLUMNS[n],
+        )
+        for n in EVENT_TABLES
+    }
     snap = F.array(*[
         F.struct(F.lit(str(d)[:10]).alias("as_of_date"), F.to_timestamp(F.lit(str(d)[:10])).alias("latest"))
         for d in as_of_dates
