@@ -1,6 +1,7 @@
 """Helpers shared by the operators: table access, batches, text bytes, hashes."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["table", "prepare", "cut_lineage", "slices", "word_hashes", "ascii_words", "ngram_hashes"]
+__all__ = ["table", "prepare", "cut_lineage", "scratch_path", "slices", "word_hashes", "ascii_words", "ngram_hashes"]
 
 BATCH_ROWS = 1000
 
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows (no copy)."""
     for batch in batches:

@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, sharding
-from .common import table
+from . import decontam, exact_dedup, sharding, token_output, toxicity
+from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 8
+END_ID = 2
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "token-files")
+    token_output.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_output.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +29,13 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.verdicts(decontam.scan(docs, table(spark, sf_dir, "benchmark")))
@@ -30,7 +46,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_jump_shards, op7_decontaminate, op10_exact_dedup)
+    f.__name__: f for f in (
+        op1_token_files, op3_jump_shards, op4_toxicity_machine, op7_decontaminate, op10_exact_dedup,
+    )
 }
 
 # DuckDB SQL of the same results, where SQL can express them over whole tables.
