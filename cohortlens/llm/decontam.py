@@ -42,41 +42,36 @@ def benchmark_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_NORMAL).split() if text else []
 
 
-class GramIndex:
-    """Grams of one block of items: per gram length a sorted hash array, and the words of
-    each distinct gram with the items that hold it."""
-
-    def __init__(self, items: list[tuple], n: int = WORDS_PER_GRAM):
-        found: dict[tuple, set] = {}
-        for item_id, text in items:
-            words = benchmark_words(text)
-            for at in range(max(1, len(words) - n + 1) if words else 0):
-                found.setdefault(tuple(words[at:at + n]), set()).add(item_id)
-        self.lengths: dict[int, np.ndarray] = {}
-        self.grams: dict[int, list[tuple]] = {}
-        by_hash: dict[int, dict[int, list]] = {}
-        for gram, ids in found.items():
-            code = int(ngram_hashes(word_hashes(list(gram)), len(gram))[0])
-            by_hash.setdefault(len(gram), {}).setdefault(code, []).append((gram, sorted(ids, key=str)))
-        for size, codes in by_hash.items():
-            self.lengths[size] = np.array(sorted(codes), np.uint64)
-            self.grams[size] = [codes[int(c)] for c in self.lengths[size]]
-
-    def spans(self, words: list[bytes]) -> list[tuple[int, int, list]]:
-        """Verified occurrences as (first word, end, items)."""
-        out = []
-        hashes = word_hashes(words)
-        for size, codes in self.lengths.items():
-            windows = ngram_hashes(hashes, size)
-            if not len(windows):
-                continue
-            at = np.searchsorted(codes, windows)
-            at[at == len(codes)] = 0
-            for start in np.flatnonzero(codes[at] == windows).tolist():
-                for gram, ids in self.grams[size][at[start]]:
-                    if tuple(words[start:start + size]) == gram:
-                        out.append((start, start + size, ids))
-        return out
+def gram_index(items: list[tuple], n: int = WORDS_PER_GRAM) -> dict[int, tuple[np.ndarray, list]]:
+    """Grams of one block of items: per gram length the sorted hashes, and beside each the
+    distinct grams of that hash with the items that hold them (plain data, for a broadcast)."""
+    found: dict[tuple, set] = {}
+    for item_id, text in items:
+        words = benchmark_words(text)
+        for at in range(max(1, len(words) - n + 1) if words else 0):
+            found.setdefault(tuple(words[at:at + n]), set()).add(item_id)
+    by_hash: dict[int, dict[int, list]] = {}
+    for gram, ids in found.items():
+        code = int(ngram_hashes(word_hashes(list(gram)), len(gram))[0])
+        by_hash.setdefault(len(gram), {}).setdefault(code, []).append((gram, sorted(ids, key=str)))
+    return {size: (np.array(sorted(codes), np.uint64), [codes[c] for c in sorted(codes)]) for size, codes in by_hash.items()}
+
+
+def find_spans(index: dict[int, tuple[np.ndarray, list]], words: list[bytes]) -> list[tuple[int, int, list]]:
+    """Verified occurrences in a document as (first word, end, items)."""
+    out = []
+    hashes = word_hashes(words)
+    for size, (codes, grams) in index.items():
+        windows = ngram_hashes(hashes, size)
+        if not len(windows):
+            continue
+        at = np.searchsorted(codes, windows)
+        at[at == len(codes)] = 0
+        for start in np.flatnonzero(codes[at] == windows).tolist():
+            for gram, ids in grams[at[start]]:
+                if tuple(words[start:start + size]) == gram:
+                    out.append((start, start + size, ids))
+    return out
 
 
 def _pass(index, text: str):
@@ -90,7 +85,7 @@ def _pass(index, text: str):
             old = [batch.column(names.index(c)).to_pylist() for c in ("_starts", "_ends", "_items")]
             for row, value in enumerate(texts):
                 words = benchmark_words(value)
-                spans = grams.spans(words) if words else []
+                spans = find_spans(grams, words) if words else []
                 n_words.append(len(words))
                 starts.append((old[0][row] or []) + [s for s, _, _ in spans])
                 ends.append((old[1][row] or []) + [e for _, e, _ in spans])
@@ -129,7 +124,7 @@ def scan(
     for number, items in enumerate(item_blocks(benchmark, item, item_text, block_bytes)):
         if number:
             out = cut_lineage(out)  # else every block's table would be in one task's memory
-        out = out.mapInArrow(_pass(context.broadcast(GramIndex(items, n)), text), out.schema)
+        out = out.mapInArrow(_pass(context.broadcast(gram_index(items, n)), text), out.schema)
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, sharding, token_output, toxicity
+from . import decontam, exact_dedup, sentence_pieces, sharding, token_output, toxicity, warc_zip
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,18 +36,37 @@ def op4_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, "packages"))
+    records = warc_zip.read_records(warc_zip.read_index(packages), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.verdicts(decontam.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.encode(docs, sentence_pieces.load_model(piece_model()), check=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "decoded_ok")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_token_files, op3_jump_shards, op4_toxicity_machine, op7_decontaminate, op10_exact_dedup,
+        op1_token_files, op3_jump_shards, op4_toxicity_machine, op6_warc_packages, op7_decontaminate, op9_sentence_pieces,
+        op10_exact_dedup,
     )
 }
 

@@ -39,6 +39,8 @@ MIN_CHI2 = 20.0
 MIN_DOCS = 4
 PLACES = 1 << 26
 FACTORS = 8
+RATE, L2 = 0.1, 1e-5
+FACTOR_RATE, FACTOR_L2 = 0.02, 2e-4
 THRESHOLD = 0.3
 MEMO_WORDS = 300_000
 
@@ -77,16 +79,20 @@ class FactorisationMachine:
         return self.bias + linear + (sums ** 2).sum(1) / 2, sums
 
 
-def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, steps: int = 250, rate: float = 0.05, l2: float = 2e-5) -> FactorisationMachine:
-    """Full-batch Adam on the logistic loss with a small L2 penalty; deterministic."""
+def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, steps: int = 250) -> FactorisationMachine:
+    """Full-batch Adam on the logistic loss; deterministic. Linear weights move faster and
+    are penalised less than factors, so pairs explain only what single terms do not."""
     n, m = len(labels), len(places)
     share = labels.mean() if n else 0.0
     if n == 0 or share in (0.0, 1.0):
         return FactorisationMachine(places, 40.0 if share else -800.0, np.zeros(m), np.zeros((FACTORS, m)))
     rng = np.random.default_rng(7)
-    fm = FactorisationMachine(places, float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.05, (FACTORS, m)))
+    fm = FactorisationMachine(places, float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.02, (FACTORS, m)))
     theta = np.concatenate([[fm.bias], fm.weights, fm.factors.ravel()])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    rate = np.full_like(theta, RATE)
+    penalty = np.full_like(theta, L2)
+    rate[m + 1:], penalty[m + 1:], penalty[0] = FACTOR_RATE, FACTOR_L2, 0.0
     for t in range(1, steps + 1):
         fm.bias, fm.weights, fm.factors = float(theta[0]), theta[1:m + 1], theta[m + 1:].reshape(FACTORS, m)
         logits, sums = fm.logits(indices, rows, n)
@@ -95,7 +101,7 @@ def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, label
         by_term = np.bincount(indices, each, m)
         by_factor = np.stack([np.bincount(indices, each * sums[rows, f], m) - fm.factors[f] * by_term for f in range(FACTORS)])
         grad = np.concatenate([[error.sum()], by_term, by_factor.ravel()]) / n
-        grad[1:] += l2 * theta[1:]
+        grad += penalty * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad ** 2
         theta = theta - rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
@@ -191,10 +197,10 @@ def _scorer(machine: FactorisationMachine):
 
 def score(docs: DataFrame, machine: FactorisationMachine, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the toxicity score appended."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast((machine.places, machine.bias, machine.weights, machine.factors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _scorer(shared.value)
+        scores = _scorer(FactorisationMachine(*shared.value))
         for batch in slices(batches):
             values = scores(batch.column(batch.schema.names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, column])
