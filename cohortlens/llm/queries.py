@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, sentence_pieces, sharding, token_output, toxicity, warc_zip
+from . import decontam, exact_dedup, near_dedup, sentence_pieces, sharding, token_output, toxicity, warc_zip
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -65,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_token_files, op3_jump_shards, op4_toxicity_machine, op6_warc_packages, op7_decontaminate, op9_sentence_pieces,
+        op1_token_files, op2_near_duplicates, op3_jump_shards, op4_toxicity_machine, op6_warc_packages, op7_decontaminate, op9_sentence_pieces,
         op10_exact_dedup,
     )
 }
