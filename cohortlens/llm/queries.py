@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, near_dedup, sentence_pieces, sharding, token_output, toxicity, warc_zip
+from . import decontam, exact_dedup, near_dedup, sentence_pieces, sharding, substring_dedup, token_output, toxicity, warc_zip
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op4_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, "packages"))
     records = warc_zip.read_records(warc_zip.read_index(packages), payloads=False)
@@ -69,7 +74,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_token_files, op2_near_duplicates, op3_jump_shards, op4_toxicity_machine, op6_warc_packages, op7_decontaminate, op9_sentence_pieces,
+        op1_token_files, op2_near_duplicates, op3_jump_shards, op4_toxicity_machine, op5_substring_dedup, op6_warc_packages, op7_decontaminate,
+        op9_sentence_pieces,
         op10_exact_dedup,
     )
 }
