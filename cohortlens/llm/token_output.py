@@ -13,21 +13,26 @@ document is a prefix sum over parts (one small row each) plus ``at``; nothing ne
 global running sum. Parquet and Spark's commit make a lost executor's part re-written whole.
 
 Speed comes from a memo in front of the library: at a single blank or line break between
-non-blank characters the byte-level pre-tokeniser always starts a new piece, so the parts
-of a text between them are encoded independently and each distinct part once per task.
-Texts with other white space go to the library whole; both ways give the library's ids.
+other characters the byte-level pre-tokeniser always starts a new piece, so the parts of a
+text between them are encoded independently and each distinct part once per task. Texts
+with other white space, and other kinds of tokenizers, go to the library whole; both ways
+give the library's ids.
 
 Defined cases: a null text is empty (only the end id); null doc_ids come first; equal
 doc_ids are ordered by their content; an empty table gives empty files.
 """
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
+import string
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,38 +41,91 @@ from .common import cut_lineage, slices
 
 MEMO_PARTS = 400_000  # distinct parts remembered per task
 
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+# White space other than the single blank or line break between two other characters
+# (Unicode White_Space and the ASCII separators), and NUL, which marks text starts here.
+_ODD_SPACE = (
+    r"[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[ \n][ \n]|^[ \n]|[ \n]$"
+)
+START = "\0\0"
+
+
+def byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the
+    characters from 256 on, in byte order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class MemoEncoder:
-    """``tokenizers`` encoder with a bounded memo of text parts; ids as little-endian bytes."""
+    """Ids of the ``tokenizers`` library, with a bounded memo of text parts in front of it.
+
+    For a byte-level pre-tokeniser without normaliser a part made of letters and closing
+    punctuation is segmented by the library's BPE model directly. That needs no
+    pre-tokenisation: no entry of the vocabulary has such punctuation behind a letter or a
+    part of one (checked here), so no merge crosses from the letters into it."""
 
     def __init__(self, tokenizer_json: str, dtype: str, limit: int = MEMO_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_str(tokenizer_json).encode_batch_fast
-        self.dtype, self.limit = dtype, limit
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.dtype, self.limit = np.dtype(dtype), limit
         self.memo: dict[str, bytes] = {}
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.encode_batch(parts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Memo keys are the parts as the library sees them, except that a
-        part following a blank is kept without it; text starts are marked with a NUL pair."""
-        split = [None if not t or _ODD_SPACE.search(t) else ("\0\0" + t).replace("\n", " \n").split(" ") for t in texts]
+        spec = json.loads(tokenizer_json)
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_part = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.alphabet = byte_characters()
+        byte_of = {c: b for b, c in self.alphabet.items()}
+        tokens = [bytes(byte_of[c] for c in t).decode("utf-8", "replace") for t in self.tokenizer.get_vocab() if byte_of.keys() >= set(t)]
+        marks = set(string.punctuation) - {"'"}
+        mixed = {c for t in tokens for before, c in zip(t, t[1:]) if c in marks and (before.isalpha() or before == "\ufffd")}
+        self.closing = "".join(sorted(marks - mixed))
+        self.line = self._library(["\n"])[0]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Add parts to the memo. A part follows a blank, starts with a line break, or (behind
+        ``START``) starts a text; only the first kind is encoded with its blank."""
+        bodies = [" " + p if p[0] not in "\0\n" else p[2:] if p[0] == "\0" else p[1:] for p in parts]
+        model, closing, memo, line, dtype = self.tokenizer.model.tokenize, self.closing, self.memo, self.line, self.dtype
+        plain = [body.lstrip(" ").rstrip(closing).isalpha() for body in bodies]
+        mapped = iter("\n".join(itertools.compress(bodies, plain)).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[0x0A]))
+        pack = struct.Struct(f"<{'H' if dtype.itemsize == 2 else 'I'}").pack
+        by_library = iter(self._library([body for body, simple in zip(bodies, plain) if not simple]))
+        for part, simple in zip(parts, plain):
+            raw = b"".join([pack(t.id) for t in model(next(mapped))]) if simple else next(by_library)
+            memo[part] = line + raw if part[0] == "\n" else raw
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: none)."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring_regex(texts, _ODD_SPACE), pc.equal(texts, "")) if self.by_part else pa.array([True] * len(texts))
+        out: list[bytes] = [b""] * len(texts)
+        by_library = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, raw in zip(by_library.tolist(), self._library([texts[i].as_py() for i in by_library.tolist()])):
+            out[i] = raw
+        by_memo = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if len(by_memo):
+            for i, raw in zip(by_memo.tolist(), self._by_parts(texts.take(pa.array(by_memo)))):
+                out[i] = raw
+        return out
+
+    def _by_parts(self, texts: pa.Array) -> list[bytes]:
+        marked = pc.replace_substring(pc.binary_join_element_wise(START, texts, ""), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().tolist()
         if len(self.memo) > self.limit:
             self.memo.clear()
-        memo, wanted = self.memo, set()
-        for parts in split:
-            if parts:
-                wanted.update(parts)
-        new = [p for p in wanted if p not in memo]
-        seen = [p[2:] if p.startswith("\0\0") else p if p.startswith("\n") else " " + p for p in new]
-        memo.update(zip(new, self._library(seen)))
-        whole = iter(self._library([t for t, parts in zip(texts, split) if not parts]))
-        return [b"".join(map(memo.__getitem__, parts)) if parts else next(whole) for parts in split]
+        self._learn([p for p in distinct if p not in self.memo])
+        known = [self.memo[p] for p in distinct]
+        raw = list(map(known.__getitem__, index))
+        cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        return [b"".join(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,8 +136,8 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, vocabula
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = MemoEncoder(shared.value, dtype), zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches):
-            ids = [b + end for b in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+        for batch in batches:
+            ids = [b + end for b in encoder.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(b) // len(end) for b in ids], pa.int64()), pa.array([pack.compress(b) for b in ids], pa.binary()),
             ], names=["doc_id", "n_tokens", "ids"])
