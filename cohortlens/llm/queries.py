@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, near_dedup, sentence_pieces, sharding, substring_dedup, token_output, toxicity, warc_zip
+from . import decontam, exact_dedup, near_dedup, secrets, sentence_pieces, sharding, substring_dedup, token_output, toxicity, warc_zip
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(decontam.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentence_pieces.encode(docs, sentence_pieces.load_model(piece_model()), check=True)
@@ -75,7 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_token_files, op2_near_duplicates, op3_jump_shards, op4_toxicity_machine, op5_substring_dedup, op6_warc_packages, op7_decontaminate,
-        op9_sentence_pieces,
+        op8_secret_scan, op9_sentence_pieces,
         op10_exact_dedup,
     )
 }
