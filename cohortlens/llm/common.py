@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["table", "prepare", "cut_lineage", "scratch_path", "slices", "word_hashes", "ascii_words", "ngram_hashes"]
+__all__ = ["table", "prepare", "cut_lineage", "scratch_path", "free_name", "slices", "word_hashes", "ascii_words", "ngram_hashes"]
 
 BATCH_ROWS = 1000
 
@@ -35,6 +35,14 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until ``df`` has no such column (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows (no copy)."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, ngram_hashes, slices, word_hashes
+from .common import cut_lineage, free_name, ngram_hashes, slices, word_hashes
 
 WORDS_PER_GRAM = 13
 BLOCK_BYTES = 32_000_000
@@ -74,7 +74,10 @@ def find_spans(index: dict[int, tuple[np.ndarray, list]], words: list[bytes]) ->
     return out
 
 
-def _pass(index, text: str):
+ADDED = ("_n_words", "_starts", "_ends", "_items")
+
+
+def _pass(index, text: str, added: tuple[str, ...]):
     """Task function: append this block's spans and items to the row's lists."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = index.value
@@ -82,7 +85,7 @@ def _pass(index, text: str):
             names = batch.schema.names
             texts = batch.column(names.index(text)).to_pylist()
             n_words, starts, ends, items = [], [], [], []
-            old = [batch.column(names.index(c)).to_pylist() for c in ("_starts", "_ends", "_items")]
+            old = [batch.column(names.index(c)).to_pylist() for c in added[1:]]
             for row, value in enumerate(texts):
                 words = benchmark_words(value)
                 spans = find_spans(grams, words) if words else []
@@ -91,10 +94,10 @@ def _pass(index, text: str):
                 ends.append((old[1][row] or []) + [e for _, e, _ in spans])
                 items.append(sorted(set(old[2][row] or []).union(*(i for _, _, i in spans)) if spans else old[2][row] or [], key=str))
             columns = {c: batch.column(i) for i, c in enumerate(names)}
-            columns |= {
-                "_n_words": pa.array(n_words, pa.int64()), "_starts": pa.array(starts, pa.list_(pa.int64())),
-                "_ends": pa.array(ends, pa.list_(pa.int64())), "_items": pa.array(items, batch.schema.field("_items").type),
-            }
+            columns |= dict(zip(added, (
+                pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())),
+                pa.array(items, batch.schema.field(added[3]).type),
+            )))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return scan
 
@@ -114,17 +117,19 @@ def scan(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     n: int = WORDS_PER_GRAM, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``_n_words`` and the verified spans ``_starts``, ``_ends`` and ``_items``."""
+    """``docs`` with ``_n_words`` and the verified spans ``_starts``, ``_ends`` and ``_items`` as
+    its last four columns (underscores are appended to names that ``docs`` has already)."""
+    added = tuple(free_name(docs, c) for c in ADDED)
     item_type = benchmark.schema[item].dataType
     out = docs.select(
-        "*", F.lit(0).cast("bigint").alias("_n_words"), F.lit(None).cast("array<bigint>").alias("_starts"),
-        F.lit(None).cast("array<bigint>").alias("_ends"), F.lit(None).cast(T.ArrayType(item_type)).alias("_items"),
+        "*", F.lit(0).cast("bigint").alias(added[0]), F.lit(None).cast("array<bigint>").alias(added[1]),
+        F.lit(None).cast("array<bigint>").alias(added[2]), F.lit(None).cast(T.ArrayType(item_type)).alias(added[3]),
     )
     context = docs.sparkSession.sparkContext
     for number, items in enumerate(item_blocks(benchmark, item, item_text, block_bytes)):
         if number:
             out = cut_lineage(out)  # else every block's table would be in one task's memory
-        out = out.mapInArrow(_pass(context.broadcast(gram_index(items, n)), text), out.schema)
+        out = out.mapInArrow(_pass(context.broadcast(gram_index(items, n)), text, added), out.schema)
     return out
 
 
@@ -150,21 +155,21 @@ def verdicts(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
             ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = scanned.schema[key].dataType.simpleString()
-    narrow = scanned.select(F.col(key).alias("doc_id"), "_n_words", "_starts", "_ends", "_items")
+    narrow = scanned.select(F.col(key).alias("doc_id"), *scanned.columns[-4:])
     return narrow.mapInArrow(judge, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are clean, with their own columns."""
     scanned = scan(docs, benchmark, text, item, item_text)
-    names, schema = docs.columns, docs.schema
+    names, schema, added = docs.columns, docs.schema, scanned.columns[-4:]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             keep = [
                 not (s and SHARE * int(_cover(n, s, e).sum()) >= n)
-                for n, s, e in zip(got["_n_words"].to_pylist(), got["_starts"].to_pylist(), got["_ends"].to_pylist())
+                for n, s, e in zip(*(got[c].to_pylist() for c in added[:3]))
             ]
             yield pa.RecordBatch.from_arrays([got[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
@@ -175,7 +180,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     """``docs`` with hit words removed from ``text``; other characters, also those between
     words, stay. Rows without hits are unchanged."""
     scanned = scan(docs, benchmark, text, item, item_text)
-    names, schema = docs.columns, docs.schema
+    names, schema, added = docs.columns, docs.schema, scanned.columns[-4:]
 
     def remove(value: str, n_words: int, starts, ends) -> str:
         hit, raw = _cover(n_words, starts, ends), value.encode()
@@ -191,7 +196,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            parts = zip(*(got[c].to_pylist() for c in (text, "_n_words", "_starts", "_ends")))
+            parts = zip(*(got[c].to_pylist() for c in (text, *added[:3])))
             got[text] = pa.array([remove(t, n, s, e) if s else t for t, n, s, e in parts], pa.string())
             yield pa.RecordBatch.from_arrays([got[c] for c in names], names=names)
 

@@ -95,11 +95,13 @@ def keep_first_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     verdict = exact_dedup(docs, key, text, k)
     kept = cut_lineage(verdict.where("kept").groupBy(F.col("doc_id").alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha"))
                        .agg(F.count(F.lit(1)).alias("_dedup_n")))
-    cond = docs[key].eqNullSafe(F.col("_dedup_id")) & (digest_of(docs[text]) == F.col("_dedup_sha"))
-    if kept.where("_dedup_n > 1").isEmpty():
-        return docs.join(kept, cond, "left_semi")
-    once = docs.join(kept.where("_dedup_n = 1"), cond, "left_semi")
-    names = docs.columns
-    again = docs.join(kept.where("_dedup_n > 1"), cond).groupBy("_dedup_sha").agg(
-        F.first(F.struct(*[docs[c] for c in names])).alias("_row")).select("_row.*")
-    return once.unionByName(again)
+
+    def match(part: DataFrame) -> Column:
+        return docs[key].eqNullSafe(part["_dedup_id"]) & (digest_of(docs[text]) == part["_dedup_sha"])
+
+    single, repeated = kept.where("_dedup_n = 1"), kept.where("_dedup_n > 1")
+    if repeated.isEmpty():
+        return docs.join(kept, match(kept), "left_semi")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_dedup_row")
+    again = docs.join(repeated, match(repeated)).select(repeated["_dedup_sha"], row).groupBy("_dedup_sha").agg(F.first("_dedup_row").alias("_dedup_row"))
+    return docs.join(single, match(single), "left_semi").unionByName(again.select("_dedup_row.*"))

@@ -315,4 +315,4 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
 def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stays (smallest doc_id of each group), all columns."""
     gone = near_duplicates(docs, words, percent, key, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -61,7 +61,9 @@ class PieceModel:
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.dummy_prefix = sp.normalize("a").startswith(MARK)
-        self.byte_of = {i: b for b, i in self.bytes_at.items()}
+        self.shown = [p.replace(MARK, " ").encode() for p in self.pieces]
+        for byte, i in self.bytes_at.items():
+            self.shown[i] = bytes([byte])
 
     def words(self, text: str) -> list[str]:
         marked = self.sp.normalize(text)
@@ -115,8 +117,7 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """Text of the pieces: marks become blanks, byte pieces their bytes, the dummy prefix goes."""
-        text = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids).decode("utf-8", "replace")
-        text = text.replace(MARK, " ")
+        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 

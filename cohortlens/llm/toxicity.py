@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_lineage, free_name, slices
 
 FIT_ROWS = 20_000
 MAX_TERMS = 4096
@@ -196,7 +196,8 @@ def _scorer(machine: FactorisationMachine):
 
 
 def score(docs: DataFrame, machine: FactorisationMachine, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with the toxicity score appended."""
+    """``docs`` with the toxicity score appended (in place of a column of that name)."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast((machine.places, machine.bias, machine.weights, machine.factors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,4 +211,5 @@ def score(docs: DataFrame, machine: FactorisationMachine, text: str = "text", co
 
 def drop_toxic(docs: DataFrame, machine: FactorisationMachine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` scored below the threshold, with their own columns."""
-    return score(docs, machine, text, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return score(docs, machine, text, name).where(F.col(name) < threshold).drop(name)
