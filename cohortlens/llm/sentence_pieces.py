@@ -10,7 +10,8 @@ position) are kept from the word before, so each trie edge is scored once.
 The best path is the one with the highest sum of the model file's piece scores; ties take
 the longer last piece's earlier start, a character without a piece scores the least score
 minus 10 and is written as its bytes where the model has byte pieces, else as unknown
-(neighbouring unknowns become one). For unigram models these are the library's own ids.
+(neighbouring unknowns become one). For unigram models these are the library's own ids,
+but for paths of equal score that its single-precision sums order otherwise.
 The scores in a BPE model file are merge ranks, not log-probabilities; there a piece of
 rank r gets -ln(r + RANK_OFFSET) (Zipf's law), and the path is the most probable one under
 that, which is not always what replaying the merges gives.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +59,12 @@ class PieceModel:
         if len(set(scores)) > 1 and all(s <= 0 and s == int(s) for s in scores):
             scores = [-math.log(RANK_OFFSET - s) for s in scores]
         self.scores = {self.pieces[i]: s for i, s in zip(usable, scores)}
-        self.longest = max(map(len, self.ids), default=1)
+        self.trie: dict = {}  # character -> deeper dict; "" -> (score, id) where a piece ends
+        for piece, i in self.ids.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = (self.scores[piece], i)
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.dummy_prefix = sp.normalize("a").startswith(MARK)
@@ -70,40 +77,49 @@ class PieceModel:
         return _WORDS.findall(marked) if self.by_word else [marked] if marked else []
 
     def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of the sorted distinct ``words``, reusing forward scores of shared prefixes."""
-        scores, longest, unknown = self.scores, self.longest, self.unknown_score
-        best, back, last, out = [0.0], [0], "", []
+        """Ids of each of the sorted distinct ``words``. The stacks hold, per position of the
+        current word, the best score, its last step (start, id; id None: no piece) and the
+        places in the piece trie that pieces begun earlier have reached; what belongs to the
+        prefix shared with the word before stays on them."""
+        root, unknown, last, out = self.trie, self.unknown_score, "", []
+        best, step, open_ = [0.0], [None], [[]]
         for word in words:
             shared, limit = 0, min(len(word), len(last))
             while shared < limit and word[shared] == last[shared]:
                 shared += 1
-            del best[shared + 1:], back[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                top, origin, single = -np.inf, end - 1, False
-                for start in range(max(0, end - longest), end):
-                    piece = scores.get(word[start:end])
-                    if piece is not None:
-                        single = single or start == end - 1
-                        if best[start] + piece > top:
-                            top, origin = best[start] + piece, start
-                if not single and best[end - 1] + unknown > top:
-                    top, origin = best[end - 1] + unknown, end - 1
+            del best[shared + 1:], step[shared + 1:], open_[shared + 1:]
+            for at in range(shared, len(word)):
+                char, top, origin, reached = word[at], -math.inf, None, []
+                for start, node in open_[at]:
+                    node = node.get(char)
+                    if node is not None:
+                        reached.append((start, node))
+                        piece = node.get("")
+                        if piece is not None and best[start] + piece[0] > top:
+                            top, origin = best[start] + piece[0], (start, piece[1])
+                node, piece = root.get(char), None
+                if node is not None:
+                    reached.append((at, node))
+                    piece = node.get("")
+                score, end_id = piece or (unknown, None)
+                if best[at] + score > top:
+                    top, origin = best[at] + score, (at, end_id)
                 best.append(top)
-                back.append(origin)
-            out.append(self._path(word, back))
+                step.append(origin)
+                open_.append(reached)
+            out.append(self._path(word, step))
             last = word
         return out
 
-    def _path(self, word: str, back: list[int]) -> list[int]:
-        cuts, end = [], len(word)
+    def _path(self, word: str, step: list) -> list[int]:
+        taken, end = [], len(word)
         while end:
-            cuts.append((back[end], end))
-            end = back[end]
+            taken.append((*step[end], end))
+            end = step[end][0]
         ids: list[int] = []
-        for start, end in reversed(cuts):
-            known = self.ids.get(word[start:end])
-            if known is not None:
-                ids.append(known)
+        for start, piece, end in reversed(taken):
+            if piece is not None:
+                ids.append(piece)
             elif self.bytes_at:
                 ids.extend(self.bytes_at[b] for b in word[start:end].encode())
             elif not ids or ids[-1] != self.unknown:
@@ -142,7 +158,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", check: bool = Fals
             if len(memo) > MEMO_WORDS:
                 memo.clear()
             new = sorted(set().union(*words) - memo.keys())
-            memo.update(zip(new, (np.array(x, "<i4").tobytes() for x in pieces.segment(new))))
+            memo.update(zip(new, (array("i", x).tobytes() for x in pieces.segment(new))))
             coded = [np.frombuffer(b"".join(map(memo.__getitem__, w)), "<i4") for w in words]
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*coded, np.empty(0, "<i4")])))
