@@ -14,7 +14,7 @@ class SegmentConfig:
     validation_fraction: float = 0.15
     test_fraction: float = 0.20
     cv_folds: int = 5
-    max_evaluation_customers: int = 25_000
+    max_evaluation_customers: int | None = None  # size of an evaluation sample; None: all customers
     cluster_candidates: tuple[int, ...] = (2, 3, 4, 5)
     overfit_gap_threshold: float = 0.15
     low_silhouette_threshold: float = 0.10

@@ -78,6 +78,9 @@ def save(entries: DataFrame, as_of=None, key: str | None = None, key_id: str | N
     """Split entries by consent: ``stored`` rows for the memory table, ``rejected``
     rows with the refusal, ``audit`` rows (one ``memory_saved`` per stored row)."""
     consented = F.coalesce(F.col("consented"), F.lit(False))
+    refused = entries.where(~consented)
+    # a missing id is the hash of the entry: the same in payload, stored and audit rows
+    entries = entries.withColumn("memory_id", F.coalesce(F.col("memory_id"), F.sha2(payload_json(entries), 256)))
     text = payload_json(entries)
     if key is not None:
         payload = F.base64(F.aes_encrypt(text, F.lit(key), F.lit("GCM")))
@@ -85,10 +88,10 @@ def save(entries: DataFrame, as_of=None, key: str | None = None, key_id: str | N
     else:
         payload, kid = text, F.lit(PLAINTEXT_KEY_ID)
     stored = entries.where(consented).select(
-        F.coalesce(F.col("memory_id"), F.expr("uuid()")).alias("memory_id"), "user_id", F.col("ts"), "interaction_type",
+        "memory_id", "user_id", F.col("ts"), "interaction_type",
         F.lit(1).alias("consented"), payload.alias("payload"), kid.alias("cipher_key_id"),
     )
-    rejected = entries.where(~consented).select("memory_id", "user_id", F.lit(CONSENT_REFUSAL).alias("reason"))
+    rejected = refused.select("memory_id", "user_id", F.lit(CONSENT_REFUSAL).alias("reason"))
     audit = stored.select(
         _as_of(entries.sparkSession, as_of).alias("ts"),
         F.lit("memory_saved").alias("event_type"),

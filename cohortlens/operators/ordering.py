@@ -35,8 +35,39 @@ def position_within(
     )
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     inner = Window.partitionBy(*p, "_cb").orderBy(*order_cols)
-    joined = b.join(offsets, [*p, "_cb"])
-    return joined.withColumn(out, F.col("_off") + F.row_number().over(inner) - 1 + base).drop("_cb", "_off")
+    # null-safe: rows with a null key or a null bucket keep their place (nulls first)
+    named = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*p, "_cb"])], "_off")
+    same = F.lit(True)
+    for i, c in enumerate([*p, "_cb"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    joined = b.join(named, same)
+    return joined.withColumn(out, F.col("_off") + F.row_number().over(inner) - 1 + base).drop("_cb", "_off", *[f"_o{i}" for i in range(len(p) + 1)])
+
+
+def weight_below(df: DataFrame, group_cols: Sequence[str], value_col: str, weight_col: str, rows_per_bucket: int = 200_000) -> DataFrame:
+    """Add ``_below`` (weight of the smaller values) and ``_n`` (weight of all) per group.
+
+    ``df`` has one row per (group, value). Groups are cut into value ranges at approximate
+    quantiles, as many as the row count asks for; ranges get their offset from a prefix sum
+    over the small table of range weights, and only the values of one range are sorted
+    together. ``df`` is read three times, so it should be a written table."""
+    g = list(group_cols)
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    if buckets == 1:
+        ranged = df.withColumn("_range", F.lit(0))
+    else:
+        cuts = F.percentile_approx(value_col, [i / buckets for i in range(1, buckets)], 20 * buckets)
+        bounds = df.groupBy(*g).agg(cuts.alias("_cuts"))  # one row per group
+        with_cuts = df.join(F.broadcast(bounds), g) if g else df.crossJoin(F.broadcast(bounds))
+        ranged = with_cuts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value_col)))).drop("_cuts")
+    ordered = Window.partitionBy(*g).orderBy("_range")
+    sums = ranged.groupBy(*g, "_range").agg(F.sum(weight_col).alias("_rw"))
+    offsets = sums.select(
+        *g, "_range", (F.sum("_rw").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rw")).alias("_off"),
+        F.sum("_rw").over(Window.partitionBy(*g)).alias("_n"))
+    inside = Window.partitionBy(*g, "_range").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_in", F.coalesce(F.sum(weight_col).over(inside), F.lit(0)))
+    return placed.join(F.broadcast(offsets), [*g, "_range"]).withColumn("_below", F.col("_off") + F.col("_in")).drop("_range", "_off", "_in")
 
 
 def top_k_per_group(

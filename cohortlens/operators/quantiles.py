@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ordering import weight_below
 
 LIGHT_DISTINCT = 200_000
 BUCKETS = 256
@@ -129,17 +130,10 @@ def exact_quantiles(
 def average_tie_percent_rank(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
     """pandas ``rank(pct=True)``: (values below + (ties + 1) / 2) / non-null count.
 
-    Computed over the *distinct* values with their counts, then joined back; NULL
-    values get a NULL rank. The distinct-value ranking is one ordered window, so the
-    input must be bounded (it is the capped evaluation sample).
+    Computed over the *distinct* values with their counts (ranged by value, see
+    :func:`ordering.weight_below`), then joined back; NULL values get a NULL rank.
     """
-    counts = df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_eq"))
-    w = Window.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_below", F.coalesce(F.sum("_eq").over(w), F.lit(0))).withColumn(
-        "_n", F.sum("_eq").over(Window.partitionBy())
-    )
-    ranked = ranked.select(
-        value_col,
-        ((F.col("_below") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias(out_col),
-    )
+    counts = cut_lineage(df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_eq")))
+    ranked = weight_below(counts, [], value_col, "_eq").select(
+        value_col, ((F.col("_below") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias(out_col))
     return df.join(ranked, value_col, "left")

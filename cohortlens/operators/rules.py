@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import SegmentConfig
 from .quantiles import exact_quantiles
+from .splits import fitted_splits
 
 # Segment reasons, levels and confidences.
 REASON_PRIORITY = "L1: high maintained balance and transaction frequency"
@@ -62,9 +63,10 @@ def round9(c: Column) -> Column:
 
 
 def derive_rule_thresholds(
-    train_features: DataFrame, config: SegmentConfig = SegmentConfig(), fit_split: str = "train", approx: bool = False
+    train_features: DataFrame, config: SegmentConfig = SegmentConfig(), approx: bool = False
 ) -> DataFrame:
-    """One row: priority_balance_threshold, priority_frequency_threshold, dormant_days, fit_split.
+    """One row: priority_balance_threshold, priority_frequency_threshold, dormant_days, and
+    fit_split, the splits of the rows given (see :func:`splits.fitted_splits`).
 
     Training rows with a balance history only; both quantiles are exact unless
     ``approx`` (then the ``percentile_approx`` sketch).
@@ -74,15 +76,14 @@ def derive_rule_thresholds(
         return valid.agg(
             F.percentile_approx("avg_balance_90d", config.priority_balance_percentile, 10_000).alias("priority_balance_threshold"),
             F.percentile_approx("transaction_frequency_monthly", config.priority_frequency_percentile, 10_000).alias("priority_frequency_threshold"),
-        ).select("*", F.lit(config.dormant_days).alias("dormant_days"), F.lit(fit_split).alias("fit_split"))
+        ).select("*", F.lit(config.dormant_days).alias("dormant_days")).crossJoin(F.broadcast(fitted_splits(train_features)))
     bal = exact_quantiles(valid, "avg_balance_90d", {"priority_balance_threshold": config.priority_balance_percentile})
     freq = exact_quantiles(valid, "transaction_frequency_monthly", {"priority_frequency_threshold": config.priority_frequency_percentile})
     return bal.crossJoin(freq).select(
         "priority_balance_threshold",
         "priority_frequency_threshold",
         F.lit(config.dormant_days).alias("dormant_days"),
-        F.lit(fit_split).alias("fit_split"),
-    )
+    ).crossJoin(F.broadcast(fitted_splits(train_features)))
 
 
 def assign_rule_segments(features: DataFrame, thresholds: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:

@@ -70,7 +70,7 @@ def split_sizes(split_df: DataFrame) -> DataFrame:
 
 def evaluation_sample(df: DataFrame, config: SegmentConfig = SegmentConfig(), key: str = "customer_id", margin: float = 3.0) -> DataFrame:
     """Exact-size seeded sample: the ``max_evaluation_customers`` rows of smallest
-    seeded md5 (all rows when fewer), a top-k on the hash.
+    seeded md5 (all rows when fewer, or when the size is None), a top-k on the hash.
 
     The md5 order begins with its first 32 bits (``seeded_unit``), so rows below a
     cut-off on that value are a prefix of the order. Keeping only the
@@ -78,6 +78,8 @@ def evaluation_sample(df: DataFrame, config: SegmentConfig = SegmentConfig(), ke
     ``partitions · k`` rows; if fewer than ``k`` rows pass (rare), the plain top-k runs.
     """
     k = config.max_evaluation_customers
+    if k is None:
+        return df
     order = F.md5(F.concat(F.lit(f"{config.random_state}:"), F.col(key).cast("string")))
     n = df.count()
     if n <= k:
@@ -131,7 +133,7 @@ def leakage_audit(split_df: DataFrame, lineage: DataFrame) -> DataFrame:
         F.coalesce(F.col("thresholds_fit_split") == "train", F.lit(False)).alias("thresholds_fit_on_training_only"),
         F.coalesce(F.col("selection_fit_split") == "train", F.lit(False)).alias("feature_selection_fit_on_training_only"),
         F.coalesce(F.col("pca_fit_split") == "train", F.lit(False)).alias("pca_fit_on_training_only"),
-        F.coalesce(~F.col("tuning_splits").contains("test"), F.lit(False)).alias("test_not_used_for_tuning"),
+        F.coalesce((F.length("tuning_splits") > 0) & ~F.col("tuning_splits").rlike("test|unlabelled"), F.lit(False)).alias("test_not_used_for_tuning"),
     )
     all_ok = (
         F.col("customer_partitions_disjoint") & F.col("thresholds_fit_on_training_only")
@@ -141,6 +143,15 @@ def leakage_audit(split_df: DataFrame, lineage: DataFrame) -> DataFrame:
     return checks.withColumn("status", F.when(all_ok, "passed").otherwise("failed"))
 
 
+def fitted_splits(rows: DataFrame) -> DataFrame:
+    """One row ``fit_split``: the distinct splits of the rows an artefact is fitted on, sorted and
+    joined by commas; ``unlabelled`` where the rows carry no split column."""
+    if "split" not in rows.columns:
+        return rows.sparkSession.createDataFrame([("unlabelled",)], "fit_split string")
+    labels = rows.select(F.coalesce("split", F.lit("unlabelled")).alias("split")).distinct()  # a few rows
+    return labels.agg(F.array_join(F.array_sort(F.collect_list("split")), ",").alias("fit_split"))
+
+
 def sorted_customers(rows: DataFrame, customer_col: str = "customer_id") -> DataFrame:
     """Distinct non-null customer ids in ascending order."""
     return rows.select(customer_col).where(F.col(customer_col).isNotNull()).distinct().orderBy(customer_col)

@@ -434,9 +434,7 @@ def _pca(spark, sf_dir, config=MODEL_CONFIG):
 @register("pca_projection")
 def q_pca_projection(spark, sf_dir):
     _, coords, ev = _pca(spark, sf_dir)
-    total = sum(ev) or 1.0
-    return comparable(coords.withColumn("explained_variance_ratio_1", F.lit(ev[0] / total)).withColumn(
-        "explained_variance_ratio_2", F.lit(ev[1] / total)))
+    return comparable(coords.withColumn("explained_variance_ratio_1", F.lit(ev[0])).withColumn("explained_variance_ratio_2", F.lit(ev[1])))
 
 
 @register("pca_points_by_segment")
@@ -465,7 +463,7 @@ def q_leakage_audit(spark, sf_dir):
     lineage = (
         run.thresholds.select(F.col("fit_split").alias("thresholds_fit_split"))
         .crossJoin(stats.agg(F.max("fit_split").alias("selection_fit_split")))
-        .withColumn("pca_fit_split", F.col("selection_fit_split"))
-        .withColumn("tuning_splits", F.lit("train,validation"))
+        .crossJoin(splits.fitted_splits(tr).withColumnRenamed("fit_split", "pca_fit_split"))
+        .crossJoin(splits.fitted_splits(tr.unionByName(run.part("validation"))).withColumnRenamed("fit_split", "tuning_splits"))
     )
     return splits.leakage_audit(run.labelled, lineage)

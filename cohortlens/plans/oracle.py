@@ -548,7 +548,7 @@ _FEATS = ["avg_balance_90d", "min_balance_90d", "balance_stability_90d", "transa
           "active_product_count"]
 
 TRAIN_SAMPLE = f""",
-ts AS (SELECT * FROM a_split WHERE split = 'train' ORDER BY md5('{SEED}:' || customer_id), customer_id LIMIT 25000),
+ts AS (SELECT * FROM a_split WHERE split = 'train'),
 bm AS (SELECT quantile_cont(avg_balance_90d, 0.5) AS m FROM ts),
 pf AS (SELECT customer_id, coalesce(avg_balance_90d, (SELECT m FROM bm)) AS b, transaction_frequency_monthly AS f,
               CAST(recency_days AS DOUBLE) AS r FROM ts),

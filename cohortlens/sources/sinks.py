@@ -50,10 +50,10 @@ def append_memories(saved: Mapping[str, DataFrame], memories_path: str, audit_pa
 
 def forget_users(memories_path: str, users: DataFrame, new_path: str, audit_path: str, as_of=None) -> DataFrame:
     """Write the remaining memories to ``new_path`` (the caller swaps the pointer),
-    append the audit rows, return the per-user deleted counts."""
+    append the audit rows, return this call's deleted counts per user."""
     spark = users.sparkSession
     current = spark.read.parquet(memories_path)
     out = mem.forget(current, users, as_of)
     out["remaining"].write.mode("overwrite").parquet(new_path)
     out["audit"].write.mode("append").parquet(audit_path)
-    return spark.read.parquet(audit_path).where(F.col("event_type") == "user_forgotten").select("subject_hash", "detail")
+    return out["deleted"]

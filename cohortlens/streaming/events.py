@@ -7,8 +7,8 @@ an unbounded input unchanged or with a stated difference:
   becomes ``dropDuplicatesWithinWatermark`` — first by *arrival*, not by ``seq``;
 * intent routing of request texts: row-local;
 * the consent-gated memory append: ``foreachBatch`` runs the batch ``save`` on each
-  micro-batch and appends stored rows and audit rows (idempotent per batch id via
-  the checkpoint).
+  micro-batch and writes its stored rows and audit rows under ``batch_id=<id>``; a
+  retried batch replaces its own folders, so nothing is stored twice.
 """
 from __future__ import annotations
 
@@ -35,8 +35,8 @@ def route_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def memory_sink(entries: DataFrame, memories_path: str, audit_path: str, checkpoint: str, as_of=None, trigger_once: bool = True) -> StreamingQuery:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         saved = mem.save(batch, as_of=as_of)
-        saved["stored"].write.mode("append").parquet(memories_path)
-        saved["audit"].write.mode("append").parquet(audit_path)
+        saved["stored"].write.mode("overwrite").parquet(f"{memories_path.rstrip('/')}/batch_id={batch_id}")
+        saved["audit"].write.mode("overwrite").parquet(f"{audit_path.rstrip('/')}/batch_id={batch_id}")
 
     w = entries.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w

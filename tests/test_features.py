@@ -20,14 +20,14 @@ def thresholds_of(feats):
     return rules.derive_rule_thresholds(feats)
 
 
-def test_feature_builder_flags_missing_balance_history(spark):
+def test_customer_without_balances_is_flagged_and_counted_as_idle(spark):
     out = {r["customer_id"]: r for r in features.build_customer_features(frames(spark)).collect()}
     assert out["b"]["insufficient_balance_history"] is True
     assert out["a"]["active_product_count"] == 1
     assert out["b"]["recency_days"] == 91 and out["b"]["transaction_count_90d"] == 0
 
 
-def test_rule_segmenter_does_not_hide_missing_history(spark):
+def test_missing_history_is_sent_to_review(spark):
     feats = features.build_customer_features(frames(spark))
     seg = {r["customer_id"]: r for r in rules.assign_rule_segments(feats, thresholds_of(feats)).collect()}
     assert seg["b"]["segment"] == "needs_review"

@@ -19,7 +19,7 @@ def _features(spark, n=30):
     return spark.createDataFrame(rows, schema)
 
 
-def test_auto_tuning_returns_fit_diagnostics(spark):
+def test_tuned_family_and_missing_family_are_told_apart(spark):
     f = _features(spark).withColumn("_i", F.regexp_extract("customer_id", r"(\d+)", 1).cast("int"))
     cfg = SegmentConfig(cluster_candidates=(2, 3), kmeans_n_init=(1,), gmm_n_init=1)
     d = models.design_matrix(f.where("_i < 24").drop("_i"), f.where("_i >= 24").drop("_i"), cfg)
@@ -30,14 +30,38 @@ def test_auto_tuning_returns_fit_diagnostics(spark):
     assert diag["gmm"]["status"] == "fallback_to_rules"
 
 
-def test_leakage_audit_detects_customer_overlap(spark):
-    ids = [f"c{i}" for i in range(6)]
-    rows = [(c, "train") for c in ids[0:3]] + [(c, "validation") for c in ids[2:5]] + [(ids[5], "test")]
-    labelled = spark.createDataFrame(rows, "customer_id string, split string")
-    lineage = spark.createDataFrame([("train", "train", "train", "train,validation")],
-                                    "thresholds_fit_split string, selection_fit_split string, pca_fit_split string, tuning_splits string")
-    audit = splits.leakage_audit(labelled, lineage).collect()[0]
-    assert audit["status"] == "failed" and audit["train_validation"] == 1 and audit["train_test"] == 0
+LINEAGE = "thresholds_fit_split string, selection_fit_split string, pca_fit_split string, tuning_splits string"
+
+
+def test_a_customer_in_two_splits_fails_the_audit(spark):
+    labelled = spark.createDataFrame([("p", "train"), ("q", "train"), ("q", "test"), ("s", "validation"), ("s", "test")], "customer_id string, split string")
+    audit = splits.leakage_audit(labelled, spark.createDataFrame([("train", "train", "train", "train,validation")], LINEAGE)).first()
+    assert (audit["train_validation"], audit["train_test"], audit["validation_test"], audit["status"]) == (0, 1, 1, "failed")
+
+
+def test_every_audit_check_can_fail(spark):
+    labelled = spark.createDataFrame([("p", "train"), ("q", "validation"), ("s", "test")], "customer_id string, split string")
+    good = ("train", "train", "train", "train,validation")
+    assert splits.leakage_audit(labelled, spark.createDataFrame([good], LINEAGE)).first()["status"] == "passed"
+    for at, bad in enumerate(["validation", "train,test", "unlabelled", "test,train"]):
+        row = (*good[:at], bad, *good[at + 1:])
+        audit = splits.leakage_audit(labelled, spark.createDataFrame([row], LINEAGE)).first()
+        assert audit["status"] == "failed" and sum(not v for v in audit.asDict().values() if isinstance(v, bool)) == 1
+
+
+def test_artefacts_name_the_splits_they_were_fitted_on(spark):
+    from cohortlens.operators import rules, transform
+
+    feats = _features(spark).withColumn("split", F.when(F.col("recency_days") > 30, "train").otherwise("validation"))
+    assert rules.derive_rule_thresholds(feats).first()["fit_split"] == "train,validation"
+    assert rules.derive_rule_thresholds(feats.where("split = 'validation'")).first()["fit_split"] == "validation"
+    assert {r["fit_split"] for r in transform.fit_impute_scale(feats.where("split = 'train'")).collect()} == {"train"}
+    assert rules.derive_rule_thresholds(_features(spark)).first()["fit_split"] == "unlabelled"
+
+
+def test_no_customer_is_left_out_by_default(spark):
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("customer_id"))
+    assert splits.evaluation_sample(df).count() == 30_000
 
 
 def test_fit_check_and_selection_rules(spark):

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import position_within, top_k_per_group
+from cohortlens.operators.ordering import position_within, top_k_per_group, weight_below
 
 
 def _data(spark):
@@ -28,3 +28,20 @@ def test_top_k_per_group_equals_plain_window(spark):
     got = {(r["p"], r["rank"]): r["id"] for r in top_k_per_group(df, ["p"], order, 7, F.col("id"), salt_buckets=8).collect()}
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("p").orderBy(*order))).where("rank <= 7")
     assert got == {(r["p"], r["rank"]): r["id"] for r in plain.collect()}
+
+
+def test_rows_with_null_order_keep_a_position(spark):
+    df = spark.createDataFrame([("a", None), ("a", 3), ("a", 1), (None, 2)], "p string, t int")
+    got = position_within(df, ["p"], ["t"], F.floor(F.col("t") / 2), out="pos").collect()
+    assert sorted((str(r["p"]), str(r["t"]), r["pos"]) for r in got) == [("None", "2", 1), ("a", "1", 2), ("a", "3", 3), ("a", "None", 1)]
+
+
+def test_weight_below_is_the_same_for_any_number_of_ranges(spark):
+    rng = random.Random(3)
+    values = sorted({rng.randint(0, 900) for _ in range(400)})
+    df = spark.createDataFrame([(g, v, v % 5 + 1) for g in "xy" for v in values], "g string, v int, w int")
+    for rows_per_bucket in (10_000, 60):
+        got = {(r["g"], r["v"]): (r["_below"], r["_n"]) for r in weight_below(df, ["g"], "v", "w", rows_per_bucket).collect()}
+        total = sum(v % 5 + 1 for v in values)
+        assert got == {(g, v): (sum(u % 5 + 1 for u in values if u < v), total) for g in "xy" for v in values}
+    assert weight_below(df.where("g = 'x'"), [], "v", "w", 60).count() == len(values)

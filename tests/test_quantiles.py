@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from cohortlens.operators.quantiles import average_tie_percent_rank, exact_quantiles
 
 
@@ -48,5 +50,5 @@ def test_approximate_options_stay_close(spark):
     approx = {r["customer_id"]: r["median_transaction_amount"] for r in features.build_customer_features(fr, approx_median=True).collect()}
     assert exact == approx
     feats = features.build_customer_features(fr)
-    a = rules.derive_rule_thresholds(feats, approx=True).collect()[0]
+    a = rules.derive_rule_thresholds(feats.withColumn("split", F.lit("train")), approx=True).collect()[0]
     assert a["priority_balance_threshold"] == 150.0 and a["fit_split"] == "train"

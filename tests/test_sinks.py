@@ -35,3 +35,23 @@ def test_sorted_helpers(spark):
     seg = spark.createDataFrame([("b", "regular"), ("a", "regular"), ("c", "dormant")], "customer_id string, segment string")
     assert [r["customer_id"] for r in rules.sorted_segments(seg).collect()] == ["c", "a", "b"]
     assert [r["customer_id"] for r in splits.sorted_customers(seg.union(seg)).collect()] == ["a", "b", "c"]
+
+
+def test_forget_returns_this_call_s_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "u"), ("m2", "u"), ("m3", "v")], "memory_id string, user_id string")
+    rows.write.parquet(str(tmp_path / "v1"))
+    first = sinks.forget_users(str(tmp_path / "v1"), spark.createDataFrame([("u",)], "user_id string"), str(tmp_path / "v2"), str(tmp_path / "audit"))
+    assert [tuple(r) for r in first.collect()] == [("u", 2)]
+    second = sinks.forget_users(str(tmp_path / "v2"), spark.createDataFrame([("u",), ("v",)], "user_id string"), str(tmp_path / "v3"), str(tmp_path / "audit"))
+    assert sorted(tuple(r) for r in second.collect()) == [("u", 0), ("v", 1)]
+
+
+def test_generated_memory_id_is_one_id(spark):
+    import json
+
+    from cohortlens.operators import memory as mem
+    schema = ("memory_id string, user_id string, ts timestamp, interaction_type string, content map<string,string>, context map<string,string>, "
+              "outcome map<string,string>, consented boolean, emotional_state string, products_mentioned array<string>, actions_taken array<string>")
+    saved = mem.save(spark.createDataFrame([(None, "u", None, "query", {"a": "b"}, {}, {}, True, None, [], [])], schema), as_of="2025-01-01 00:00:00")
+    stored, audit = saved["stored"].first(), saved["audit"].first()
+    assert stored["memory_id"] and json.loads(stored["payload"])["memory_id"] == stored["memory_id"] == json.loads(audit["detail"])["memory_id"]
