@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import SegmentConfig
 from ..functions.hashing import seeded_unit
+from ..session import cut_lineage
 from .ordering import position_within
 
 SPLITS = ("train", "validation", "test")
@@ -47,21 +48,22 @@ def quota_split(features: DataFrame, config: SegmentConfig = SegmentConfig(), ke
     return ranked.crossJoin(F.broadcast(total)).withColumn("split", label).drop("_h", "_pos", "_n")
 
 
-def chrono_split(features: DataFrame, config: SegmentConfig = SegmentConfig(), key_prefix: int = 4) -> DataFrame:
+def chrono_split(features: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
     """Cut the (as_of_date, customer_id) order at 1 - test - validation and 1 - test.
 
-    Positions come from :func:`position_within` with (as_of_date, key prefix) buckets,
-    so no cohort is ranked inside one task; the total is one small aggregate.
+    The rows are range-partitioned by that order and written; positions come from
+    :func:`position_within` with the range number as bucket, so ranges are balanced whatever
+    the keys look like and no cohort is ranked inside one task.
     """
-    coarse = F.struct(F.col("as_of_date"), F.substring(F.col("customer_id"), 1, key_prefix))
-    ranked = position_within(features, [], ["as_of_date", "customer_id"], coarse, out="_pos", base=0)
-    total = features.agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(features.repartitionByRange("as_of_date", "customer_id").withColumn("_part", F.spark_partition_id()))
+    ranked = position_within(ranged, [], ["as_of_date", "customer_id"], F.col("_part"), out="_pos", base=0)
+    total = ranged.agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.crossJoin(F.broadcast(total))
     n = F.col("_n")
     test_start = F.greatest(F.lit(1), F.floor(n * F.lit(1 - config.test_fraction)))
     val_start = F.greatest(F.lit(1), F.floor(n * F.lit(1 - config.test_fraction - config.validation_fraction)))
     label = F.when(F.col("_pos") < val_start, "train").when(F.col("_pos") < test_start, "validation").otherwise("test")
-    return ranked.withColumn("split", label).drop("_n", "_pos")
+    return ranked.withColumn("split", label).drop("_n", "_pos", "_part")
 
 
 def split_sizes(split_df: DataFrame) -> DataFrame:

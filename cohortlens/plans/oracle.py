@@ -14,11 +14,11 @@ a_txn_raw AS (
   SELECT CAST(o_custkey AS VARCHAR) AS customer_id, o_orderdate AS ts, o_totalprice AS v, o_orderkey AS seq FROM orders),
 a_bal_raw AS (
   SELECT CAST(c_custkey AS VARCHAR) AS customer_id, (SELECT MAX(o_orderdate) FROM orders) AS ts,
-         c_acctbal AS v, c_custkey AS seq
-  FROM customer WHERE c_custkey % 10 <> 0
+         CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS v, c_custkey AS seq
+  FROM customer
   UNION ALL
-  SELECT CAST(o_custkey AS VARCHAR), o_orderdate, c_acctbal + o_totalprice * 0.01, o_orderkey
-  FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 10 <> 0),
+  SELECT CAST(o_custkey AS VARCHAR), o_orderdate, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal + o_totalprice * 0.01 END, o_orderkey
+  FROM orders JOIN customer ON c_custkey = o_custkey),
 a_holdings AS (
   SELECT CAST(o_custkey AS VARCHAR) AS customer_id, p_type AS product_name,
          CASE l_linestatus WHEN 'O' THEN 'active' ELSE 'closed' END AS status
@@ -29,8 +29,8 @@ B_INPUTS = """
 a_customers AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS customer_id FROM events),
 a_txn_raw AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, ts, value AS v, event_id AS seq
               FROM events WHERE event_type = 'purchase'),
-a_bal_raw AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, ts, value AS v, event_id AS seq
-              FROM events WHERE event_type = 'view' AND user_id % 10 <> 0),
+a_bal_raw AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, ts, CASE WHEN user_id % 10 <> 0 THEN value END AS v, event_id AS seq
+              FROM events WHERE event_type = 'view'),
 a_holdings AS (SELECT NULL::VARCHAR AS customer_id, NULL::VARCHAR AS product_name, NULL::VARCHAR AS status WHERE false)
 """
 

@@ -26,7 +26,7 @@ def _ts(c):
 def binding_a(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Customers, orders as transactions, balances, line items as product holdings.
 
-    One customer in ten (``c_custkey % 10 = 0``) is given no balance rows on purpose,
+    One customer in ten (``c_custkey % 10 = 0``) has null balances on purpose,
     so the missing-history path (``needs_review``) is exercised; all rows are read.
     """
     customer = table(spark, sf_dir, "customer")
@@ -41,18 +41,18 @@ def binding_a(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderkey").alias("seq"),
     )
-    with_balance = customer.where(F.col("c_custkey") % 10 != 0)
+    known = lambda balance: F.when(F.col("c_custkey") % 10 != 0, balance)
     last_order = orders.agg(F.max(_ts("o_orderdate")).alias("timestamp"))
-    snapshot = with_balance.crossJoin(F.broadcast(last_order)).select(
+    snapshot = customer.crossJoin(F.broadcast(last_order)).select(
         F.col("c_custkey").cast("string").alias("customer_id"),
         "timestamp",
-        F.col("c_acctbal").alias("balance"),
+        known(F.col("c_acctbal")).alias("balance"),
         F.col("c_custkey").alias("seq"),
     )
-    per_order = orders.join(with_balance, F.col("c_custkey") == F.col("o_custkey")).select(
+    per_order = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("o_custkey").cast("string").alias("customer_id"),
         _ts("o_orderdate").alias("timestamp"),
-        (F.col("c_acctbal") + F.col("o_totalprice") * F.lit(0.01)).alias("balance"),
+        known(F.col("c_acctbal") + F.col("o_totalprice") * F.lit(0.01)).alias("balance"),
         F.col("o_orderkey").alias("seq"),
     )
     balances = snapshot.unionByName(per_order)
@@ -70,16 +70,16 @@ def binding_a(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def binding_b(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Users of the event stream: purchases are transactions, views are balances
-    (none for every tenth user, for the missing-history path); no product holdings."""
+    (null for every tenth user, for the missing-history path); no product holdings."""
     events = table(spark, sf_dir, "events")
     customers = events.select(F.col("user_id").cast("string").alias("customer_id")).distinct()
     purchases = events.where(F.col("event_type") == "purchase").select(
         F.col("user_id").cast("string").alias("customer_id"), _ts("ts").alias("timestamp"),
         F.col("value").alias("amount"), F.col("event_id").alias("seq"),
     )
-    views = events.where((F.col("event_type") == "view") & (F.col("user_id") % 10 != 0)).select(
+    views = events.where(F.col("event_type") == "view").select(
         F.col("user_id").cast("string").alias("customer_id"), _ts("ts").alias("timestamp"),
-        F.col("value").alias("balance"), F.col("event_id").alias("seq"),
+        F.when(F.col("user_id") % 10 != 0, F.col("value")).alias("balance"), F.col("event_id").alias("seq"),
     )
     holdings = spark.createDataFrame([], "customer_id string, product_name string, status string")
     return {"customers": customers, "balances": views, "transactions": purchases, "product_holdings": holdings}

@@ -45,3 +45,12 @@ def test_weight_below_is_the_same_for_any_number_of_ranges(spark):
         total = sum(v % 5 + 1 for v in values)
         assert got == {(g, v): (sum(u % 5 + 1 for u in values if u < v), total) for g in "xy" for v in values}
     assert weight_below(df.where("g = 'x'"), [], "v", "w", 60).count() == len(values)
+
+
+def test_chronological_split_of_keys_with_a_common_prefix(spark):
+    from cohortlens.operators import splits
+
+    rows = [(f"2024-0{1 + i % 3}-01", f"CUST{i:06d}") for i in range(2000)]
+    got = {(r["as_of_date"], r["customer_id"]): r["split"] for r in splits.chrono_split(spark.createDataFrame(rows, "as_of_date string, customer_id string")).collect()}
+    want = {key: "train" if at < 1300 else "validation" if at < 1600 else "test" for at, key in enumerate(sorted(rows))}
+    assert got == want
