@@ -23,11 +23,9 @@ doc_ids are ordered by their content; an empty table gives empty files.
 """
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import string
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,12 +57,11 @@ def byte_characters() -> dict[int, str]:
 
 
 class MemoEncoder:
-    """Ids of the ``tokenizers`` library, with a bounded memo of text parts in front of it.
+    """Ids of the ``tokenizers`` library, with bounded memos of text parts in front of it.
 
-    For a byte-level pre-tokeniser without normaliser a part made of letters and closing
-    punctuation is segmented by the library's BPE model directly. That needs no
-    pre-tokenisation: no entry of the vocabulary has such punctuation behind a letter or a
-    part of one (checked here), so no merge crosses from the letters into it."""
+    For a byte-level pre-tokeniser without normaliser, letters (with the blank before them) and
+    the ASCII punctuation behind them are two pieces of their own, so a part made of both is the
+    library's BPE model run on either; other parts go through the whole library."""
 
     def __init__(self, tokenizer_json: str, dtype: str, limit: int = MEMO_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,33 +69,54 @@ class MemoEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype, self.limit = np.dtype(dtype), limit
-        self.memo: dict[str, bytes] = {}
         spec = json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
         self.by_part = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.alphabet = byte_characters()
-        byte_of = {c: b for b, c in self.alphabet.items()}
-        tokens = [bytes(byte_of[c] for c in t).decode("utf-8", "replace") for t in self.tokenizer.get_vocab() if byte_of.keys() >= set(t)]
-        marks = set(string.punctuation) - {"'"}
-        mixed = {c for t in tokens for before, c in zip(t, t[1:]) if c in marks and (before.isalpha() or before == "\ufffd")}
-        self.closing = "".join(sorted(marks - mixed))
-        self.line = self._library(["\n"])[0]
+        size = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        raw, width = np.arange(size, dtype=self.dtype).tobytes(), self.dtype.itemsize
+        self.raw_id = [raw[i * width:(i + 1) * width] for i in range(size)]
+        self.memo: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}  # letters, keyed with their blank where they have one
+        self.tails: dict[str, bytes] = {"": b""}  # punctuation
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, known: dict[str, bytes], pieces: set[str]) -> None:
+        """Add pre-tokens to ``known`` by the BPE model alone."""
+        new = list(pieces - known.keys())
+        mapped = "\n".join(new).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[0x0A])
+        model, raw_id = self.tokenizer.model.tokenize, self.raw_id
+        for piece, text in zip(new, mapped):
+            known[piece] = b"".join([raw_id[t.id] for t in model(text)])
+
     def _learn(self, parts: list[str]) -> None:
         """Add parts to the memo. A part follows a blank, starts with a line break, or (behind
         ``START``) starts a text; only the first kind is encoded with its blank."""
-        bodies = [" " + p if p[0] not in "\0\n" else p[2:] if p[0] == "\0" else p[1:] for p in parts]
-        model, closing, memo, line, dtype = self.tokenizer.model.tokenize, self.closing, self.memo, self.line, self.dtype
-        plain = [body.lstrip(" ").rstrip(closing).isalpha() for body in bodies]
-        mapped = iter("\n".join(itertools.compress(bodies, plain)).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[0x0A]))
-        pack = struct.Struct(f"<{'H' if dtype.itemsize == 2 else 'I'}").pack
-        by_library = iter(self._library([body for body, simple in zip(bodies, plain) if not simple]))
-        for part, simple in zip(parts, plain):
-            raw = b"".join([pack(t.id) for t in model(next(mapped))]) if simple else next(by_library)
+        marks, library, plain = string.punctuation, [], []
+        for part in parts:
+            stem = part.rstrip(marks)
+            if stem.isalpha():
+                plain.append((part, " " + stem, part[len(stem):]))
+            elif part[0] in "\0\n" and stem.lstrip("\0\n").isalpha() and (part[0] == "\n" or part.startswith(START)):
+                plain.append((part, stem.lstrip("\0\n"), part[len(stem):]))
+            else:
+                library.append(part)
+        self._model(self.stems, {stem for _, stem, _ in plain})
+        self._model(self.tails, {tail for _, _, tail in plain})
+        line = self._line()
+        stems, tails, memo = self.stems, self.tails, self.memo
+        for part, stem, tail in plain:
+            raw = stems[stem] + tails[tail] if tail else stems[stem]
             memo[part] = line + raw if part[0] == "\n" else raw
+        bodies = [p[2:] if p.startswith(START) else p if p[0] == "\n" else " " + p for p in library]
+        memo.update(zip(library, self._library(bodies)))
+
+    def _line(self) -> bytes:
+        if "\n" not in self.tails:
+            self.tails["\n"] = self._library(["\n"])[0]
+        return self.tails["\n"]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none)."""
@@ -118,9 +136,11 @@ class MemoEncoder:
         marked = pc.replace_substring(pc.binary_join_element_wise(START, texts, ""), "\n", " \n")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().tolist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        index = coded.indices.to_numpy().tolist()
         if len(self.memo) > self.limit:
             self.memo.clear()
+            self.stems.clear()
         self._learn([p for p in distinct if p not in self.memo])
         known = [self.memo[p] for p in distinct]
         raw = list(map(known.__getitem__, index))
@@ -171,12 +191,16 @@ LENGTHS = np.array([[((control >> shift) & 3) + 1 for shift in (0, 2, 4, 6)] for
 def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    four = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    four[:len(values)] = code
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4, dtype=np.uint8) <= code[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
+    widest = int(values.max()) if len(values) else 0
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        if widest > limit:
+            code[:len(values)] += values > limit
+    a, b, c, d = code.reshape(-1, 4).T
+    control = a | b << 2 | c << 4 | d << 6
+    columns = int(code.max(initial=0)) + 1
+    used = np.arange(columns, dtype=np.uint8) <= code[:len(values), None]
+    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :columns][used].tobytes()
 
 
 def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
