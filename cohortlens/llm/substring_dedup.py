@@ -172,7 +172,8 @@ def packed_texts(keyed: DataFrame) -> DataFrame:
 
 def passages(keyed: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """Candidate windows of all documents: passages (``words`` set, with their home) and
-    windows of hot anchors (``words`` null, with their hash in w1, w2)."""
+    windows of hot anchors (``words`` null): one row per document and window hash (w1, w2) with
+    all ``starts``, so a line repeated inside a document is gathered before any shuffle."""
     anchors = anchor_rows(keyed, window, gram)
     known = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("home")).where("n > 1")
     met = anchors.join(known, "anchor").groupBy("doc", "th").agg(
@@ -186,14 +187,14 @@ def passages(keyed: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
             for doc, th, packed, met_ in zip(*(c.to_pylist() for c in batch.columns)):
                 words = unpack.decompress(packed).split()
                 out.extend(_cut(doc, th, words, met_, window, gram))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, _CUT_TYPES)], names=_CUT_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, _CUT_TYPES)], names=_CUT_NAMES)
 
     return joined.select("doc", "th", "packed", "met").mapInArrow(
-        run, "home bigint, doc bigint, th bigint, start int, words binary, w1 bigint, w2 bigint")
+        run, "home bigint, doc bigint, th bigint, start int, words binary, w1 bigint, w2 bigint, starts array<int>")
 
 
-_CUT_NAMES = ["home", "doc", "th", "start", "words", "w1", "w2"]
-_CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+_CUT_NAMES = ["home", "doc", "th", "start", "words", "w1", "w2", "starts"]
+_CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
 
 def _cut(doc: int, th: int, words: list[bytes], met: list[dict], window: int, gram: int) -> list[tuple]:
@@ -208,14 +209,16 @@ def _cut(doc: int, th: int, words: list[bytes], met: list[dict], window: int, gr
     change = np.flatnonzero((window_kind[1:] != window_kind[:-1]) | (window_home[1:] != window_home[:-1])) + 1
     bounds = [0, *change.tolist(), len(least)]
     out = []
-    both = None
+    both, hot = None, {}
     for a, b in zip(bounds, bounds[1:]):
         if window_kind[a] == 1:
-            out.append((int(window_home[a]), doc, th, a, b" ".join(words[a:b + window - 1]), None, None))
+            out.append((int(window_home[a]), doc, th, a, b" ".join(words[a:b + window - 1]), None, None, None))
         elif window_kind[a] == 2:
             if both is None:
                 both = [ngram_hashes(h, window).view(np.int64) for h in (hashes, hashes * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x5851F42D4C957F2D))]
-            out.extend((None, doc, th, s, None, int(both[0][s]), int(both[1][s])) for s in range(a, b))
+            for s, pair in enumerate(zip(both[0][a:b].tolist(), both[1][a:b].tolist()), a):
+                hot.setdefault(pair, []).append(s)
+    out.extend((None, doc, th, starts[0], None, *pair, starts) for pair, starts in hot.items())
     return out
 
 
@@ -243,11 +246,15 @@ _SPAN_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def hot_spans(rows: DataFrame, window: int) -> DataFrame:
-    """Covered windows of hot anchors: all but the first occurrence of each window hash."""
-    windows = rows.where("words is null").select("w1", "w2", "doc", "th", "start")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = windows.join(first, ["w1", "w2"]).where(F.struct("doc", "th", "start") != F.col("first"))
-    return again.select("doc", "th", "start", (F.col("start") + window).alias("end"))
+    """(doc, th, spans) of covered windows of hot anchors: all but the first occurrence of each
+    window hash."""
+    windows = rows.where("words is null").select("w1", "w2", "doc", "th", "start", "starts")
+    first = windows.groupBy("w1", "w2").agg(
+        F.min(F.struct("doc", "th", "start")).alias("first"), F.sum(F.size("starts")).alias("n")).where("n > 1")
+    at_home = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    later = F.when(at_home, F.slice("starts", 2, F.size("starts"))).otherwise(F.col("starts"))
+    spans = F.transform(later, lambda s: F.struct(s.alias("start"), (s + window).alias("end")))
+    return windows.join(first, ["w1", "w2"]).select("doc", "th", spans.alias("spans")).where(F.size("spans") > 0)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -264,8 +271,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc, th, spans): per document the word spans to remove; documents without any are missing."""
     rows = cut_lineage(passages(_keyed(docs, key, text), window, gram, hot))
-    spans = shard_spans(rows, window).unionByName(hot_spans(rows, window))
-    return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cold = shard_spans(rows, window).select("doc", "th", F.array(F.struct("start", "end")).alias("spans"))
+    return cold.unionByName(hot_spans(rows, window)).groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
