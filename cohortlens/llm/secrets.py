@@ -25,6 +25,7 @@ result; only the two named columns are read.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -95,13 +96,21 @@ def span_list(kinds: dict[str, Column]) -> Column:
 
 
 # ---------------------------------------------------------------- the battery
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def upper_tail(z: Column) -> Column:
     """P(N(0,1) > z) by the rational approximation 26.2.17 of Abramowitz and Stegun."""
-    a = F.least(F.abs(z), F.lit(37.0))
-    t = F.lit(1.0) / (F.lit(1.0) + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
+    def tail(x: Column) -> Column:
+        a = F.least(F.abs(x), F.lit(37.0))
+        poly = bound(F.lit(1.0) / (F.lit(1.0) + 0.2316419 * a), lambda t: t * (
+            0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        upper = F.exp(-a * a / 2) * 0.3989422804014327 * poly
+        return bound(upper, lambda p: F.when(x >= 0, p).otherwise(F.lit(1.0) - p))
+
+    return bound(z, tail)
 
 
 def encoding_of(token: Column) -> Column:
@@ -114,37 +123,54 @@ def encoding_of(token: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """(name, size, p): encoding, length without padding and the joined p-value of the tests."""
-    def tests(x: Column) -> Column:
-        chars, n, alphabet = x["chars"], F.size(x["chars"]).cast("double"), F.length(x["enc"]["alphabet"]).cast("double")
+    def neighbours(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+        return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), join)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    def uniform(x: Column) -> Column:
+        k = x["width"] - 1
         squares = F.aggregate(
-            F.array_distinct(chars), F.lit(0.0),
-            lambda s, c: s + F.pow(F.size(F.filter(chars, lambda y: y == c)).cast("double"), F.lit(2.0)))
-        k = alphabet - 1
-        chi2 = F.greatest(alphabet * squares / n - n, F.lit(0.0))
-        uniform = upper_tail((F.pow(chi2 / k, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * k))) / F.sqrt(F.lit(2.0) / (9 * k)))
-
-        sides = F.transform(chars, lambda c: F.instr(x["enc"]["first"], c) > 0)
-        n1 = F.size(F.filter(sides, lambda s: s)).cast("double")
-        n2 = n - n1
-        changes = F.size(F.filter(F.zip_with(F.slice(sides, 1, F.size(sides) - 1), F.slice(sides, 2, F.size(sides) - 1), lambda a, b: a != b), lambda d: d))
-        pairs = 2 * n1 * n2
-        spread = F.sqrt(F.greatest(pairs * (pairs - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        runs = F.when((n1 == 0) | (n2 == 0), F.lit(0.0)).otherwise(2 * upper_tail(F.abs((changes + 1 - (pairs / n + 1)) / spread)))
-
-        places = F.transform(chars, lambda c: F.instr(x["enc"]["alphabet"], c).cast("double"))
-        mean = F.aggregate(places, F.lit(0.0), lambda s, v: s + v) / n
-        centred = F.transform(places, lambda v: v - mean)
-        power = F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v)
-        lagged = F.aggregate(F.zip_with(F.slice(centred, 1, F.size(centred) - 1), F.slice(centred, 2, F.size(centred) - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        serial = F.when(power <= 0, F.lit(0.0)).otherwise(2 * upper_tail(F.abs((lagged / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n))))
-
-        half = -(F.log(F.greatest(uniform, F.lit(1e-300))) + F.log(F.greatest(runs, F.lit(1e-300))) + F.log(F.greatest(serial, F.lit(1e-300))))
-        joined = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with 6 degrees of freedom
-        return F.struct(x["enc"]["name"].alias("name"), n.cast("int").alias("size"), joined.alias("p"))
-
-    bare = F.rtrim(token, F.lit("="))
-    once = F.array(F.struct(F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0)).alias("chars"), encoding_of(token).alias("enc")))
-    return F.transform(once, tests)[0]
+            F.array_distinct(x["chars"]), F.lit(0.0),
+            lambda s, c: s + F.pow(F.size(F.filter(x["chars"], lambda y: y == c)).cast("double"), F.lit(2.0)))
+        chi2 = F.greatest(x["width"] * squares / x["n"] - x["n"], F.lit(0.0))
+        return upper_tail((F.pow(chi2 / k, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * k))) / F.sqrt(F.lit(2.0) / (9 * k)))
+
+    def runs(x: Column) -> Column:
+        def judge(y: Column) -> Column:
+            n, pairs = x["n"], 2 * y["n1"] * (x["n"] - y["n1"])
+            spread = F.sqrt(F.greatest(pairs * (pairs - n) / (n * n * (n - 1)), F.lit(1e-9)))
+            return F.when(pairs == 0, F.lit(0.0)).otherwise(2 * upper_tail(F.abs((y["changes"] - pairs / n) / spread)))
+
+        def counts(sides: Column) -> Column:
+            changes = F.size(F.filter(neighbours(sides, lambda a, b: a != b), lambda d: d))
+            return F.struct(F.size(F.filter(sides, lambda s: s)).cast("double").alias("n1"), changes.alias("changes"))
+
+        return bound(bound(F.transform(x["chars"], lambda c: F.instr(x["first"], c) > 0), counts), judge)
+
+    def serial(x: Column) -> Column:
+        def judge(centred: Column) -> Column:
+            lagged = total(neighbours(centred, lambda a, b: a * b))
+            return bound(total(F.transform(centred, lambda v: v * v)), lambda power: F.when(power <= 0, F.lit(0.0)).otherwise(
+                2 * upper_tail(F.abs((lagged / F.greatest(power, F.lit(1e-9)) + 1 / x["n"]) * F.sqrt(x["n"])))))
+
+        places = F.transform(x["chars"], lambda c: F.instr(x["alphabet"], c).cast("double"))
+        return bound(bound(places, lambda p: bound(total(p) / x["n"], lambda mean: F.transform(p, lambda v: v - mean))), judge)
+
+    def tests(x: Column) -> Column:
+        half = -(F.log(F.greatest(uniform(x), F.lit(1e-300))) + F.log(F.greatest(runs(x), F.lit(1e-300))) + F.log(F.greatest(serial(x), F.lit(1e-300))))
+        joined = bound(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared with 6 degrees of freedom
+        return F.struct(x["name"].alias("name"), x["n"].cast("int").alias("size"), joined.alias("p"))
+
+    def parts(y: Column) -> Column:
+        enc, chars = y["enc"], y["chars"]
+        return F.struct(
+            enc["name"].alias("name"), enc["alphabet"].alias("alphabet"), enc["first"].alias("first"), chars.alias("chars"),
+            F.size(chars).cast("double").alias("n"), F.length(enc["alphabet"]).cast("double").alias("width"))
+
+    chars = F.regexp_extract_all(F.rtrim(token, F.lit("=")), F.lit("(?s)."), F.lit(0))
+    return bound(bound(F.struct(chars.alias("chars"), encoding_of(token).alias("enc")), parts), tests)
 
 
 def stratum(result: Column) -> Column:
