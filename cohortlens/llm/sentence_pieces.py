@@ -37,7 +37,7 @@ from .common import slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 RANK_OFFSET = 100
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 

@@ -42,7 +42,7 @@ FACTORS = 8
 RATE, L2 = 0.1, 1e-5
 FACTOR_RATE, FACTOR_L2 = 0.02, 2e-4
 THRESHOLD = 0.3
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 _WORD_BYTES = bytes((b if b >= 0x80 or chr(b).isalnum() else 0x20) for b in range(256))
 _PREFIXES = (4, 5, 6, 7)
