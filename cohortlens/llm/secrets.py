@@ -12,12 +12,16 @@ Wald-Wolfowitz runs test of a two-class split of the alphabet, and lag-1 serial
 Fisher's method joins the three p-values.
 
 A candidate is random-looking when the joined test does not reject at ``ALPHA``. Short
-ordinary words can pass by lack of power, so false discoveries are controlled by length:
-candidates are counted over all documents per stratum (encoding, half octave of length). The
-battery's power against ordinary text of that length follows from the corpus itself (letter
-frequencies and class-change rates over all documents); ``rejected * (1 - power) / power``
-estimates how many ordinary strings passed, and a stratum is reported only while that is at
-most ``FDR`` of those that passed. The table of strata is small (encodings times octaves).
+ordinary strings can pass by lack of power, so each candidate is also weighed against
+ordinary text: its e-value is the likelihood ratio of a random string of its encoding over
+ordinary text, where letters follow the letter frequencies of all documents and letters and
+digits change places at their rate there or at ``CHANGES``, whichever explains the string
+better (case and symbols are left out, since identifiers mix them at will). Among ordinary
+text its mean is at most 1. False discoveries are then controlled per stratum (encoding, half
+octave of length) by the Benjamini-Hochberg procedure for e-values, which holds under any
+dependence: with ``m`` candidates in the stratum, those of at least ``e`` are reported once
+there are ``m / (FDR * e)`` of them. Many ordinary strings raise that cut-off for weak
+candidates; one of at least ``m / FDR`` is always reported. The cut-offs come from one count per stratum and quarter unit of ``log e``, a small table.
 
 Defined cases: a null text is empty; a text without matches has empty strings for digest and
 spans; equal rows give equal results; a null doc_id is kept; an empty table gives an empty
@@ -26,7 +30,7 @@ result; only the two named columns are read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from statistics import NormalDist
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,20 +43,22 @@ VALUE_LENGTH = 6
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHA, FDR = 0.01, 0.05
+CHANGES = 0.1  # of neighbours in an identifier, how many are a letter and a digit
+BINS, MAX_BIN = 4, 400  # of log e: bins a unit, and the last bin
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 VOWELS = "aeiouAEIOU"
-# name, pattern, alphabet, characters of the first class in the runs test, classes of text
+# name, pattern, alphabet, characters of the first class in the runs test
 ENCODINGS = [
-    ("hex", r"^(?=.*[0-9])[0-9a-f]+$", DIGITS + "abcdef", DIGITS, "class"),
-    ("hex_upper", r"^(?=.*[0-9])[0-9A-F]+$", DIGITS + "ABCDEF", DIGITS, "class"),
-    ("lower", r"^[a-z]+$", LOWER, VOWELS, "vowel"),
-    ("upper", r"^[A-Z]+$", UPPER, VOWELS, "vowel"),
-    ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", "234567", "class"),
-    ("upper_alnum", r"^[A-Z0-9]+$", UPPER + DIGITS, DIGITS, "class"),
-    ("lower_alnum", r"^[a-z0-9]+$", LOWER + DIGITS, DIGITS, "class"),
-    ("letters", r"^[A-Za-z]+$", UPPER + LOWER, UPPER, "class"),
-    ("base64", r"^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + "+/_-", UPPER + DIGITS, "class"),
+    ("hex", r"^(?=.*[0-9])[0-9a-f]+$", DIGITS + "abcdef", DIGITS),
+    ("hex_upper", r"^(?=.*[0-9])[0-9A-F]+$", DIGITS + "ABCDEF", DIGITS),
+    ("lower", r"^[a-z]+$", LOWER, VOWELS),
+    ("upper", r"^[A-Z]+$", UPPER, VOWELS),
+    ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", "234567"),
+    ("upper_alnum", r"^[A-Z0-9]+$", UPPER + DIGITS, DIGITS),
+    ("lower_alnum", r"^[a-z0-9]+$", LOWER + DIGITS, DIGITS),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER, UPPER),
+    ("base64", r"^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + "+/_-", UPPER + DIGITS),
 ]
 
 
@@ -113,16 +119,25 @@ def upper_tail(z: Column) -> Column:
     return bound(z, tail)
 
 
-def encoding_of(token: Column) -> Column:
-    """(name, alphabet, first) of the first encoding whose pattern the token fits; null for none."""
+def encoding_of(token: Column, rates: dict[str, float]) -> Column:
+    """(name, alphabet, first, weights, to_digit, to_letter) of the first encoding whose pattern the
+    token fits; null for none. Weights: log likelihood ratio of each character of the alphabet
+    among its kind; the others: log chance that a letter or digit of a random string is a digit or letter."""
     out = F.lit(None)
-    for name, pattern, alphabet, first, _ in reversed(ENCODINGS):
-        out = F.when(token.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(first).alias("first"))).otherwise(out)
+    for name, pattern, alphabet, first in reversed(ENCODINGS):
+        letters, digits = sum(c.isalpha() for c in alphabet), sum(c.isdigit() for c in alphabet)
+        seen = sum(rates[c.lower()] for c in alphabet if c.isalpha())
+        weights = [log(seen / rates[c.lower()] / letters) if c.isalpha() else 0.0 for c in alphabet]
+        shares = [log(n / (letters + digits)) if letters and digits else None for n in (digits, letters)]
+        parts = {"name": F.lit(name), "alphabet": F.lit(alphabet), "first": F.lit(first), "weights": F.array(*map(F.lit, weights))}
+        parts |= {k: F.lit(v).cast("double") for k, v in zip(("to_digit", "to_letter"), shares)}
+        out = F.when(token.rlike(pattern), F.struct(*[v.alias(k) for k, v in parts.items()])).otherwise(out)
     return out
 
 
-def battery(token: Column) -> Column:
-    """(name, size, p): encoding, length without padding and the joined p-value of the tests."""
+def battery(token: Column, rates: dict[str, float]) -> Column:
+    """(name, size, p, log_e): encoding, length without padding, the joined p-value of the tests
+    and the log likelihood ratio of a random string over ordinary text."""
     def neighbours(values: Column, join: Callable[[Column, Column], Column]) -> Column:
         return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), join)
 
@@ -158,86 +173,87 @@ def battery(token: Column) -> Column:
         places = F.transform(x["chars"], lambda c: F.instr(x["alphabet"], c).cast("double"))
         return bound(bound(places, lambda p: bound(total(p) / x["n"], lambda mean: F.transform(p, lambda v: v - mean))), judge)
 
+    def weighed(x: Column) -> Column:
+        def pairs(y: Column) -> Column:
+            stays = y["digits"] + y["letters"] - y["changes"]
+            text = F.greatest(*[y["changes"] * log(r) + stays * log(1 - r) for r in (rates["change"], CHANGES)])
+            return y["digits"] * x["to_digit"] + y["letters"] * x["to_letter"] - text
+
+        found = {"digits": "[A-Za-z0-9](?=[0-9])", "letters": "[A-Za-z0-9](?=[A-Za-z])", "changes": "[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"}
+        counts = F.struct(*[F.regexp_count(token, F.lit(pattern)).alias(k) for k, pattern in found.items()])
+        letters = F.aggregate(x["chars"], F.lit(0.0), lambda t, c: t + F.element_at(x["weights"], F.instr(x["alphabet"], c)))
+        return letters + F.when(x["to_digit"].isNull(), F.lit(0.0)).otherwise(bound(counts, pairs))
+
     def tests(x: Column) -> Column:
         half = -(F.log(F.greatest(uniform(x), F.lit(1e-300))) + F.log(F.greatest(runs(x), F.lit(1e-300))) + F.log(F.greatest(serial(x), F.lit(1e-300))))
         joined = bound(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared with 6 degrees of freedom
-        return F.struct(x["name"].alias("name"), x["n"].cast("int").alias("size"), joined.alias("p"))
+        return F.struct(x["name"].alias("name"), x["n"].cast("int").alias("size"), joined.alias("p"), weighed(x).alias("log_e"))
 
     def parts(y: Column) -> Column:
         enc, chars = y["enc"], y["chars"]
         return F.struct(
             enc["name"].alias("name"), enc["alphabet"].alias("alphabet"), enc["first"].alias("first"), chars.alias("chars"),
+            *[enc[c].alias(c) for c in ("weights", "to_digit", "to_letter")],
             F.size(chars).cast("double").alias("n"), F.length(enc["alphabet"]).cast("double").alias("width"))
 
     chars = F.regexp_extract_all(F.rtrim(token, F.lit("=")), F.lit("(?s)."), F.lit(0))
-    return bound(bound(F.struct(chars.alias("chars"), encoding_of(token).alias("enc")), parts), tests)
+    return bound(bound(F.struct(chars.alias("chars"), encoding_of(token, rates).alias("enc")), parts), tests)
 
 
 def stratum(result: Column) -> Column:
     return F.concat_ws(":", result["name"], F.floor(F.log2(result["size"].cast("double")) * 2).cast("string"))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, name, size, p) of the candidates of a text."""
-    return F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["value"]).alias("test")))
+def strength(result: Column) -> Column:
+    """Bin of the e-value; -1 for what the battery takes for no random string."""
+    return F.when(result["p"] >= ALPHA, F.least(F.floor(F.greatest(result["log_e"], F.lit(0.0)) * BINS), F.lit(MAX_BIN))).otherwise(-1).cast("int")
+
+
+def candidates(text: Column, rates: dict[str, float]) -> Column:
+    """Array of (start, end, test) of the candidates of a text; test is their ``battery``."""
+    return F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["value"], rates).alias("test")))
 
 
 def text_rates(docs: DataFrame, text: str) -> dict[str, float]:
-    """Of all documents: sum of squared frequencies of the lower-case letters, and per letter how
-    often vowels and consonants change (two changes a run of vowels) and character classes do."""
+    """Of all documents: the frequency of every lower-case letter, and how often a letter and a
+    digit are neighbours, per lower-case letter."""
     raw = F.coalesce(F.col(text), F.lit(""))
     counted = docs.select(
         *[(F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit(c), F.lit("")))).alias(c) for c in LOWER],
-        (2 * F.regexp_count(raw, F.lit("[aeiou]+"))).alias("vowel"),
-        F.regexp_count(raw, F.lit("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])")).alias("class"),
+        F.regexp_count(raw, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")).alias("change"),
     )
     total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in counted.columns]).first().asDict()
-    letters = sum(total[c] for c in LOWER) or 1.0
-    return {"squares": sum((total[c] / letters) ** 2 for c in LOWER), "vowel": min(total["vowel"] / letters, 1.0), "class": min(total["class"] / letters, 1.0)}
-
-
-def power(name: str, size: int, rates: dict[str, float], alpha: float = ALPHA) -> float:
-    """Chance that the better of the uniformity and the runs test rejects ordinary text of this
-    length (normal approximations, level split over the three tests)."""
-    _, _, alphabet, first, classes = next(e for e in ENCODINGS if e[0] == name)
-    normal, n, k = NormalDist(), size, len(alphabet)
-    level = normal.inv_cdf(1 - alpha / 3)
-    shift = (n - 1) * (k * rates["squares"] - 1)
-    spread = (2 * (k - 1)) ** 0.5
-    uniform = normal.cdf((shift - level * spread) / (spread ** 2 + 4 * max(shift, 0)) ** 0.5)
-    share = sum(c in first for c in alphabet) / k
-    random_rate, text_rate = 2 * share * (1 - share), rates[classes]
-    sd = max((n - 1) * random_rate * (1 - random_rate), 1e-9) ** 0.5
-    sd_text = max((n - 1) * text_rate * (1 - text_rate), 1e-2) ** 0.5
-    runs = normal.cdf((abs(random_rate - text_rate) * (n - 1) - level * sd) / sd_text)
-    return min(max(uniform, runs), 1 - 1e-6)
-
-
-def reported_strata(docs: DataFrame, text: str) -> list[str]:
-    """Strata whose random-looking candidates hold at most ``FDR`` ordinary strings, as estimated."""
+    letters = sum(total[c] + 1 for c in LOWER)
+    return {c: (total[c] + 1) / letters for c in LOWER} | {"change": min(max(total["change"] / letters, 1e-3), 0.5)}
+
+
+def cut_offs(docs: DataFrame, text: str, rates: dict[str, float]) -> dict[str, int]:
+    """Per stratum the least bin that is reported; strata that report nothing are left out."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    tests = docs.where(raw.rlike(CANDIDATE)).select(F.explode(candidates(raw)).alias("c")).select("c.test.*").where("name is not null")
-    counts = tests.groupBy(F.concat_ws(":", "name", F.floor(F.log2(F.col("size").cast("double")) * 2).cast("string")).alias("stratum"), "name").agg(
-        F.min("size").alias("size"), F.sum((F.col("p") < ALPHA).cast("int")).alias("rejected"), F.sum((F.col("p") >= ALPHA).cast("int")).alias("passed")).collect()
-    rates = text_rates(docs, text)
-    out = []
-    for row in counts:
-        strength = power(row["name"], row["size"], rates)
-        ordinary = row["rejected"] * (1 - strength) / max(strength, 1e-6)
-        if row["passed"] and strength >= 0.5 and ordinary <= FDR * row["passed"]:
-            out.append(row["stratum"])
-    return sorted(out)
+    tests = docs.where(raw.rlike(CANDIDATE)).select(F.explode(candidates(raw, rates)).alias("c")).where("c.test.name is not null")
+    counts: dict[str, dict[int, int]] = {}
+    for row in tests.groupBy(stratum(F.col("c.test")).alias("stratum"), strength(F.col("c.test")).alias("bin")).count().collect():
+        counts.setdefault(row["stratum"], {})[row["bin"]] = row["count"]
+    out = {}
+    for name, bins in counts.items():
+        total, above = sum(bins.values()), 0
+        for at in sorted((b for b in bins if b >= 0), reverse=True):
+            above += bins[at]
+            if at / BINS + log(FDR * above / total) >= 0:
+                out[name] = at
+    return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts per base kind, digest of the base spans and all spans of every row."""
-    strata = reported_strata(docs, text)
+    rates = text_rates(docs, text)
+    cuts = sorted(cut_offs(docs, text, rates).items())
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), raw.alias("text"))
     base = base_spans(F.col("text"))
-    rows = rows.select("doc_id", *[spans.alias(kind) for kind, spans in base.items()], candidates(F.col("text")).alias("tried"))
-    listed = F.array(*[F.lit(s) for s in strata]) if strata else F.array().cast("array<string>")
-    random = F.filter("tried", lambda c: (c["test"]["p"] >= ALPHA) & F.array_contains(listed, stratum(c["test"])))
+    rows = rows.select("doc_id", *[spans.alias(kind) for kind, spans in base.items()], candidates(F.col("text"), rates).alias("tried"))
+    least = F.create_map(*[F.lit(v) for cut in cuts for v in cut]) if cuts else F.create_map().cast("map<string,int>")
+    random = F.filter("tried", lambda c: strength(c["test"]) >= F.try_element_at(least, stratum(c["test"])))
     kinds = {kind: F.col(kind) for kind in base}
     return rows.select(
         "doc_id", *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in kinds],
