@@ -21,7 +21,8 @@ text its mean is at most 1. False discoveries are then controlled per stratum (e
 octave of length) by the Benjamini-Hochberg procedure for e-values, which holds under any
 dependence: with ``m`` candidates in the stratum, those of at least ``e`` are reported once
 there are ``m / (FDR * e)`` of them. Many ordinary strings raise that cut-off for weak
-candidates; one of at least ``m / FDR`` is always reported. The cut-offs come from one count per stratum and quarter unit of ``log e``, a small table.
+candidates; one of at least ``m / FDR`` is always reported. The cut-offs come from
+one count per stratum and quarter unit of ``log e``, a small table.
 
 Defined cases: a null text is empty; a text without matches has empty strings for digest and
 spans; equal rows give equal results; a null doc_id is kept; an empty table gives an empty

@@ -9,11 +9,11 @@ over the terms present, so pairs of terms (an insult next to a mention of a grou
 weight of their own that a linear model cannot express.
 
 The model is fitted on a bounded sample: about ``FIT_ROWS`` labelled training documents,
-drawn by a hash of doc_id (all of them while there are fewer). On that sample one Spark
-aggregate counts every hashed term among toxic and other documents, and the at most
-``MAX_TERMS`` terms with a chi-squared of at least ``MIN_CHI2`` enter the machine. Its
-parameters (at most MAX_TERMS * (FACTORS + 1) numbers) are broadcast and all documents are
-scored in one map-only pass. Labels, language, source and doc_id are no inputs of a score.
+drawn by a hash of doc_id (all of them while there are fewer). Every hashed term seen in at
+least ``MIN_DOCS`` documents of that sample enters the machine: a term may matter in pairs
+only, so none is judged by its own association with the labels. The parameters (terms of the
+sample * (FACTORS + 1) numbers) are broadcast and all documents are scored in one map-only
+pass. Labels, language, source and doc_id are no inputs of a score.
 
 Defined cases: a null, empty or unknown-word text gets the score of the bias alone; rows
 with a null label or null doc_id teach nothing; several labels of one doc_id count as
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, free_name, slices
 
 FIT_ROWS = 20_000
-MAX_TERMS = 4096
-MIN_CHI2 = 20.0
 MIN_DOCS = 4
 PLACES = 1 << 26
 FACTORS = 8
 RATE, L2 = 0.1, 1e-5
-FACTOR_RATE, FACTOR_L2 = 0.02, 2e-4
+EVIDENCE = 20.0  # chi-squared of a term's own counts from which its linear weight moves freely
+FACTOR_RATE, FACTOR_L2 = 0.02, 5e-3
+BATCH_ROWS = 2500
 THRESHOLD = 0.3
 MEMO_WORDS = 200_000
 
@@ -79,33 +79,98 @@ class FactorisationMachine:
         return self.bias + linear + (sums ** 2).sum(1) / 2, sums
 
 
+@dataclass
+class _Batch:
+    """Rows of the design matrix, ordered by row and by term."""
+
+    labels: np.ndarray
+    filled: np.ndarray      # rows that have terms
+    by_row: np.ndarray      # terms in order of rows
+    row_starts: np.ndarray
+    terms: np.ndarray       # distinct terms
+    by_term: np.ndarray     # rows in order of terms
+    term_starts: np.ndarray
+
+    @classmethod
+    def of(cls, indices: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> _Batch:
+        filled, row_starts = np.unique(rows, return_index=True)
+        order = np.argsort(indices, kind="stable")
+        terms, term_starts = np.unique(indices[order], return_index=True)
+        return cls(labels, filled, indices, row_starts, terms, rows[order], term_starts)
+
+
+def _batches(indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> list[_Batch]:
+    """The rows dealt at random into batches of about ``BATCH_ROWS``."""
+    n = len(labels)
+    count = max(1, round(n / BATCH_ROWS))
+    batch_of, place = rng.permutation(n) % count, np.empty(n, np.int32)
+    out = []
+    for b in range(count):
+        own = np.flatnonzero(batch_of == b)
+        place[own] = np.arange(len(own))
+        at = np.flatnonzero(batch_of[rows] == b)
+        out.append(_Batch.of(indices[at], place[rows[at]], labels[own]))
+    return out
+
+
+def _sums(table: np.ndarray, picks: np.ndarray, starts: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    """Sums of the picked rows of ``table`` between the starts, some segments at a time."""
+    ends, out = np.append(starts[1:], len(picks)), np.empty((len(starts), table.shape[1]), table.dtype)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + chunk, "right")))
+        out[at:to] = np.add.reduceat(table[picks[starts[at]:ends[to - 1]]], starts[at:to] - starts[at], axis=0)
+        at = to
+    return out
+
+
+def _chi2(indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, m: int) -> np.ndarray:
+    """Chi-squared of each term's 2x2 counts."""
+    n, p = len(labels), labels.sum()
+    seen, toxic = np.bincount(indices, minlength=m).astype(float), np.bincount(indices, labels[rows], m)
+    return (toxic * n - seen * p) ** 2 * n / np.maximum(seen * (n - seen) * p * (n - p), 1.0)
+
+
 def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, steps: int = 250) -> FactorisationMachine:
-    """Full-batch Adam on the logistic loss; deterministic. Linear weights move faster and
-    are penalised less than factors, so pairs explain only what single terms do not."""
+    """Adam on the logistic loss, over batches in turn; deterministic. ``rows`` is sorted. Linear
+    weights move faster than factors, so pairs explain what single terms do not. A term's linear
+    weight is scaled by its own evidence, else many rare terms would fit noise; its factors are
+    not. Factors move slower the more terms a row has."""
     n, m = len(labels), len(places)
     share = labels.mean() if n else 0.0
     if n == 0 or share in (0.0, 1.0):
         return FactorisationMachine(places, 40.0 if share else -800.0, np.zeros(m), np.zeros((FACTORS, m)))
     rng = np.random.default_rng(7)
-    fm = FactorisationMachine(places, float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.02, (FACTORS, m)))
-    theta = np.concatenate([[fm.bias], fm.weights, fm.factors.ravel()])
+    batches = _batches(indices, rows, labels, rng)
+    theta = np.zeros((m + 1, FACTORS + 1), np.float32)  # the last row is the bias; the first column has the weights
+    theta[:m, 1:] = rng.normal(0, 0.02, (m, FACTORS))
+    theta[m, 0] = np.log(share / (1 - share))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    rate = np.full_like(theta, RATE)
-    penalty = np.full_like(theta, L2)
-    rate[m + 1:], penalty[m + 1:], penalty[0] = FACTOR_RATE, FACTOR_L2, 0.0
+    scale = np.append(np.minimum(1.0, (_chi2(indices, rows, labels, m) / EVIDENCE) ** 2), 1.0).astype(np.float32)
+    rate = np.array([RATE] + [FACTOR_RATE / max(1.0, (len(indices) / n) ** 0.5)] * FACTORS, np.float32)
+    penalty = np.array([L2] + [FACTOR_L2] * FACTORS, np.float32)
     for t in range(1, steps + 1):
-        fm.bias, fm.weights, fm.factors = float(theta[0]), theta[1:m + 1], theta[m + 1:].reshape(FACTORS, m)
-        logits, sums = fm.logits(indices, rows, n)
-        error = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels
-        each = error[rows]
-        by_term = np.bincount(indices, each, m)
-        by_factor = np.stack([np.bincount(indices, each * sums[rows, f], m) - fm.factors[f] * by_term for f in range(FACTORS)])
-        grad = np.concatenate([[error.sum()], by_term, by_factor.ravel()]) / n
-        grad += penalty * theta
+        batch = batches[t % len(batches)]
+        size = len(batch.labels)
+        table = theta[:m].copy()
+        table[:, 0] *= scale[:m]
+        table[:, 0] -= (table[:, 1:] ** 2).sum(1) / 2
+        sums = np.zeros((size, FACTORS + 1), np.float32)
+        sums[batch.filled] = _sums(table, batch.by_row, batch.row_starts)
+        logits = theta[m, 0] + sums[:, 0] + (sums[:, 1:] ** 2).sum(1) / 2
+        error = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - batch.labels
+        sums[:, 0] = 1
+        by_term = _sums((sums * error[:, None]).astype(np.float32), batch.by_term, batch.term_starts)
+        by_term[:, 1:] -= theta[batch.terms, 1:] * by_term[:, :1]
+        by_term[:, 0] *= scale[batch.terms]
+        grad = penalty * theta
+        grad[m] = 0
+        grad[batch.terms] += by_term / np.float32(size)
+        grad[m, 0] = error.mean()
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad ** 2
-        theta = theta - rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
-    return FactorisationMachine(places, float(theta[0]), theta[1:m + 1].copy(), theta[m + 1:].reshape(FACTORS, m).copy())
+        theta -= rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
+    return FactorisationMachine(places, float(theta[m, 0]), theta[:m, 0] * scale[:m], theta[:m, 1:].T.copy())
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, fit_rows: int) -> DataFrame:
@@ -127,27 +192,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, fit
     return rows.mapInArrow(extract, "label int, terms binary")
 
 
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> np.ndarray:
-    """Places of the terms that tell the classes apart, by chi-squared of the 2x2 counts."""
+def choose_terms(sample: DataFrame) -> np.ndarray:
+    """Places of the terms seen in at least ``MIN_DOCS`` documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = np.array(batch.column(0).to_pylist()) > 0
-            terms = batch.column(1).to_pylist()
-            sides = [np.unique(np.frombuffer(b"".join(t for t, y in zip(terms, labels) if y == side), np.uint32), return_counts=True) for side in (True, False)]
-            for (places, n), zero in zip(sides, (False, True)):
-                none = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(none if zero else n), pa.array(n if zero else none)], names=["place", "a", "b"])
-
-    sizes = sample.agg(F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    p, n = float(sizes["p"]), float(sizes["n"])
-    if p in (0.0, n):
-        return np.empty(0, np.int64)
-    per = sample.mapInArrow(count, "place bigint, a bigint, b bigint").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    seen = (F.col("a") + F.col("b")).cast("double")
-    gap = F.col("a") * (n - p) - F.col("b") * p
-    chi2 = F.try_divide(gap * gap * n, seen * (n - seen) * p * (n - p))
-    chosen = per.where(seen >= MIN_DOCS).select("place", chi2.alias("c")).where(F.col("c") >= MIN_CHI2)
-    return np.array(sorted(r["place"] for r in chosen.orderBy(F.desc("c"), "place").limit(max_terms).collect()), np.int64)
+            places, n = np.unique(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(n)], names=["place", "n"])
+
+    per = sample.mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    return np.sort(per.where(F.col("n") >= MIN_DOCS).select("place").toArrow()["place"].to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> FactorisationMachine:
@@ -159,12 +212,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            picked = [np.searchsorted(known, np.intersect1d(np.frombuffer(t, np.uint32), known)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            picked = []
+            for packed in batch.column(1).to_pylist():
+                own = np.frombuffer(packed, np.uint32).astype(np.int64)
+                at = np.searchsorted(known, own)
+                at = at[known[np.minimum(at, len(known) - 1)] == own] if len(known) else at[:0]
+                picked.append(at.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.binary())], names=["label", "picked"])
 
     got = sorted((r["label"], bytes(r["picked"])) for r in sample.mapInArrow(design, "label int, picked binary").collect())
     picked = [np.frombuffer(b, "<i4") for _, b in got]
-    rows = np.repeat(np.arange(len(got)), [len(x) for x in picked])
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in picked])
     indices = np.concatenate(picked) if picked else np.empty(0, np.int32)
     return fit_machine(places, indices, rows, np.array([float(y > 0) for y, _ in got]))
 
