@@ -11,8 +11,8 @@ text. One block is a single map-only pass; more blocks are further map-only pass
 adding its spans to the row, so a benchmark of any size works and no document is shuffled.
 
 Defined cases: a null or wordless document has no words and is clean; a null or wordless
-item matches nothing; items with equal text all count; a null item_id is not listed in
-the digest; repeated documents are judged one by one; an empty benchmark leaves every
+item matches nothing, nor does an item with a null item_id, whatever its text; items with
+equal text all count; repeated documents are judged one by one; an empty benchmark leaves every
 document clean. Extra columns of ``docs`` are carried by ``scan`` untouched.
 """
 from __future__ import annotations
