@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, near_dedup, secrets, sentence_pieces, sharding, substring_dedup, token_output, toxicity, warc_zip
+from . import decontam, exact_dedup, near_dedup, secrets, sentence_pieces, sharding, substring_dedup, token_counts, token_output, toxicity, warc_zip
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 8
 END_ID = 2
+TOKEN_LIMIT = 512
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +77,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.budget(counts, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_token_files, op2_near_duplicates, op3_jump_shards, op4_toxicity_machine, op5_substring_dedup, op6_warc_packages, op7_decontaminate,
         op8_secret_scan, op9_sentence_pieces,
-        op10_exact_dedup,
+        op10_exact_dedup, op12_token_counts,
     )
 }
 
