@@ -30,7 +30,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+import string
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import free_name, slices
 from .token_output import byte_characters
 
-MEMO_UNITS = 300_000  # distinct units remembered per task
+MEMO_UNITS = 600_000  # distinct units, and distinct pieces, remembered per task
 MEMO_CHARS = 64  # longer units are counted each time
 MEMO_PAIRS = 2_000_000  # token pairs remembered per task
 
@@ -51,6 +55,31 @@ LEADING = re.compile(f"[{SPACE}]*")
 CUT_CONTRACTIONS = ("'re", "'ve", "'ll")  # of two letters: cut after the first, they are two pieces
 
 
+class Wide(tuple):
+    """Steps that do not fit in signed bytes."""
+
+
+def packed(steps: list[int]) -> bytes | Wide:
+    """Signed bytes, or wider integers where a step needs them."""
+    try:
+        return array("b", steps).tobytes()
+    except OverflowError:
+        return Wide(steps)
+
+
+def joined(parts: list) -> tuple[int, bytes]:
+    """(bytes per step, steps) of consecutive units."""
+    try:
+        return 1, b"".join(parts)
+    except TypeError:  # wider integers are among them
+        return 4, b"".join(np.array(p if type(p) is Wide else np.frombuffer(p, np.int8), "<i4").tobytes() for p in parts)
+
+
+def counts_of(width: int, steps: bytes) -> np.ndarray:
+    """Token counts of the code point prefixes 1..n."""
+    return np.cumsum(np.frombuffer(steps, np.int8 if width == 1 else "<i4"), dtype=np.int64)
+
+
 class PrefixCounter:
     """Token counts of all prefixes by one ``tokenizers`` file (its JSON text)."""
 
@@ -73,9 +102,11 @@ class PrefixCounter:
         if not set(self.alphabet.values()) <= self.vocabulary.keys():
             raise ValueError("the vocabulary lacks single bytes")
         self.token = {i: t for t, i in self.vocabulary.items()}
-        self.ends = {t[k:] for t in self.vocabulary for k in range(len(t))}
+        # every ending of a token: the token that it is, or -1
+        self.endings = dict.fromkeys((t[k:] for t in self.vocabulary for k in range(1, len(t))), -1) | self.vocabulary
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | Wide] = {}
+        self.memo: dict[str, bytes | Wide] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
@@ -86,72 +117,109 @@ class PrefixCounter:
             self.pairs[left, right] = known
         return known
 
-    def piece_counts(self, piece: str) -> list[int]:
-        """Counts of all byte prefixes (from the empty one) of one pre-token, given as characters
-        of the byte alphabet."""
-        vocabulary, ends, pairs, may_follow = self.vocabulary, self.ends, self.pairs, self.may_follow
-        last, counts = [-1], [0]
-        for end in range(1, len(piece) + 1):
-            fitting, at = [], end - 1
-            while at >= 0 and (tail := piece[at:end]) in ends:
-                if (token := vocabulary.get(tail)) is not None:
-                    fitting.append((at, token))
-                at -= 1
-            for at, token in reversed(fitting):  # the longest is the likeliest
-                if not at or pairs.get((last[at], token)) or may_follow(last[at], token):
-                    break
-            last.append(token)
-            counts.append(counts[at] + 1)
-        return counts
-
-    def _by_characters(self, text: str) -> list[int]:
-        """Counts of the code point prefixes 1..n of a text that is one pre-token."""
-        counts = self.piece_counts(text.encode().decode("latin-1").translate(self.alphabet))
-        if text.isascii():
-            return counts[1:]
-        ends = np.cumsum([len(c.encode()) for c in text])
-        return [counts[e] for e in ends.tolist()]
-
-    def unit_counts(self, unit: str) -> list[int]:
-        """Counts of the code point prefixes 1..n of a unit."""
-        blanks = LEADING.match(unit).end()
-        out = self._by_characters(unit[:blanks]) if blanks else []
+    def learn_pieces(self, pieces: Iterable[str]) -> None:
+        """Add the steps of pre-tokens (differences of the count at their code points) to the memo.
+        They are taken in sorted order, so a piece goes on from the prefix it shares with the
+        one before it."""
+        endings, pairs, may_follow = self.endings, self.pairs, self.may_follow
+        coded = sorted((p.encode().decode("latin-1").translate(self.alphabet), p) for p in pieces)
+        last, counts, before = [-1], [0], ""
+        for piece, raw in coded:
+            shared, most = 0, min(len(piece), len(before))
+            while shared < most and piece[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1:], counts[shared + 1:]
+            before = piece
+            for end in range(shared + 1, len(piece) + 1):
+                # tokens that end here; an ending of no token has no longer one either
+                at, fitting = end - 1, []
+                while at >= 0 and (token := endings.get(piece[at:end])) is not None:
+                    if token >= 0:
+                        fitting.append((at, token))
+                    at -= 1
+                while fitting:  # the longest is the likeliest
+                    at, token = fitting.pop()
+                    if not at or pairs.get((last[at], token)) or may_follow(last[at], token):
+                        break
+                last.append(token)
+                counts.append(counts[at] + 1)
+            if raw.isascii():
+                steps = list(map(sub, counts[1:], counts))
+                if raw in CUT_CONTRACTIONS:
+                    steps[1:] = [2 - counts[1], counts[3] - 2]
+            else:
+                at_characters = [counts[e] for e in accumulate((len(c.encode()) for c in raw), initial=0)]
+                steps = list(map(sub, at_characters[1:], at_characters))
+            self.pieces[raw] = packed(steps)
+
+    def _cut(self, unit: str) -> list[str]:
+        """The library's pre-tokens of a unit. Letters (of the blocks up to Latin Extended-B) and
+        ASCII punctuation behind them are a piece each; other units are cut by the library."""
+        body = unit[1:] if unit[0] == " " else unit
+        stem = body.rstrip(string.punctuation)
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+            blank = unit[:len(unit) - len(body)]
+            if stem is body:
+                return [unit]
+            tail = body[len(stem):]
+            return [blank + stem, tail]
+        return [unit[start:end] for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
+
+    @staticmethod
+    def _chained(parts: list) -> bytes | Wide:
+        width, steps = (1, parts[0]) if len(parts) == 1 else joined(parts)
+        return steps if width == 1 else Wide(np.frombuffer(steps, "<i4").tolist())
+
+    def unit_steps(self, unit: str, cut: list[str]) -> bytes | Wide:
+        """Differences of the count at the code points of a unit, from its known pieces."""
+        known = self.pieces
+        blanks = 1 if unit[0] == " " and unit[1:2].isalnum() else LEADING.match(unit).end()
+        if blanks < 2:  # one blank counts the same alone and in front of a piece
+            return self._chained([known[p] for p in cut])
         if blanks == len(unit):
-            return out
-        before = 0
-        for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit):
-            piece = unit[start:end]
-            counts = self._by_characters(piece)
-            total = counts[-1]
-            if piece in CUT_CONTRACTIONS:
-                counts[1] = 2
-            if end > blanks:
-                out += [before + c for c in counts[max(0, blanks - start):]]
-            before += total
-        return out
-
-    def _steps_of(self, unit: str) -> bytes | np.ndarray:
-        counts = np.array(self.unit_counts(unit), np.int64)
-        steps = np.diff(counts, prepend=0)
-        return steps.astype(np.int8).tobytes() if -128 <= steps.min() and steps.max() <= 127 else steps.astype("<i4")
+            return known[unit]  # white space at the end of a text
+        # a prefix of the run of white space is one piece; behind it the run's last character
+        # may belong to the first piece, so the count there starts from the other pieces' sum
+        run, whole = counts_of(*joined([known[unit[:blanks]]])), counts_of(*joined([known[p] for p in cut]))
+        return packed(np.diff(np.concatenate([run, whole[blanks:]]), prepend=0).tolist())
+
+    def learn(self, units: set[str]) -> dict[str, bytes | Wide]:
+        """Steps of units; those of long units are returned, the others remembered."""
+        memo = self.memo
+        if len(memo) >= MEMO_UNITS:
+            memo.clear()
+        cuts = {unit: self._cut(unit) for unit in units.difference(memo)}
+        pieces = set(chain.from_iterable(cuts.values()))
+        pieces.update(unit[:LEADING.match(unit).end()] for unit in cuts if unit[0] != " " or unit[1:2].isspace() or len(unit) == 1)
+        pieces.add(" ")
+        pieces.discard("")
+        if len(self.pieces) >= MEMO_UNITS:
+            self.pieces.clear()
+        self.learn_pieces(pieces.difference(self.pieces))
+        long = {}
+        for unit, cut in cuts.items():
+            (memo if len(unit) <= MEMO_CHARS else long)[unit] = self.unit_steps(unit, cut)
+        for piece in pieces:
+            if len(piece) > MEMO_CHARS:
+                self.pieces.pop(piece, None)
+        return long
 
     def _plain(self, text: str) -> list:
         """Steps of every unit of a text without special tokens."""
         units, memo = UNITS.findall(text), self.memo
-        try:
-            return list(map(memo.__getitem__, units))
-        except KeyError:
-            pass
-        out = []
-        for unit in units:
-            steps = memo.get(unit)
-            if steps is None:
-                steps = self._steps_of(unit)
-                if len(unit) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_UNITS:
-                        memo.clear()
-                    memo[unit] = steps
-            out.append(steps)
+        long = self.learn(set(units))
+        return [long[u] if u in long else memo[u] for u in units] if long else list(map(memo.__getitem__, units))
+
+    def steps_of(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        """``steps`` of many texts, whose units are learnt together."""
+        cut = [None if self.special and self.special.search(t) else UNITS.findall(t) for t in texts]
+        long = self.learn(set(chain.from_iterable(units for units in cut if units)))
+        known, out = {**self.memo, **long} if long else self.memo, []
+        for text, units in zip(texts, cut):
+            if units is None:
+                out.append(self.steps(text))
+            else:
+                out.append(joined([known[u] for u in units]))
         return out
 
     def steps(self, text: str) -> tuple[int, bytes]:
@@ -162,25 +230,13 @@ class PrefixCounter:
             # inside the special string a prefix is ordinary text that goes on from the last unit
             out.append(self._inside(UNITS.findall(before)[-1] if before else "", special))
             out += self._plain(behind)
-        if all(type(s) is bytes for s in out):
-            return 1, b"".join(out)
-        return 4, b"".join((np.frombuffer(s, np.int8).astype("<i4") if type(s) is bytes else s).tobytes() for s in out)
+        return joined(out)
 
-    def _inside(self, unit: str, special: str) -> bytes | np.ndarray:
-        def joined(t: str) -> np.ndarray:
-            steps = [np.frombuffer(s, np.int8).astype(np.int64) if type(s) is bytes else s for s in self._plain(t)]
-            return np.cumsum(np.concatenate(steps)) if steps else np.zeros(0, np.int64)
-
-        total = int(joined(unit)[-1]) if unit else 0
-        counts = joined(unit + special)[len(unit):].copy()
+    def _inside(self, unit: str, special: str) -> bytes | Wide:
+        total = int(counts_of(*joined(self._plain(unit)))[-1]) if unit else 0
+        counts = counts_of(*joined(self._plain(unit + special)))[len(unit):]
         counts[-1] = total + 1
-        steps = np.diff(counts, prepend=total)
-        return steps.astype(np.int8).tobytes() if -128 <= steps.min() and steps.max() <= 127 else steps.astype("<i4")
-
-
-def counts_of(width: int, steps: bytes) -> np.ndarray:
-    """Token counts of the code point prefixes 1..n."""
-    return np.cumsum(np.frombuffer(steps, np.int8 if width == 1 else "<i4"), dtype=np.int64)
+        return packed(np.diff(counts, prepend=total).tolist())
 
 
 def prefix_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,9 +248,9 @@ def prefix_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(shared.value)
-        for batch in slices(batches):
+        for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = [counter.steps(t) for t in texts]
+            rows = counter.steps_of(texts)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([int(np.frombuffer(s, np.int8 if w == 1 else "<i4").sum(dtype=np.int64)) for w, s in rows], pa.int64()),

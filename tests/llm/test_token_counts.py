@@ -2,7 +2,6 @@
 import random
 import re
 
-import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +39,7 @@ def n_tokens(library, text: str) -> int:
 def test_every_prefix_has_the_librarys_count(library, counter):
     for text in [*ODD, *texts(150, 1), "a <|endoftext|><|endoftext|> b", "x  <|endoftext|>", " " * 200, "ha" * 300]:
         width, steps = counter.steps(text)
+        assert counter.steps_of([text]) == [(width, steps)]
         want = [n_tokens(library, text[:end]) for end in range(1, len(text) + 1)]
         assert token_counts.counts_of(width, steps).tolist() == want, text
 
@@ -56,8 +56,8 @@ def test_steps_that_need_more_than_a_byte(counter, library, monkeypatch):
     text = "--- two words"
     plain = token_counts.counts_of(*counter.steps(text)).tolist()
     fresh = token_counts.PrefixCounter(open(FILE, encoding="utf-8").read())
-    steps_of = fresh._steps_of
-    monkeypatch.setattr(fresh, "_steps_of", lambda u: np.frombuffer(steps_of(u), np.int8).astype("<i4") if u == " two" else steps_of(u))
+    packed = token_counts.packed
+    monkeypatch.setattr(token_counts, "packed", lambda steps: token_counts.Wide(steps) if len(steps) in (3, 4) else packed(steps))
     width, steps = fresh.steps(text)
     assert width == 4 and token_counts.counts_of(width, steps).tolist() == plain
 
