@@ -46,7 +46,7 @@ from .token_output import byte_characters
 
 MEMO_UNITS = 600_000  # distinct units, and distinct pieces, remembered per task
 MEMO_CHARS = 64  # longer units are counted each time
-MEMO_PAIRS = 2_000_000  # token pairs remembered per task
+MEMO_PAIRS = 2_000_000  # token pairs, and steps of the token automaton, remembered per task
 
 # Unicode White_Space, as a character class.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,8 +102,8 @@ class PrefixCounter:
         if not set(self.alphabet.values()) <= self.vocabulary.keys():
             raise ValueError("the vocabulary lacks single bytes")
         self.token = {i: t for t, i in self.vocabulary.items()}
-        # every ending of a token: the token that it is, or -1
-        self.endings = dict.fromkeys((t[k:] for t in self.vocabulary for k in range(1, len(t))), -1) | self.vocabulary
+        self.heads = {t[:k] for t in self.vocabulary for k in range(1, len(t) + 1)}
+        self.moves: dict[str, tuple[str, tuple]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes | Wide] = {}
         self.memo: dict[str, bytes | Wide] = {}
@@ -117,32 +117,41 @@ class PrefixCounter:
             self.pairs[left, right] = known
         return known
 
+    def _move(self, text: str) -> tuple[str, tuple]:
+        """From a state and the next character: the longest ending that begins some token (the new
+        state), and the tokens that end here as (length, token), longest first."""
+        state = text
+        while state not in self.heads:
+            state = state[1:]
+        tails = ((len(state) - k, self.vocabulary.get(state[k:])) for k in range(len(state)))
+        if len(self.moves) >= MEMO_PAIRS:
+            self.moves.clear()
+        self.moves[text] = move = state, tuple((n, t) for n, t in tails if t is not None)
+        return move
+
     def learn_pieces(self, pieces: Iterable[str]) -> None:
         """Add the steps of pre-tokens (differences of the count at their code points) to the memo.
         They are taken in sorted order, so a piece goes on from the prefix it shares with the
         one before it."""
-        endings, pairs, may_follow = self.endings, self.pairs, self.may_follow
+        moves, pairs, may_follow = self.moves, self.pairs, self.may_follow
         coded = sorted((p.encode().decode("latin-1").translate(self.alphabet), p) for p in pieces)
-        last, counts, before = [-1], [0], ""
+        last, counts, states, before = [-1], [0], [""], ""
         for piece, raw in coded:
             shared, most = 0, min(len(piece), len(before))
             while shared < most and piece[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1:], counts[shared + 1:]
-            before = piece
+            del last[shared + 1:], counts[shared + 1:], states[shared + 1:]
+            before, state = piece, states[shared]
             for end in range(shared + 1, len(piece) + 1):
-                # tokens that end here; an ending of no token has no longer one either
-                at, fitting = end - 1, []
-                while at >= 0 and (token := endings.get(piece[at:end])) is not None:
-                    if token >= 0:
-                        fitting.append((at, token))
-                    at -= 1
-                while fitting:  # the longest is the likeliest
-                    at, token = fitting.pop()
+                ahead = state + piece[end - 1]
+                state, fitting = moves.get(ahead) or self._move(ahead)
+                for length, token in fitting:  # the longest is the likeliest
+                    at = end - length
                     if not at or pairs.get((last[at], token)) or may_follow(last[at], token):
                         break
                 last.append(token)
                 counts.append(counts[at] + 1)
+                states.append(state)
             if raw.isascii():
                 steps = list(map(sub, counts[1:], counts))
                 if raw in CUT_CONTRACTIONS:
