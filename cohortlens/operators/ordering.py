@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def position_within(
     df: DataFrame,
@@ -44,30 +46,37 @@ def position_within(
     return joined.withColumn(out, F.col("_off") + F.row_number().over(inner) - 1 + base).drop("_cb", "_off", *[f"_o{i}" for i in range(len(p) + 1)])
 
 
-def weight_below(df: DataFrame, group_cols: Sequence[str], value_col: str, weight_col: str, rows_per_bucket: int = 200_000) -> DataFrame:
+def weight_below(df: DataFrame, group_cols: Sequence[str], value_col: str, weight_col: str) -> DataFrame:
     """Add ``_below`` (weight of the smaller values) and ``_n`` (weight of all) per group.
 
-    ``df`` has one row per (group, value). Groups are cut into value ranges at approximate
-    quantiles, as many as the row count asks for; ranges get their offset from a prefix sum
-    over the small table of range weights, and only the values of one range are sorted
-    together. ``df`` is read three times, so it should be a written table."""
+    ``df`` has one row per (group, value). Rows are dealt to range partitions of (group, value),
+    written once; a partition's offset is a prefix sum over the small table of (group, partition)
+    weights, and only the values of one partition are sorted together."""
     g = list(group_cols)
-    buckets = max(1, -(-df.count() // rows_per_bucket))
-    if buckets == 1:
-        ranged = df.withColumn("_range", F.lit(0))
-    else:
-        cuts = F.percentile_approx(value_col, [i / buckets for i in range(1, buckets)], 20 * buckets)
-        bounds = df.groupBy(*g).agg(cuts.alias("_cuts"))  # one row per group
-        with_cuts = df.join(F.broadcast(bounds), g) if g else df.crossJoin(F.broadcast(bounds))
-        ranged = with_cuts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value_col)))).drop("_cuts")
-    ordered = Window.partitionBy(*g).orderBy("_range")
-    sums = ranged.groupBy(*g, "_range").agg(F.sum(weight_col).alias("_rw"))
-    offsets = sums.select(
-        *g, "_range", (F.sum("_rw").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rw")).alias("_off"),
-        F.sum("_rw").over(Window.partitionBy(*g)).alias("_n"))
-    inside = Window.partitionBy(*g, "_range").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = cut_lineage(df.repartitionByRange(*g, value_col).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*g, "_part").agg(F.sum(weight_col).alias("_pw"))  # a row per partition and group that meet
+    upto = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = sums.select(*g, "_part", (F.sum("_pw").over(upto) - F.col("_pw")).alias("_off"), F.sum("_pw").over(Window.partitionBy(*g)).alias("_n"))
+    inside = Window.partitionBy(*g, "_part").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_in", F.coalesce(F.sum(weight_col).over(inside), F.lit(0)))
-    return placed.join(F.broadcast(offsets), [*g, "_range"]).withColumn("_below", F.col("_off") + F.col("_in")).drop("_range", "_off", "_in")
+    return placed.join(offsets, [*g, "_part"]).withColumn("_below", F.col("_off") + F.col("_in")).drop("_part", "_off", "_in")
+
+
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], copies: str, small: int = 1_000_000, hot: int = 100_000) -> DataFrame:
+    """``df`` left-joined to ``table`` (one row per key, with ``copies``: the rows of ``df`` that have
+    it), without a hot key in any shuffle.
+
+    A table of at most ``small`` rows is broadcast. Beyond that the keys with more than ``hot`` rows
+    (at most rows / ``hot`` of them) are broadcast and settle their rows on the spot; only the rest
+    is shuffled. ``table`` should be a written table; null keys match nothing."""
+    k = list(keys)
+    values = [c for c in table.columns if c not in k]
+    if table.count() <= small:
+        return df.join(F.broadcast(table), k, "left")
+    heavy = F.broadcast(table.where(F.col(copies) > hot))
+    settled = df.join(heavy, k, "inner")
+    rest = df.join(heavy.select(*k), k, "left_anti").join(table.where(F.col(copies) <= hot), k, "left")
+    return settled.select(*df.columns, *values).unionByName(rest.select(*df.columns, *values))
 
 
 def top_k_per_group(

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordering import weight_below
+from .ordering import attach, weight_below
 
 LIGHT_DISTINCT = 200_000
 BUCKETS = 256
@@ -127,13 +127,25 @@ def exact_quantiles(
     return result
 
 
+def average_tie_percent_ranks(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add the pandas ``rank(pct=True)`` of each of ``columns`` (value column -> new column):
+    (values below + (ties + 1) / 2) / non-null count.
+
+    All columns are ranked in one pass over their *distinct* values with their counts
+    (:func:`ordering.weight_below`) and looked up (:func:`ordering.attach`, so a value that most
+    rows share is never one shuffle key); NULL values get a NULL rank. The value columns must
+    be of one type."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("_p")).select("_p.*").where(F.col("_value").isNotNull()).groupBy("_column", "_value").agg(
+        F.count(F.lit(1)).alias("_eq"))
+    ranks = cut_lineage(weight_below(counts, ["_column"], "_value", "_eq").select(
+        "_column", "_value", "_eq", ((F.col("_below") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias("_rank")))
+    for value_col, out_col in columns.items():
+        found = ranks.where(F.col("_column") == value_col).select(F.col("_value").alias(value_col), F.col("_eq").alias("_copies"), F.col("_rank").alias(out_col))
+        df = attach(df, found, [value_col], "_copies").drop("_copies")
+    return df
+
+
 def average_tie_percent_rank(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
-    """pandas ``rank(pct=True)``: (values below + (ties + 1) / 2) / non-null count.
-
-    Computed over the *distinct* values with their counts (ranged by value, see
-    :func:`ordering.weight_below`), then joined back; NULL values get a NULL rank.
-    """
-    counts = cut_lineage(df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_eq")))
-    ranked = weight_below(counts, [], value_col, "_eq").select(
-        value_col, ((F.col("_below") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias(out_col))
-    return df.join(ranked, value_col, "left")
+    """:func:`average_tie_percent_ranks` of one column."""
+    return average_tie_percent_ranks(df, {value_col: out_col})

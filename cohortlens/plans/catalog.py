@@ -346,12 +346,20 @@ def q_impute_scale(spark, sf_dir):
     return comparable(transform.fit_impute_scale(train_sample(spark, sf_dir)))
 
 
+def _information(spark, sf_dir, score):
+    sample = train_sample(spark, sf_dir)
+    long = transform.apply_impute_scale(sample, transform.fit_impute_scale(sample))
+    return comparable(score(long, transform.behavior_proxy(sample)))
+
+
 @register("mutual_information")
 def q_mutual_information(spark, sf_dir):
-    sample = train_sample(spark, sf_dir)
-    stats = transform.fit_impute_scale(sample)
-    long = transform.apply_impute_scale(sample, stats)
-    return comparable(transform.mutual_information(long, transform.behavior_proxy(sample)))
+    return _information(spark, sf_dir, transform.mutual_information)
+
+
+@register("mutual_information_binned")
+def q_mutual_information_binned(spark, sf_dir):
+    return _information(spark, sf_dir, transform.binned_mutual_information)
 
 
 # ---------------------------------------------------------------- cluster metrics

@@ -588,7 +588,7 @@ SELECT feature, round(impute_value, 6) AS impute_value, round(center, 6) AS cent
        indicator_of, fit_rows, 'train' AS fit_split FROM stats
 """
 
-ORACLE["mutual_information"] = with_a("seg") + TRAIN_SAMPLE + """,
+ORACLE["mutual_information_binned"] = with_a("seg") + TRAIN_SAMPLE + """,
 yb AS (SELECT customer_id, CAST(least(9, floor(10 * (rank() OVER (ORDER BY proxy) - 1 + (count(*) OVER (PARTITION BY proxy) + 1) / 2.0::DOUBLE)
                                   / count(*) OVER ())) AS INTEGER) AS ybin FROM proxy),
 xb AS (SELECT customer_id, feature, CAST(least(9, floor(10 * (rank() OVER (PARTITION BY feature ORDER BY value) - 1
@@ -604,6 +604,36 @@ SELECT feature, round(mutual_information, 6) AS mutual_information,
 FROM mi
 """
 
+# all pairs of points: fine at the size of the correctness data
+_PSI = ("(ln({m} + 6.0::DOUBLE) - 0.5::DOUBLE / ({m} + 6) - 1.0::DOUBLE / 12 / pow({m} + 6.0::DOUBLE, 2) + 1.0::DOUBLE / 120 / pow({m} + 6.0::DOUBLE, 4)"
+        " - 1.0::DOUBLE / 252 / pow({m} + 6.0::DOUBLE, 6) + 1.0::DOUBLE / 240 / pow({m} + 6.0::DOUBLE, 8) - 1.0::DOUBLE / 132 / pow({m} + 6.0::DOUBLE, 10)"
+        " - 1.0::DOUBLE / {m} - 1.0::DOUBLE / ({m} + 1) - 1.0::DOUBLE / ({m} + 2) - 1.0::DOUBLE / ({m} + 3) - 1.0::DOUBLE / ({m} + 4) - 1.0::DOUBLE / ({m} + 5))")
+
+
+def _coordinate(value: str, mean: str, deviation: str, name: str) -> str:
+    return (f"CAST(floor(CASE WHEN {deviation} > 0 THEN ({value} - {mean}) / {deviation} ELSE 0.0::DOUBLE END * 35184372088832.0::DOUBLE) AS BIGINT)"
+            f" + CAST(('0x' || substr(md5('42:' || {name} || ':' || customer_id), 1, 8)) AS BIGINT) % 4096 - 2048")
+
+
+ORACLE["mutual_information"] = with_a("seg") + TRAIN_SAMPLE + f""",
+sx AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS d FROM tl WHERE value IS NOT NULL GROUP BY 1),
+sy AS (SELECT avg(proxy) AS m, stddev_pop(proxy) AS d FROM proxy),
+yp AS (SELECT customer_id, {_coordinate('proxy', 'm', 'd', "'proxy'")} AS y FROM proxy, sy WHERE proxy IS NOT NULL),
+pt AS (SELECT customer_id, feature, {_coordinate('value', 'm', 'd', 'feature')} AS x, y FROM tl JOIN sx USING (feature) JOIN yp USING (customer_id)
+       WHERE value IS NOT NULL),
+pd AS (SELECT a.feature, a.customer_id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS dist,
+              a.customer_id = b.customer_id AS self FROM pt a JOIN pt b USING (feature)),
+rr AS (SELECT feature, customer_id, greatest(1, list_sort(list(dist) FILTER (WHERE NOT self))[3]) AS r FROM pd GROUP BY 1, 2),
+cn AS (SELECT pd.feature, pd.customer_id, count(*) FILTER (WHERE dx < r) AS ax, count(*) FILTER (WHERE dy < r) AS ay
+       FROM pd JOIN rr ON rr.feature = pd.feature AND rr.customer_id = pd.customer_id GROUP BY 1, 2),
+mi AS (SELECT feature, greatest(0.0, {_PSI.format(m='count(*)')} + {_PSI.format(m='3')}
+              - avg({_PSI.format(m='ax')} + {_PSI.format(m='ay')})) AS mutual_information FROM cn GROUP BY 1)
+SELECT feature, round(mutual_information, 6) AS mutual_information,
+       row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) AS rank,
+       row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) <= 6 AS selected
+FROM mi
+"""
+
 # ---------------------------------------------------------------- cluster metrics (brute force in SQL)
 ORACLE["silhouette"] = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import position_within, top_k_per_group, weight_below
+from cohortlens.operators.ordering import attach, position_within, top_k_per_group, weight_below
 
 
 def _data(spark):
@@ -40,11 +40,23 @@ def test_weight_below_is_the_same_for_any_number_of_ranges(spark):
     rng = random.Random(3)
     values = sorted({rng.randint(0, 900) for _ in range(400)})
     df = spark.createDataFrame([(g, v, v % 5 + 1) for g in "xy" for v in values], "g string, v int, w int")
-    for rows_per_bucket in (10_000, 60):
-        got = {(r["g"], r["v"]): (r["_below"], r["_n"]) for r in weight_below(df, ["g"], "v", "w", rows_per_bucket).collect()}
-        total = sum(v % 5 + 1 for v in values)
+    total = sum(v % 5 + 1 for v in values)
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = {(r["g"], r["v"]): (r["_below"], r["_n"]) for r in weight_below(df, ["g"], "v", "w").collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
         assert got == {(g, v): (sum(u % 5 + 1 for u in values if u < v), total) for g in "xy" for v in values}
-    assert weight_below(df.where("g = 'x'"), [], "v", "w", 60).count() == len(values)
+    assert weight_below(df.where("g = 'x'"), [], "v", "w").count() == len(values)
+
+
+def test_attach_settles_hot_keys_without_a_shuffle_of_theirs(spark):
+    rows = spark.createDataFrame([(i, i if i % 3 else 0, "x") for i in range(300)] + [(900, None, "x")], "id int, k int, other string")
+    table = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("copies")).withColumn("v", F.col("k") * 2)
+    for small, hot in ((1_000, 10), (5, 10), (5, 1_000)):
+        got = {r["id"]: (r["k"], r["v"], r["other"]) for r in attach(rows, table, ["k"], "copies", small, hot).collect()}
+        assert got == {r["id"]: (r["k"], None if r["k"] is None else 2 * r["k"], "x") for r in rows.collect()}
 
 
 def test_chronological_split_of_keys_with_a_common_prefix(spark):
