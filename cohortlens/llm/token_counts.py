@@ -14,7 +14,7 @@ prefix: one more character may merge tokens, so the longest prefix within a limi
 position whose count is within it.
 
 Texts are cut into units, a run of white space with the characters behind it; the byte-level
-pre-tokeniser always starts a piece at a run of white space, so units are independent. A task
+pre-tokeniser always starts a piece at a run of white space, so units are independent. A Python worker
 remembers the units it has met (bounded by ``MEMO_UNITS``); a prefix that ends inside a unit
 is pre-tokenised as the library does it: a run of white space at the end is one piece, a
 contraction cut short is an apostrophe and a letter. Strings of special tokens inside a text
@@ -31,6 +31,7 @@ import json
 import os
 import re
 import string
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
@@ -38,15 +39,16 @@ from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, slices
 from .token_output import byte_characters
 
-MEMO_UNITS = 600_000  # distinct units, and distinct pieces, remembered per task
+MEMO_UNITS = 800_000  # distinct units, and distinct pieces, remembered per worker
 MEMO_CHARS = 64  # longer units are counted each time
-MEMO_PAIRS = 2_000_000  # token pairs, and steps of the token automaton, remembered per task
+MEMO_PAIRS = 2_000_000  # token pairs, and steps of the token automaton, remembered per worker
 
 # Unicode White_Space, as a character class.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -248,6 +250,17 @@ class PrefixCounter:
         return packed(np.diff(counts, prepend=total).tolist())
 
 
+def kept_counter(tokenizer_json: str) -> PrefixCounter:
+    """The counter that this Python worker keeps from task to task, so that what a task has
+    learnt serves the next one (a lost or new worker starts afresh)."""
+    kept = sys.__dict__.setdefault("_kept_prefix_counters", {})
+    name = xxhash.xxh3_128_hexdigest(tokenizer_json)
+    if name not in kept:
+        kept.clear()  # one tokenizer at a time
+        kept[name] = PrefixCounter(tokenizer_json)
+    return kept[name]
+
+
 def prefix_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_chars (code points), n_tokens and the steps (width, steps) per row."""
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -256,7 +269,7 @@ def prefix_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(shared.value)
+        counter = kept_counter(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = counter.steps_of(texts)
