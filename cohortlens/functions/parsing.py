@@ -16,24 +16,14 @@ NA_TOKENS = (
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Date layouts tried in this order, first match wins (day first before
-# month first). Each entry: (Spark pattern, uses a two-digit year).
-TIMESTAMP_FORMATS = (
-    ("d/M/yy H:m:s", True),
-    ("d/M/yyyy H:m:s", False),
-    ("M/d/yy H:m:s", True),
-    ("M/d/yyyy H:m:s", False),
-    ("yyyy-M-d H:m:s", False),
-    ("yyyy-M-d'T'H:m:s[XXX][XX]", False),
-    ("d/M/yy", True),
-    ("d/M/yyyy", False),
-    ("M/d/yy", True),
-    ("M/d/yyyy", False),
-    ("yyyy-M-d", False),
-)
+# Two-digit years 69..99 belong to the 1900s (POSIX pivot).
+TWO_DIGIT_PIVOT = 69
 
-# Two-digit years 69..99 belong to the 1900s (POSIX pivot); Spark's `yy` gives 20xx.
-TWO_DIGIT_PIVOT_YEAR = 2069
+# Shapes of date texts: digit runs are 9, letter runs are a. A date may be followed by a time.
+NUMBER_DATES = ("9/9/9", "9-9-9", "9.9.9")
+NAMED_DATES = ("9 a 9", "9 a, 9", "9-a-9", "9/a/9", "9. a 9", "a 9 9", "a 9, 9", "a-9-9", "a/9/9")
+TIMES = ("", " 9:9", " 9:9:9", " 9:9 a", " 9:9:9 a")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def name_key(name: object) -> str:
@@ -94,23 +84,55 @@ def time_of_day_text(c: Column) -> Column:
     return F.concat(F.substring(padded, 1, 2), F.lit(":"), F.substring(padded, 3, 2), F.lit(":"), F.substring(padded, 5, 2))
 
 
-def _one_format(text: Column, pattern: str, two_digit_year: bool) -> Column:
-    parsed = F.try_to_timestamp(text, F.lit(pattern))
-    if two_digit_year:
-        parsed = F.when(
-            F.year(parsed) >= TWO_DIGIT_PIVOT_YEAR, parsed - F.expr("INTERVAL 100 YEARS")
-        ).otherwise(parsed)
-    return parsed
-
-
 def parse_timestamp(c: Column) -> Column:
-    """Multi-format timestamp parse (UTC): the first layout that fits wins, then ISO cast."""
-    text = F.trim(c.cast("string"))
-    attempts = [_one_format(text, p, yy) for p, yy in TIMESTAMP_FORMATS]
-    attempts.append(text.try_cast("timestamp"))
-    return F.coalesce(*attempts)
+    """Timestamp of a date text in any of the usual layouts (session time zone; bad text → NULL).
 
-
-def to_timestamp_utc(c: Column) -> Column:
-    """Coerce a column of any type to ``timestamp`` (bad values → NULL)."""
-    return parse_timestamp(c)
+    The text's shape (digit and letter runs, separators) says which layouts can fit, so each row is
+    taken apart once: numbers by ``/``, ``-`` or ``.`` (a first number of four digits is the year;
+    else day, month, year, or month first where day first is no date), English month names before
+    or behind the day, ``yyyyMMdd``; a time with or without seconds or AM/PM. Years of two digits are
+    1969 to 2068. All other shapes (ISO with T, fractions, offsets) are left to Spark's cast."""
+    text = F.trim(c.cast("string"))
+    shape = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    numbers, words = F.regexp_extract_all(text, F.lit("([0-9]+)"), 1), F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+
+    def number(at: int, digits: int = 2) -> Column:
+        part = F.get(numbers, F.lit(at))
+        return F.when(F.length(part) <= digits, part.try_cast("int"))
+
+    def year(at: int) -> Column:
+        part = F.get(numbers, F.lit(at))
+        two = part.try_cast("int")
+        return F.when(F.length(part) == 4, two).when(F.length(part) == 2, two + F.when(two >= TWO_DIGIT_PIVOT, 1900).otherwise(2000))
+
+    def moment(y: Column, m: Column, d: Column, first: int, half: Column) -> Column:
+        """The date with the time whose numbers begin at ``first``; ``half`` is AM, PM or NULL."""
+        hour = F.coalesce(number(first), F.lit(0))
+        hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        minute, second = F.coalesce(number(first + 1), F.lit(0)), F.coalesce(number(first + 2), F.lit(0))
+        timed = F.size(numbers) > first  # a time that does not fit must not fall back to midnight
+        fits = ~timed | (number(first).isNotNull() & number(first + 1).isNotNull() & ((F.size(numbers) <= first + 2) | number(first + 2).isNotNull()))
+        return F.when(fits, F.try_make_timestamp(y, m, d, hour, minute, second))
+
+    def half_of(word: int) -> Column:
+        found = F.get(words, F.lit(word))
+        return F.when(found.isNull() | found.isin("am", "pm"), found)
+
+    def known_half(word: int) -> Column:
+        found = F.get(words, F.lit(word))
+        return found.isNull() | found.isin("am", "pm")
+
+    names = F.create_map(*[F.lit(v) for i, name in enumerate(MONTHS, 1) for key in {name, name[:3]} | ({"sept"} if i == 9 else set()) for v in (key, i)])
+    month = F.try_element_at(names, F.get(words, F.lit(0)))
+    year_first = F.length(F.get(numbers, F.lit(0))) == 4
+    by_numbers = F.when(known_half(0), F.when(year_first, moment(year(0), number(1), number(2), 3, half_of(0))).otherwise(F.coalesce(
+        moment(year(2), number(1), number(0), 3, half_of(0)), moment(year(2), number(0), number(1), 3, half_of(0)))))
+    by_name = F.when(known_half(1), moment(year(1), month, number(0), 2, half_of(1)))
+    compact = F.when(F.length(text) == 8, F.try_make_timestamp(
+        *[F.substring(text, a, n).try_cast("int") for a, n in ((1, 4), (5, 2), (7, 2))], F.lit(0), F.lit(0), F.lit(0)))
+    return (
+        F.when(shape.isin(*[d + t for d in NUMBER_DATES for t in TIMES]), by_numbers)
+        .when(shape.isin(*[d + t for d in NAMED_DATES for t in TIMES]), by_name)
+        .when(shape == "9", compact)
+        .otherwise(text.try_cast("timestamp"))
+    )
