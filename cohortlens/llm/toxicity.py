@@ -12,7 +12,7 @@ The model is fitted on a bounded sample: about ``FIT_ROWS`` labelled training do
 drawn by a hash of doc_id (all of them while there are fewer). Every hashed term seen in at
 least ``MIN_DOCS`` documents of that sample enters the machine: a term may matter in pairs
 only, so none is judged by its own association with the labels. The parameters (terms of the
-sample * (FACTORS + 1) numbers) are broadcast and all documents are scored in one map-only
+sample * (FACTORS + 1) numbers) come back from the one task that fits them and are broadcast and all documents are scored in one map-only
 pass. Labels, language, source and doc_id are no inputs of a score.
 
 Defined cases: a null, empty or unknown-word text gets the score of the bias alone; rows
@@ -204,7 +204,8 @@ def choose_terms(sample: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> FactorisationMachine:
-    """Fit on the bounded sample; only label and chosen-term indices of its rows reach the driver."""
+    """Fit on the bounded sample, in a task of its own (``fit_rows`` bounds what it holds); only the
+    parameters reach the driver."""
     sample = cut_lineage(training_sample(docs, labels, key, text, fit_rows))
     places = choose_terms(sample)
     shared = docs.sparkSession.sparkContext.broadcast(places)
@@ -220,11 +221,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 picked.append(at.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.binary())], names=["label", "picked"])
 
-    got = sorted((r["label"], bytes(r["picked"])) for r in sample.mapInArrow(design, "label int, picked binary").collect())
-    picked = [np.frombuffer(b, "<i4") for _, b in got]
-    rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in picked])
-    indices = np.concatenate(picked) if picked else np.empty(0, np.int32)
-    return fit_machine(places, indices, rows, np.array([float(y > 0) for y, _ in got]))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        lengths = [len(b) // 4 for _, b in got]
+        rows = np.repeat(np.arange(len(got), dtype=np.int32), lengths)
+        indices = np.frombuffer(b"".join(b for _, b in got), "<i4")
+        truth = np.array([float(y > 0) for y, _ in got])
+        got.clear()
+        machine = fit_machine(shared.value, indices, rows, truth)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([machine.bias]), pa.array([machine.weights.astype("<f8").tobytes()], pa.binary()), pa.array([machine.factors.astype("<f8").tobytes()], pa.binary()),
+        ], names=["bias", "weights", "factors"])
+
+    designed = sample.mapInArrow(design, "label int, picked binary")
+    row = designed.repartition(1).mapInArrow(learn, "bias double, weights binary, factors binary").first()
+    factors = np.frombuffer(row["factors"], "<f8").reshape(FACTORS, len(places))
+    return FactorisationMachine(places, row["bias"], np.frombuffer(row["weights"], "<f8"), factors)
 
 
 def _scorer(machine: FactorisationMachine):
