@@ -16,13 +16,14 @@ earlier start); windows are judged on the input.
    appended to the automaton (whose suffix links also reveal repeats inside a run), so the
    automaton holds each distinct window once, as its first occurrence.
 4. Anchors in more than ``HOT`` places (a line found everywhere) would make one shard hot.
-   Their windows go another exact way: first occurrence per 128-bit window hash by a
-   map-side combined aggregate, joined back with skew splitting.
+   Their windows go another exact way: a map-side combined aggregate finds the first place of
+   each 128-bit window hash. All other occurrences are covered, so only these *exceptions* (one
+   per distinct window) travel back, to the documents that hold them; occurrences never do.
 5. The spans of each document are merged and removed in one pass over the texts.
 
 Automata are not broadcast whole: the reference grows with the corpus, so each shard's
 automaton is built and used in the task that its passages are shuffled to. A shard holds
-at most HOT occurrences of each anchor of its home document.
+at most HOT occurrences of each anchor of its home document; documents without a doc_id have homes by their text.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; a null
 doc_id sorts before all others; rows repeating a doc_id and text are one document and get
@@ -44,6 +45,7 @@ from .common import cut_lineage, ngram_hashes, slices, word_hashes
 WINDOW = 20
 GRAM = 6
 HOT = 512
+FIRST_HELD = 200_000  # hot windows that a task gathers before it hands them on
 FIRST_ID = -(1 << 63)
 
 
@@ -171,23 +173,36 @@ def packed_texts(keyed: DataFrame) -> DataFrame:
 
 
 def passages(keyed: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """Candidate windows of all documents: passages (``words`` set, with their home) and
-    windows of hot anchors (``words`` null): one row per document and window hash (w1, w2) with
-    all ``starts``, so a line repeated inside a document is gathered before any shuffle."""
+    """Candidate windows of all documents: passages (``words`` set, with their home); per document
+    the ``starts`` of all its windows of hot anchors; and the first occurrence (doc, th, start) of
+    each such window's hash (w1, w2) in a task, gathered there in a bounded table."""
     anchors = anchor_rows(keyed, window, gram)
-    known = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("home")).where("n > 1")
+    place = F.struct("doc", F.when(F.col("doc") == FIRST_ID, F.col("th")).alias("th"))  # null ids: a home per text
+    known = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_home")).where("n > 1").select(
+        "anchor", "n", F.when(F.col("_home.th").isNull(), F.col("_home.doc")).otherwise(F.xxhash64("_home.th")).alias("home"))
+    # a set: rows that repeat a document and its text give each anchor once
     met = anchors.join(known, "anchor").groupBy("doc", "th").agg(
-        F.collect_list(F.struct("pos", "home", (F.col("n") > hot).alias("hot"))).alias("met"))
+        F.collect_set(F.struct("pos", "home", (F.col("n") > hot).alias("hot"))).alias("met"))
     joined = packed_texts(keyed).join(met, ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack, first = zstandard.ZstdDecompressor(), {}
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, _CUT_TYPES)], names=_CUT_NAMES)
+
         for batch in slices(batches, 64):
             out = []
             for doc, th, packed, met_ in zip(*(c.to_pylist() for c in batch.columns)):
                 words = unpack.decompress(packed).split()
-                out.extend(_cut(doc, th, words, met_, window, gram))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, _CUT_TYPES)], names=_CUT_NAMES)
+                out.extend(_cut(doc, th, words, met_, window, gram, first))
+            if len(first) > FIRST_HELD:
+                out.extend((None, *place, None, *pair, None) for pair, place in first.items())
+                first.clear()
+            yield rows(out)
+        pairs = list(first.items())
+        for at in range(0, len(pairs), 50_000):
+            yield rows([(None, *place, None, *pair, None) for pair, place in pairs[at:at + 50_000]])
 
     return joined.select("doc", "th", "packed", "met").mapInArrow(
         run, "home bigint, doc bigint, th bigint, start int, words binary, w1 bigint, w2 bigint, starts array<int>")
@@ -197,7 +212,8 @@ _CUT_NAMES = ["home", "doc", "th", "start", "words", "w1", "w2", "starts"]
 _CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
 
-def _cut(doc: int, th: int, words: list[bytes], met: list[dict], window: int, gram: int) -> list[tuple]:
+def _cut(doc: int, th: int, words: list[bytes], met: list[dict], window: int, gram: int, first: dict) -> list[tuple]:
+    """A document's passages and its hot starts; ``first`` keeps the least place of each hot window."""
     hashes = word_hashes(words)
     _, least = window_anchors(hashes, window, gram)
     kind = np.zeros(len(words), np.int8)  # of an anchor position: 1 met again, 2 hot
@@ -209,7 +225,7 @@ def _cut(doc: int, th: int, words: list[bytes], met: list[dict], window: int, gr
     change = np.flatnonzero((window_kind[1:] != window_kind[:-1]) | (window_home[1:] != window_home[:-1])) + 1
     bounds = [0, *change.tolist(), len(least)]
     out = []
-    both, hot = None, {}
+    both, starts = None, []
     for a, b in zip(bounds, bounds[1:]):
         if window_kind[a] == 1:
             out.append((int(window_home[a]), doc, th, a, b" ".join(words[a:b + window - 1]), None, None, None))
@@ -217,8 +233,12 @@ def _cut(doc: int, th: int, words: list[bytes], met: list[dict], window: int, gr
             if both is None:
                 both = [ngram_hashes(h, window).view(np.int64) for h in (hashes, hashes * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x5851F42D4C957F2D))]
             for s, pair in enumerate(zip(both[0][a:b].tolist(), both[1][a:b].tolist()), a):
-                hot.setdefault(pair, []).append(s)
-    out.extend((None, doc, th, starts[0], None, *pair, starts) for pair, starts in hot.items())
+                place = (doc, th, s)
+                if first.setdefault(pair, place) > place:
+                    first[pair] = place
+            starts.extend(range(a, b))
+    if starts:
+        out.append((None, doc, th, None, None, None, None, starts))
     return out
 
 
@@ -246,15 +266,14 @@ _SPAN_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def hot_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(doc, th, spans) of covered windows of hot anchors: all but the first occurrence of each
-    window hash."""
-    windows = rows.where("words is null").select("w1", "w2", "doc", "th", "start", "starts")
-    first = windows.groupBy("w1", "w2").agg(
-        F.min(F.struct("doc", "th", "start")).alias("first"), F.sum(F.size("starts")).alias("n")).where("n > 1")
-    at_home = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th"))
-    later = F.when(at_home, F.slice("starts", 2, F.size("starts"))).otherwise(F.col("starts"))
-    spans = F.transform(later, lambda s: F.struct(s.alias("start"), (s + window).alias("end")))
-    return windows.join(first, ["w1", "w2"]).select("doc", "th", spans.alias("spans")).where(F.size("spans") > 0)
+    """(doc, th, spans) of covered windows of hot anchors: all of a document's but those that are
+    the first occurrence of their hash."""
+    place = F.struct("doc", "th", "start")
+    first = rows.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.min(place).alias("_first")).select("_first.*")
+    exceptions = first.groupBy("doc", "th").agg(F.collect_list("start").alias("_new"))  # starts of one document
+    whole = rows.where("starts IS NOT NULL").select("doc", "th", "starts").join(exceptions, ["doc", "th"], "left")
+    later = F.when(F.col("_new").isNull(), F.col("starts")).otherwise(F.array_except("starts", "_new"))
+    return whole.select("doc", "th", F.transform(later, lambda s: F.struct(s.alias("start"), (s + window).alias("end"))).alias("spans")).where(F.size("spans") > 0)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
