@@ -127,22 +127,23 @@ def exact_quantiles(
     return result
 
 
-def average_tie_percent_ranks(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+def average_tie_percent_ranks(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Add the pandas ``rank(pct=True)`` of each of ``columns`` (value column -> new column):
     (values below + (ties + 1) / 2) / non-null count.
 
     All columns are ranked in one pass over their *distinct* values with their counts
     (:func:`ordering.weight_below`) and looked up (:func:`ordering.attach`, so a value that most
     rows share is never one shuffle key); NULL values get a NULL rank. The value columns must
-    be of one type."""
+    be of one type; ranks are within each group ``by`` (never NULL)."""
+    g = [*by, "_column"]
     pairs = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns])
-    counts = df.select(F.explode(pairs).alias("_p")).select("_p.*").where(F.col("_value").isNotNull()).groupBy("_column", "_value").agg(
+    counts = df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*").where(F.col("_value").isNotNull()).groupBy(*g, "_value").agg(
         F.count(F.lit(1)).alias("_eq"))
-    ranks = cut_lineage(weight_below(counts, ["_column"], "_value", "_eq").select(
-        "_column", "_value", "_eq", ((F.col("_below") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias("_rank")))
+    ranks = cut_lineage(weight_below(counts, g, "_value", "_eq").select(
+        *g, "_value", "_eq", ((F.col("_below") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias("_rank")))
     for value_col, out_col in columns.items():
-        found = ranks.where(F.col("_column") == value_col).select(F.col("_value").alias(value_col), F.col("_eq").alias("_copies"), F.col("_rank").alias(out_col))
-        df = attach(df, found, [value_col], "_copies").drop("_copies")
+        found = ranks.where(F.col("_column") == value_col).select(*by, F.col("_value").alias(value_col), F.col("_eq").alias("_copies"), F.col("_rank").alias(out_col))
+        df = attach(df, found, [*by, value_col], "_copies").drop("_copies")
     return df
 
 

@@ -375,6 +375,11 @@ def q_silhouette(spark, sf_dir):
     return comparable(clustering.silhouette(_embeddings(spark, sf_dir), "embedding", "label"))
 
 
+@register("silhouette_euclidean")
+def q_silhouette_euclidean(spark, sf_dir):
+    return comparable(clustering.euclidean_silhouette(_embeddings(spark, sf_dir), "embedding", "label").drop("error_bound"))
+
+
 @register("davies_bouldin")
 def q_davies_bouldin(spark, sf_dir):
     return comparable(clustering.davies_bouldin(_embeddings(spark, sf_dir), "embedding", "label"))
@@ -401,12 +406,16 @@ def _design(spark, sf_dir, config=MODEL_CONFIG):
 
 
 def _scores(spark, sf_dir, family: str, config=MODEL_CONFIG) -> DataFrame:
-    """Tuning score table of one model family, computed once per dataset and session."""
+    """Tuning score table of one model family, computed once per dataset and session; both families
+    share the fitted K-Means grid."""
     key = (spark.sparkContext.applicationId, sf_dir, config, family)
     if key not in _MODELS:
         _, d = _design(spark, sf_dir, config)
-        table = models.tune_kmeans(d, config) if family == "kmeans" else models.tune_gmm(d, config)
-        _MODELS[key] = cut_lineage(table)
+        grid = (*key[:3], "grid")
+        if grid not in _MODELS:
+            _MODELS[grid] = models.fit_kmeans_grid(d, config)
+        tune = models.tune_kmeans if family == "kmeans" else models.tune_gmm
+        _MODELS[key] = cut_lineage(tune(d, config, fitted=_MODELS[grid]))
     return _MODELS[key]
 
 
@@ -426,27 +435,86 @@ def q_fit_diagnostics(spark, sf_dir):
     return comparable(models.fit_diagnostics(scores))
 
 
+@register("tuning_invariants")
+def q_tuning_invariants(spark, sf_dir):
+    """What must hold of every tuned candidate, whatever the seeds found."""
+    t, v, gap = F.col("train_silhouette"), F.col("validation_silhouette"), F.col("silhouette_gap")
+    low = (t < MODEL_CONFIG.low_silhouette_threshold) & (v < MODEL_CONFIG.low_silhouette_threshold)
+    over = ~low & (gap > MODEL_CONFIG.overfit_gap_threshold)
+    scores = _scores(spark, sf_dir, "kmeans").unionByName(_scores(spark, sf_dir, "gmm"))
+    return scores.select(
+        "family", "params", (t.between(-1, 1) & v.between(-1, 1)).alias("silhouettes_in_range"),
+        (F.abs(gap - (t - v)) < 1e-12).alias("gap_is_difference"),
+        (F.abs(F.col("selection_score") - (v - 0.25 * F.greatest(t - v, F.lit(0.0)))) < 1e-12).alias("score_follows_rule"),
+        ((F.col("fit_status") == "underfitting_risk") == low).alias("underfit_follows_rule"),
+        ((F.col("fit_status") == "overfitting_risk") == over).alias("overfit_follows_rule"),
+        (F.col("train_davies_bouldin") >= 0).alias("davies_bouldin_not_negative"))
+
+
+def literal_scores(spark, sf_dir) -> DataFrame:
+    """Line items as score rows: discount and tax in place of the silhouettes."""
+    rows = bindings.table(spark, sf_dir, "lineitem")
+    return rows.select(
+        F.col("l_returnflag").alias("family"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("params"),
+        (F.col("l_discount").cast("double") * 3).alias("train_silhouette"), (F.col("l_tax").cast("double") * 3).alias("validation_silhouette"),
+        F.col("l_quantity").cast("double").alias("train_davies_bouldin"))
+
+
+@register("fit_checks")
+def q_fit_checks(spark, sf_dir):
+    scores = models.score_table(literal_scores(spark, sf_dir))
+    return comparable(scores.groupBy("family", "fit_status").agg(
+        F.count(F.lit(1)).alias("candidates"), F.max("selection_score").alias("best_score"), F.min("silhouette_gap").alias("least_gap")))
+
+
+@register("best_candidates")
+def q_best_candidates(spark, sf_dir):
+    scores = models.score_table(literal_scores(spark, sf_dir))
+    families = ("A", "N", "R", "no such family")
+    return comparable(models.fit_diagnostics(scores, families).drop("train_davies_bouldin"))
+
+
 def _pca(spark, sf_dir, config=MODEL_CONFIG):
     run = run_a(spark, sf_dir, config)
     tr = splits.evaluation_sample(run.part("train"), config)
-    stats = models.transform.fit_impute_scale(tr)
+    stats = cut_lineage(models.transform.fit_impute_scale(tr))
     long = models.transform.apply_impute_scale(tr, stats)
     mi = models.transform.mutual_information(long, models.transform.behavior_proxy(tr))
     selected = [r["feature"] for r in mi.where("selected").orderBy("rank").collect()]
     projected = splits.evaluation_sample(run.features, config)
-    coords, ev = models.pca_projection(tr, projected, stats, selected)
-    return run, coords, ev
+    coords, ev, fit_split = models.pca_projection(tr, projected, stats, selected)
+    return run, coords, ev, {"fit": tr, "projected": projected, "selected": selected, "stats": stats, "fit_split": fit_split}
 
 
 @register("pca_projection")
 def q_pca_projection(spark, sf_dir):
-    _, coords, ev = _pca(spark, sf_dir)
+    _, coords, ev, _ = _pca(spark, sf_dir)
     return comparable(coords.withColumn("explained_variance_ratio_1", F.lit(ev[0])).withColumn("explained_variance_ratio_2", F.lit(ev[1])))
 
 
+@register("pca_facts")
+def q_pca_facts(spark, sf_dir):
+    """Method, size and column choice of the snapshot, and whether the projected fit rows are what a
+    principal component analysis gives (by their own moments)."""
+    _, coords, ev, facts = _pca(spark, sf_dir)
+    fitted = facts["fit"].select("customer_id").join(coords, "customer_id")
+    x = models.transform.apply_impute_scale(facts["fit"], facts["stats"]).where(F.col("feature").isin(facts["selected"]))
+    total = x.groupBy("feature").agg(F.var_samp("value").alias("v")).agg(F.sum("v").alias("total"))
+    moments = fitted.agg(
+        F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"), F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"),
+        F.covar_samp("pc1", "pc2").alias("c"), F.count(F.lit(1)).alias("fit_rows")).crossJoin(F.broadcast(total))
+    scale = F.col("total")
+    return moments.crossJoin(facts["projected"].agg(F.count(F.lit(1)).alias("projected_rows"))).select(
+        F.lit("PCA").alias("method"), F.lit(2).alias("n_components"), F.lit(",".join(sorted(facts["selected"]))).alias("selected_features"),
+        "fit_rows", "projected_rows", F.lit(facts["fit_split"]).alias("fit_split"),
+        ((F.abs("m1") + F.abs("m2")) < 1e-6 * F.sqrt(scale)).alias("centred"), (F.abs("c") < 1e-6 * scale).alias("uncorrelated"),
+        ((F.abs(F.col("v1") / scale - ev[0]) < 1e-6) & (F.abs(F.col("v2") / scale - ev[1]) < 1e-6)).alias("ratios_are_variances"),
+        (F.col("v1") >= F.col("v2")).alias("ordered"))
+
+
 @register("pca_points_by_segment")
 def q_pca_points_by_segment(spark, sf_dir):
-    run, coords, _ = _pca(spark, sf_dir)
+    run, coords, _, _ = _pca(spark, sf_dir)
     return comparable(charts.pca_points_by_segment(coords, run.segmented))
 
 
@@ -465,12 +533,9 @@ def q_boxplot_stats(spark, sf_dir):
 @register("leakage_audit")
 def q_leakage_audit(spark, sf_dir):
     run = run_a(spark, sf_dir)
-    tr = splits.evaluation_sample(run.part("train"), run.config)
-    stats = models.transform.fit_impute_scale(tr)
-    lineage = (
-        run.thresholds.select(F.col("fit_split").alias("thresholds_fit_split"))
-        .crossJoin(stats.agg(F.max("fit_split").alias("selection_fit_split")))
-        .crossJoin(splits.fitted_splits(tr).withColumnRenamed("fit_split", "pca_fit_split"))
-        .crossJoin(splits.fitted_splits(tr.unionByName(run.part("validation"))).withColumnRenamed("fit_split", "tuning_splits"))
-    )
+    _, design = _design(spark, sf_dir)
+    *_, facts = _pca(spark, sf_dir)
+    lineage = run.thresholds.select(
+        F.col("fit_split").alias("thresholds_fit_split"), F.lit(design.fit_split).alias("selection_fit_split"),
+        F.lit(facts["fit_split"]).alias("pca_fit_split"), F.lit(design.tuning_splits).alias("tuning_splits"))
     return splits.leakage_audit(run.labelled, lineage)

@@ -619,15 +619,18 @@ ORACLE["mutual_information"] = with_a("seg") + TRAIN_SAMPLE + f""",
 sx AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS d FROM tl WHERE value IS NOT NULL GROUP BY 1),
 sy AS (SELECT avg(proxy) AS m, stddev_pop(proxy) AS d FROM proxy),
 yp AS (SELECT customer_id, {_coordinate('proxy', 'm', 'd', "'proxy'")} AS y FROM proxy, sy WHERE proxy IS NOT NULL),
-pt AS (SELECT customer_id, feature, {_coordinate('value', 'm', 'd', 'feature')} AS x, y FROM tl JOIN sx USING (feature) JOIN yp USING (customer_id)
-       WHERE value IS NOT NULL),
-pd AS (SELECT a.feature, a.customer_id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS dist,
-              a.customer_id = b.customer_id AS self FROM pt a JOIN pt b USING (feature)),
-rr AS (SELECT feature, customer_id, greatest(1, list_sort(list(dist) FILTER (WHERE NOT self))[3]) AS r FROM pd GROUP BY 1, 2),
-cn AS (SELECT pd.feature, pd.customer_id, count(*) FILTER (WHERE dx < r) AS ax, count(*) FILTER (WHERE dy < r) AS ay
-       FROM pd JOIN rr ON rr.feature = pd.feature AND rr.customer_id = pd.customer_id GROUP BY 1, 2),
+pt AS MATERIALIZED (
+  SELECT feature, dense_rank() OVER (ORDER BY feature) AS f, row_number() OVER (ORDER BY feature, customer_id) AS i,
+         {_coordinate('value', 'm', 'd', 'feature')} AS x, y FROM tl JOIN sx USING (feature) JOIN yp USING (customer_id) WHERE value IS NOT NULL),
+rr AS MATERIALIZED (
+  SELECT a.f, a.i, any_value(a.x) AS x, any_value(a.y) AS y, greatest(1, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3]) AS r
+  FROM pt a JOIN pt b ON a.f = b.f AND a.i <> b.i GROUP BY a.f, a.i),
+cn AS MATERIALIZED (
+  SELECT rr.f, rr.i, count(*) FILTER (WHERE abs(rr.x - b.x) < r) AS ax, count(*) FILTER (WHERE abs(rr.y - b.y) < r) AS ay
+  FROM rr JOIN pt b ON rr.f = b.f GROUP BY rr.f, rr.i),
 mi AS (SELECT feature, greatest(0.0, {_PSI.format(m='count(*)')} + {_PSI.format(m='3')}
-              - avg({_PSI.format(m='ax')} + {_PSI.format(m='ay')})) AS mutual_information FROM cn GROUP BY 1)
+              - avg({_PSI.format(m='ax')} + {_PSI.format(m='ay')})) AS mutual_information
+       FROM cn JOIN (SELECT DISTINCT f, feature FROM pt) USING (f) GROUP BY 1)
 SELECT feature, round(mutual_information, 6) AS mutual_information,
        row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) AS rank,
        row_number() OVER (ORDER BY round(mutual_information, 9) DESC, feature) <= 6 AS selected
@@ -648,6 +651,38 @@ s AS (SELECT CASE WHEN own_n <= 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0 ELSE
 SELECT round(avg(s), 6) AS silhouette, count(*) AS points, (SELECT count(*) FROM sizes) AS clusters FROM s
 """
 
+ORACLE["silhouette_euclidean"] = ORACLE["silhouette"].replace("pow(list_distance(a.v, b.v), 2)", "list_distance(a.v, b.v)")
+
+ORACLE["tuning_invariants"] = """
+SELECT 'kmeans' AS family, '{"n_clusters": ' || k || ', "n_init": ' || n || '}' AS params, true AS silhouettes_in_range, true AS gap_is_difference,
+       true AS score_follows_rule, true AS underfit_follows_rule, true AS overfit_follows_rule, true AS davies_bouldin_not_negative
+FROM range(2, 6) a(k), (VALUES (10), (20)) b(n)
+UNION ALL
+SELECT 'gmm', '{"covariance_type": "' || c || '", "n_components": ' || k || ', "n_init": 10}', true, true, true, true, true, true
+FROM range(2, 6) a(k), (VALUES ('full'), ('diag')) b(c)
+"""
+
+SCORES = """
+raw AS (SELECT l_returnflag AS family, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS params,
+               CAST(l_discount AS DOUBLE) * 3 AS t, CAST(l_tax AS DOUBLE) * 3 AS v, CAST(l_quantity AS DOUBLE) AS db FROM lineitem),
+sc AS (SELECT *, v - 0.25::DOUBLE * greatest(t - v, 0.0::DOUBLE) AS score, t - v AS gap,
+              CASE WHEN t < 0.1::DOUBLE AND v < 0.1::DOUBLE THEN 'underfitting_risk' WHEN t - v > 0.15::DOUBLE THEN 'overfitting_risk'
+                   ELSE 'acceptable_generalization' END AS fit_status FROM raw)
+"""
+
+ORACLE["fit_checks"] = "WITH " + SCORES + """
+SELECT family, fit_status, count(*) AS candidates, round(max(score), 6) AS best_score, round(min(gap), 6) AS least_gap FROM sc GROUP BY 1, 2
+"""
+
+ORACLE["best_candidates"] = "WITH " + SCORES + """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, v DESC, length(params), params) AS r,
+                               count(*) OVER (PARTITION BY family) AS n FROM sc) WHERE r = 1)
+SELECT f.family, CASE WHEN best.family IS NULL THEN 'fallback_to_rules' ELSE 'tuned' END AS status,
+       CASE WHEN best.family IS NULL THEN 'no_valid_hyperparameter_candidate' END AS reason, params AS best_params, round(t, 6) AS train_silhouette,
+       round(v, 6) AS validation_silhouette, round(score, 6) AS selection_score, round(gap, 6) AS silhouette_gap, fit_status, coalesce(n, 0) AS candidates_tested
+FROM (VALUES ('A'), ('N'), ('R'), ('no such family')) f(family) LEFT JOIN best USING (family)
+"""
+
 ORACLE["davies_bouldin"] = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ex AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
@@ -695,3 +730,10 @@ SELECT customer_id, CASE WHEN pos < nt THEN 'test' WHEN pos < nt + nv THEN 'vali
            CAST(ceil(n * 0.2) AS BIGINT) AS nt
     FROM (SELECT customer_id, count(*) OVER () AS n FROM a_features)))
 """
+
+ORACLE["pca_facts"] = ORACLE["mutual_information"].rsplit("SELECT feature, round(mutual_information", 1)[0] + """,
+pick AS (SELECT feature FROM mi ORDER BY round(mutual_information, 9) DESC, feature LIMIT 6)
+SELECT 'PCA' AS method, 2 AS n_components, (SELECT string_agg(feature, ',' ORDER BY feature) FROM pick) AS selected_features,
+       (SELECT count(*) FROM ts) AS fit_rows, (SELECT count(*) FROM a_features) AS projected_rows, 'train' AS fit_split,
+       true AS centred, true AS uncorrelated, true AS ratios_are_variances, true AS ordered
+"""

@@ -36,7 +36,7 @@ def test_too_small_validation_gives_not_evaluated_rows(spark):
     feats = spark.createDataFrame([("a", 1.0, 1, 1.0, 1, False, "d")], FEAT)
     out = {r["family"]: r for r in models.evaluate_unsupervised_models(feats, feats.limit(1)).collect()}
     assert set(out) == {"kmeans", "gmm"}
-    assert all(r["status"] == "validation_set_too_small" and r["candidates_tested"] == 0 for r in out.values())
+    assert all(r["status"] == "not_evaluated" and r["reason"] == "validation_set_too_small" and r["candidates_tested"] == 0 for r in out.values())
 
 
 def test_split_choice_follows_cohort_count(spark):
