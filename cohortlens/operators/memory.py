@@ -10,18 +10,22 @@ Tables (Parquet, append-only except a forget rewrite):
 
 Search scores a memory as ``10 · |query tokens ∩ memory tokens| + 1 / (1 + age_days)``
 and keeps the best ``limit`` per query (ties by memory_id). Tokens are the distinct
-``[a-z0-9_]+`` runs longer than 2 characters of the lower-cased text. Frequent tokens
-are bit masks, rare ones an inverted-index join (see :func:`search`).
+``[a-z0-9_]+`` runs longer than 2 characters of the lower-cased text. Inverted lists over
+blocks of memories bound what a block can score (see :func:`search`).
 """
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .ordering import top_k_per_group
+from ..session import cut_lineage
+from .ordering import attach, position_within, top_k_per_group
 
 PLAINTEXT_KEY_ID = "development-plaintext"
 CONSENT_REFUSAL = "Episodic memory requires explicit consent."
@@ -148,70 +152,110 @@ def _candidates(decoded: DataFrame, as_of) -> DataFrame:
     )
 
 
-FREQUENT_MIN_MEMORIES = 32
-FREQUENT_MAX_TOKENS = 62
-
-
-def search(
-    decoded: DataFrame,
-    queries: DataFrame,
-    limit: int = 10,
-    as_of=None,
-    frequent_min: int = FREQUENT_MIN_MEMORIES,
-    frequent_max: int = FREQUENT_MAX_TOKENS,
-) -> dict[str, DataFrame]:
+BLOCK_MEMORIES = 4096
+OPENED_FIRST = 2
+
+
+def _memory_blocks(cand: DataFrame, block_rows: int) -> DataFrame:
+    """``cand`` with ``block``: a user's memories in blocks of about ``block_rows``, by age. Only counts
+    per (user, hour) are ordered; an hour of more rows than a block is cut by a hash."""
+    hourly = cand.withColumn("_hour", F.floor(F.unix_micros("ts") / F.lit(3_600_000_000)))
+    before = Window.partitionBy("user_id").orderBy(F.col("_hour").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut_lineage(hourly.groupBy("user_id", "_hour").agg(F.count(F.lit(1)).alias("_n")))
+    places = cut_lineage(counts.withColumn("_at", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block_rows)).where(F.col("_hour").isNotNull()))
+    cut = F.pmod(F.xxhash64("memory_id"), F.ceil(F.col("_n") / F.lit(block_rows)))
+    named = F.concat_ws(":", F.col("user_id"), F.coalesce(F.col("_at"), F.lit(-1)).cast("string"), F.coalesce(cut, F.lit(0)).cast("string"))
+    return attach(hourly, places, ["user_id", "_hour"], "_n").withColumn("block", named).drop("_hour", "_n", "_at")
+
+
+def _open_blocks(pairs: DataFrame, memories: DataFrame, limit: int) -> DataFrame:
+    """query_id, memory_id, recency, overlap: the best ``limit`` memories with a shared token of each
+    pair (query_id, qt, block), from the block's inverted lists."""
+    empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    wanted = pairs.select("block").distinct()
+    held = memories.join(wanted, "block", "left_semi").select(
+        "block", F.lit(0).alias("kind"), empty(pairs.schema["query_id"].dataType, "query_id"), "memory_id", "recency", "mt")
+    asked = pairs.select("block", F.lit(1).alias("kind"), "query_id", empty("string", "memory_id"), empty("double", "recency"), F.col("qt").alias("mt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, lists, ids, ages = None, [], None, None, None
+        for batch in batches:
+            out = []
+            for name, kind, query, memory, recency_, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != block:
+                    block, rows, lists = name, [], None
+                if kind == 0:
+                    rows.append((-recency_, memory, words))
+                    continue
+                if lists is None:
+                    rows.sort(key=lambda r: r[:2])
+                    lists, ids, ages = {}, [r[1] for r in rows], [-r[0] for r in rows]
+                    for at, (_, _, own) in enumerate(rows):
+                        for word in own:
+                            lists.setdefault(word, []).append(at)
+                    lists = {word: np.array(own) for word, own in lists.items()}
+                met = [lists[w] for w in words if w in lists]
+                if met:
+                    shared = np.bincount(np.concatenate(met), minlength=len(ids))
+                    best = np.argsort(-shared, kind="stable")[:limit]  # equal ones by age, then id
+                    out += [(query, ids[i], ages[i], int(shared[i])) for i in best.tolist() if shared[i]]
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (batch.column(2).type, pa.string(), pa.float64(), pa.int64()))], names=["query_id", "memory_id", "recency", "overlap"])
+
+    kind = pairs.schema["query_id"].dataType.simpleString()
+    ordered = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
+    return ordered.mapInArrow(run, f"query_id {kind}, memory_id string, recency double, overlap bigint")
+
+
+def search(decoded: DataFrame, queries: DataFrame, limit: int = 10, as_of=None, block_rows: int = BLOCK_MEMORIES) -> dict[str, DataFrame]:
     """``queries(query_id, user_id, query)`` → best ``limit`` memories per query
     (``query_id, user_id, rank, memory_id, score``) plus ``audit`` rows.
 
-    Exact, without forming a pair for every query and memory of a user:
-
-    * a user's *frequent* tokens (in at least ``frequent_min`` of their memories, at
-      most ``frequent_max`` of them) become bits; each memory and query gets a mask,
-      and their shared frequent tokens are ``bit_count(q & m)``;
-    * the other (*rare*) tokens are matched by an inverted-index join on
-      ``(user, token)``, which forms only pairs sharing a rare token;
-    * a memory sharing no rare token scores ``10·bit_count(q & m) + recency``, so per
-      (user, mask) the ``limit`` most recent memories are the only ones that can rank.
-    """
+    Exact, without a pair for every query and memory of a user. A user's memories lie in blocks
+    by age, and an inverted list per (user, token) names the blocks that hold the token. So a
+    query knows each block's greatest possible score: ten times the tokens they share, plus the
+    recency of the block's newest memory. The best ``OPENED_FIRST`` blocks are opened first; the
+    scores found there tell which others could still enter the top ``limit``, and only those are
+    opened. Memories that share no token can only fill up the ranks, the newest first: a user's
+    ``limit`` newest memories stand for them."""
     cand = _candidates(decoded, as_of)
-    mem_tokens = cand.select(
-        "memory_id", "user_id",
-        F.explode(tokens(searchable_text(F.col("content"), F.col("context"), F.col("products_mentioned")))).alias("token"),
-    )
-    q_tokens = queries.select("query_id", "user_id", F.explode(tokens(F.col("query"))).alias("token"))
-
-    df = mem_tokens.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= frequent_min)
-    bits = top_k_per_group(df, ["user_id"], [F.col("_df").desc(), F.col("token").asc()], frequent_max, F.col("token"), out="_bit")
-    bits = bits.select("user_id", "token", (F.col("_bit") - 1).alias("_bit"))
-
-    def masks(tok: DataFrame, id_col: str) -> DataFrame:
-        return tok.join(bits, ["user_id", "token"]).groupBy(id_col).agg(
-            F.sum(F.expr("shiftleft(1L, cast(_bit AS INT))")).alias("_mask")
-        )
-
-    mem = cand.select("memory_id", "user_id", "recency").join(masks(mem_tokens, "memory_id"), "memory_id", "left").fillna(0, ["_mask"])
-    qry = queries.select("query_id", "user_id").join(masks(q_tokens, "query_id"), "query_id", "left").fillna(0, ["_mask"])
-    qry = qry.withColumnRenamed("_mask", "_qmask")
-
-    rare_m = mem_tokens.join(bits, ["user_id", "token"], "left_anti")
-    rare_q = q_tokens.join(bits, ["user_id", "token"], "left_anti")
-    rare_overlap = rare_q.join(rare_m, ["user_id", "token"]).groupBy("query_id", "memory_id").agg(
-        F.count(F.lit(1)).alias("_rare")
-    )
-    by_recency = [F.col("recency").desc(), F.col("memory_id").asc()]
-    recent = top_k_per_group(mem, ["user_id", "_mask"], by_recency, limit, F.col("memory_id"), out="_rr").drop("_rr")
-    with_rare = rare_overlap.join(mem, "memory_id").join(qry.drop("user_id"), "query_id")
-    by_mask = qry.join(recent, "user_id").withColumn("_rare", F.lit(0).cast("bigint"))
-    cols = ["query_id", "user_id", "memory_id", "recency", "_mask", "_qmask", "_rare"]
-    pairs = (
-        with_rare.select(*cols).unionByName(by_mask.select(*cols))
-        .groupBy("query_id", "user_id", "memory_id", "recency", "_mask", "_qmask")
-        .agg(F.max("_rare").alias("_rare"))
-        .withColumn("overlap", F.col("_rare") + F.bit_count(F.col("_mask").bitwiseAND(F.col("_qmask"))))
-        .withColumn("score", F.lit(10.0) * F.col("overlap") + F.col("recency"))
-    )
-    best = top_k_per_group(pairs, ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"))
-    result = best.select("query_id", "user_id", "rank", "memory_id", "score")
+    words = tokens(searchable_text(F.col("content"), F.col("context"), F.col("products_mentioned")))
+    memories = cut_lineage(_memory_blocks(cand.select("memory_id", "user_id", "ts", "recency", words.alias("mt")), block_rows))
+    asked = cut_lineage(queries.select("query_id", "user_id", tokens(F.col("query")).alias("qt")))
+
+    # inverted lists of blocks, and each query's bound per block
+    newest = memories.groupBy("block").agg(F.max("recency").alias("_newest"))
+    lists = memories.select("user_id", "block", F.explode("mt").alias("token")).distinct()
+    shared = asked.select("query_id", "user_id", F.explode("qt").alias("token")).join(lists, ["user_id", "token"]).groupBy("query_id", "block").agg(
+        F.count(F.lit(1)).alias("_shared"))
+    bounds = cut_lineage(shared.join(newest, "block").select(
+        "query_id", "block", (F.lit(10.0) * F.col("_shared") + F.col("_newest")).alias("_bound")))
+    by_bound = [F.col("_bound").desc(), F.col("block").asc()]
+    first = top_k_per_group(bounds, ["query_id"], by_bound, OPENED_FIRST, F.col("block"), out="_place")
+    texts = asked.select("query_id", "qt")
+    score = F.lit(10.0) * F.col("overlap") + F.col("recency")
+    found = cut_lineage(_open_blocks(first.join(texts, "query_id"), memories, limit).withColumn("score", score))
+
+    # the newest memories of the user, with their own overlap
+    by_age = [F.col("recency").desc(), F.col("memory_id").asc()]
+    recent = top_k_per_group(memories, ["user_id"], by_age, limit, F.col("memory_id"), out="_r").groupBy("user_id").agg(
+        F.collect_list(F.struct("memory_id", "recency", "mt")).alias("_recent"))  # limit rows a user
+    copies = asked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_queries"))
+    recent = cut_lineage(recent.join(copies, "user_id"))
+    fill = attach(asked, recent, ["user_id"], "_queries").select("query_id", "qt", F.explode("_recent").alias("m")).select(
+        "query_id", F.col("m.memory_id").alias("memory_id"), F.col("m.recency").alias("recency"),
+        F.size(F.array_intersect("qt", "m.mt")).cast("bigint").alias("overlap")).withColumn("score", score)
+    found = cut_lineage(found.unionByName(fill).distinct())
+
+    # blocks that could still enter
+    floor = top_k_per_group(found, ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"), out="_place").where(
+        F.col("_place") == limit).select("query_id", F.col("score").alias("_floor"))
+    rest = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(floor, "query_id", "left").where(
+        F.col("_floor").isNull() | (F.col("_bound") >= F.col("_floor")))
+    more = _open_blocks(rest.select("query_id", "block").join(texts, "query_id"), memories, limit).withColumn("score", score)
+    best = top_k_per_group(found.unionByName(more).distinct(), ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"))
+    result = best.join(asked.select("query_id", "user_id"), "query_id").select("query_id", "user_id", "rank", "memory_id", "score")
 
     per_user = cand.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidate_count"))
     audit = queries.join(per_user, "user_id", "left").select(
@@ -302,10 +346,9 @@ def rerank(recommendations: DataFrame, profiles: DataFrame) -> DataFrame:
         F.when(F.col("memory_interest_count") > 0, RATIONALE_PRIOR).otherwise(RATIONALE_NONE).alias("memory_rationale"),
         adj.cast("bigint").alias("memory_rank_adjustment"),
     )
-    return top_k_per_group(
-        out, ["user_id"], [F.col("memory_rank_adjustment").desc(), F.coalesce(F.col("product"), F.lit("")).asc()],
-        1 << 30, F.col("product"), out="rank",
-    )
+    # rows of one adjustment are numbered together, so no task ranks a whole user
+    order = [F.col("memory_rank_adjustment").desc(), F.coalesce(F.col("product"), F.lit("")).asc()]
+    return position_within(out, ["user_id"], order, -F.col("memory_rank_adjustment"), out="rank")
 
 
 def audit_trail(*parts: DataFrame) -> DataFrame:

@@ -472,8 +472,8 @@ FROM mem WHERE NOT consented
 _MEM_TEXT = "'content context products text topic ' || topic || ' ' || text || ' contact_method ' || contact_method || ' ' || array_to_string(products, ' ')"
 
 ORACLE["memory_search"] = "WITH " + MEMORY + f""",
-q AS (SELECT conv_id AS query_id, 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id, {_tok('text')} AS qt
-      FROM conversations WHERE turn = 0),
+q AS (SELECT conv_id || '-' || turn AS query_id, 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id, {_tok('text')} AS qt
+      FROM conversations),
 m AS (SELECT memory_id, user_id, recency, {_tok(_MEM_TEXT)} AS mt FROM mem_ok),
 s AS (SELECT query_id, q.user_id, memory_id, 10.0 * len(list_intersect(qt, mt)) + recency AS score
       FROM q JOIN m ON q.user_id = m.user_id)
@@ -535,7 +535,7 @@ FROM mem_ok
 UNION ALL
 SELECT '2024-03-01 00:00:00', 'memory_retrieved', sha256(q.user_id),
        '{{"candidate_count":' || CAST(coalesce(c.n, 0) AS VARCHAR) || ',"query_token_count":' || CAST(len({_tok('q.text')}) AS VARCHAR) || '}}'
-FROM (SELECT 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id, text FROM conversations WHERE turn = 0) q
+FROM (SELECT 'user-' || CAST(conv_id % 20 AS VARCHAR) AS user_id, text FROM conversations) q
 LEFT JOIN (SELECT user_id, count(*) AS n FROM mem_ok GROUP BY 1) c ON q.user_id = c.user_id
 UNION ALL
 SELECT '2024-03-01 00:00:00', 'user_forgotten', sha256(user_id), '{{"deleted_memory_count":' || CAST(deleted_memory_count AS VARCHAR) || '}}'

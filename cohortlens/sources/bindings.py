@@ -216,9 +216,10 @@ def memory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search per conversation: its opening turn, by the conversation's user."""
-    conv = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-    return conv.select(F.col("conv_id").alias("query_id"), memory_user(F.col("conv_id")).alias("user_id"), F.col("text").alias("query"))
+    """One search per conversation turn: its text, by the conversation's user."""
+    conv = table(spark, sf_dir, "conversations")
+    query_id = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return conv.select(query_id.alias("query_id"), memory_user(F.col("conv_id")).alias("user_id"), F.col("text").alias("query"))
 
 
 def forget_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

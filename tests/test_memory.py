@@ -60,22 +60,29 @@ def test_search_top_k_matches_scoring_rule(spark):
     assert [r["memory_id"] for r in res] == (loans + others)[:10]
 
 
-def test_search_with_frequent_token_masks_matches_brute_force(spark):
+def test_search_over_blocks_matches_brute_force(spark):
     import random
 
     rng = random.Random(5)
     words = ["loan", "card", "savings", "mortgage", "chat", "email", "branch", "fees", "rate", "alert"]
     rows = []
     for i in range(120):
-        user = f"u{i % 3}"
         text = " ".join(rng.sample(words, rng.randint(1, 4)))
-        rows.append((f"m{i:03d}", user, dt.datetime(2025, 1, 1) + dt.timedelta(hours=rng.randint(0, 200)), "q",
+        rows.append((f"m{i:03d}", f"u{i % 3}", dt.datetime(2025, 1, 1) + dt.timedelta(hours=rng.choice([0, 0, rng.randint(0, 200)])), "q",
                      {"topic": rng.choice(["user", "assistant"]), "text": text}, {"contact_method": rng.choice(["chat", "email"])},
                      {}, True, None, rng.choice([["card"], [], ["card", "savings"]]), []))
-    entries = spark.createDataFrame(rows, SCHEMA)
-    dec = mem.decode(mem.save(entries, as_of=NOW)["stored"]).cache()
-    qs = [(j, f"u{j % 3}", " ".join(rng.sample(words + ["topic", "text", "user"], 3))) for j in range(12)]
+    dec = mem.decode(mem.save(spark.createDataFrame(rows, SCHEMA), as_of=NOW)["stored"]).cache()
+    qs = [(j, f"u{j % 4}", " ".join(rng.sample(words + ["topic", "text", "user", "nowhere"], 3)) if j else "") for j in range(16)]
     q = spark.createDataFrame(qs, "query_id int, user_id string, query string")
-    fast = {(r["query_id"], r["rank"]): r["memory_id"] for r in mem.search(dec, q, limit=7, as_of=NOW, frequent_min=5, frequent_max=6)["results"].collect()}
-    plain = {(r["query_id"], r["rank"]): r["memory_id"] for r in mem.search(dec, q, limit=7, as_of=NOW, frequent_min=10**9)["results"].collect()}
-    assert fast == plain and len(plain) == 12 * 7
+    now, want = dt.datetime.fromisoformat(NOW), {}
+    for j, user, text in qs:
+        scored = []
+        for m in rows:
+            if m[1] == user:
+                own = set("content context products".split()) | {w for d in (m[4], m[5]) for k, v in d.items() for w in [k, *v.split()]} | set(m[9])
+                age = max(0.0, (now - m[2]).total_seconds() / 86400)
+                scored.append((-(10 * len(own & set(text.split())) + 1 / (1 + age)), m[0]))
+        want |= {(j, r): m for r, (_, m) in enumerate(sorted(scored)[:7], 1)}
+    for block in (4096, 9, 1):
+        got = {(r["query_id"], r["rank"]): r["memory_id"] for r in mem.search(dec, q, limit=7, as_of=NOW, block_rows=block)["results"].collect()}
+        assert got == want, block
