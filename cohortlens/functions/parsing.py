@@ -95,7 +95,13 @@ def parse_timestamp(c: Column) -> Column:
     text = F.trim(c.cast("string"))
     shape = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), "[A-Za-z]+", "a")
     numbers, words = F.regexp_extract_all(text, F.lit("([0-9]+)"), 1), F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+    # the parts are named in a one-element array, so each is computed once per row
+    parts = F.array(F.struct(text.alias("text"), shape.alias("shape"), numbers.alias("numbers"), words.alias("words")))
+    return F.get(F.transform(parts, lambda p: _by_shape(p["text"], p["shape"], p["numbers"], p["words"])), F.lit(0))
 
+
+def _by_shape(text: Column, shape: Column, numbers: Column, words: Column) -> Column:
+    """The timestamp of a text taken apart (see :func:`parse_timestamp`)."""
     def number(at: int, digits: int = 2) -> Column:
         part = F.get(numbers, F.lit(at))
         return F.when(F.length(part) <= digits, part.try_cast("int"))
