@@ -539,3 +539,93 @@ def q_leakage_audit(spark, sf_dir):
         F.col("fit_split").alias("thresholds_fit_split"), F.lit(design.fit_split).alias("selection_fit_split"),
         F.lit(facts["fit_split"]).alias("pca_fit_split"), F.lit(design.tuning_splits).alias("tuning_splits"))
     return splits.leakage_audit(run.labelled, lineage)
+
+
+# ---------------------------------------------------------------- loaders, stores and the whole run
+import uuid  # noqa: E402
+
+from ..functions import parsing  # noqa: E402
+from ..sources import memory_store, sinks  # noqa: E402
+from . import report  # noqa: E402
+
+
+def _scratch(spark, kind: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+@register("load_csv")
+def q_load_csv(spark, sf_dir):
+    """The conversations through CSV files whose quoted texts hold line breaks."""
+    path = _scratch(spark, "csv") + "/conversations.csv"
+    rows = bindings.table(spark, sf_dir, "conversations").select(*[F.col(c).cast("string") for c in ("conv_id", "turn", "role", "text")])
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return contract.read_text_csv(spark, path).drop("seq")
+
+
+@register("load_folder")
+def q_load_folder(spark, sf_dir):
+    """The four tables through a canonical folder of CSV files: rows, customers and known values."""
+    base = _scratch(spark, "folder")
+    for name, df in bindings.binding_a(spark, sf_dir).items():
+        df.select(*[F.col(c).cast("string") for c in contract.REQUIRED[name]]).write.option("header", True).option("escape", '"').csv(f"{base}/{name}.csv")
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("customer_id").alias("customers"), F.count(contract.REQUIRED[name][-1]).alias("known")).select(
+            F.lit(name).alias("table_name"), "rows", "customers", "known")
+        for name, df in contract.load_dataset(spark, base).items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+# Fixed values (test inputs of ours): layouts of a date by o_orderkey % 9.
+DATE_LAYOUTS = ("d/M/yyyy", "d.M.yyyy H:mm", "dd-MM-yyyy", "yyyy/M/d", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "d-MMM-yy", "M/d/yyyy hh:mm a")
+
+
+@register("date_shapes")
+def q_date_shapes(spark, sf_dir):
+    """Order dates written in nine layouts and parsed back."""
+    orders = bindings.table(spark, sf_dir, "orders")
+    stamp, key = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
+    text = F.coalesce(*[F.when(key % len(DATE_LAYOUTS) == i, F.date_format(stamp, layout)) for i, layout in enumerate(DATE_LAYOUTS)])
+    return comparable(orders.select("o_orderkey", parsing.parse_timestamp(text).alias("parsed")))
+
+
+@register("segment_files")
+def q_segment_files(spark, sf_dir):
+    """Segments written as one CSV folder each and read back."""
+    path = _scratch(spark, "segments")
+    sinks.write_segments(rules.sorted_segments(run_a(spark, sf_dir).segment_customers()), path, "csv")
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"), F.min("customer_id").alias("first_customer"))
+
+
+@register("split_files")
+def q_split_files(spark, sf_dir):
+    """Raw rows written as customer-disjoint split files, with the manifest from the files."""
+    path = _scratch(spark, "splits")
+    sinks.write_splits(contract.label_raw_split(bindings.raw_bank_rows(spark, sf_dir)), path)
+    manifest = splits.split_manifest(spark.read.option("header", True).csv(path), "CustomerID", "split")
+    sinks.write_manifest(manifest, f"{path}-manifest")
+    return spark.read.json(f"{path}-manifest").select("split", "rows", "customers")
+
+
+@register("memory_store")
+def q_memory_store(spark, sf_dir):
+    """Two appends, one of them retried, and a forget on a versioned store: what each user has left."""
+    store = memory_store.MemoryStore(spark, _scratch(spark, "memory-store"))
+    stored = _stored(spark, sf_dir)["stored"]
+    even = F.pmod(F.xxhash64("memory_id"), F.lit(2)) == 0
+    for batch, rows in (("even", stored.where(even)), ("odd", stored.where(~even)), ("even", stored.where(even))):
+        store.append(rows, batch)
+    deleted = store.forget(bindings.forget_requests(spark, sf_dir))
+    left = store.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("memories"))
+    return left.join(deleted, "user_id", "full").select(
+        "user_id", F.coalesce("memories", F.lit(0)).cast("bigint").alias("memories"), F.coalesce("deleted_memory_count", F.lit(0)).cast("bigint").alias("deleted"))
+
+
+@register("run_report")
+def q_run_report(spark, sf_dir):
+    """The numbers of a committed run, read back from its report."""
+    folder = report.write_run(run_a(spark, sf_dir), _scratch(spark, "run"), "compare the segments", with_models=False)
+    lines = report.read_run(spark, folder, "report").where(F.col("section").isin("rows_written", "split_sizes", "segment_counts", "final_test", "thresholds", "profiles"))
+    return comparable(lines.select("section", "name", "field", F.col("value").cast("double").alias("value")))

@@ -737,3 +737,53 @@ SELECT 'PCA' AS method, 2 AS n_components, (SELECT string_agg(feature, ',' ORDER
        (SELECT count(*) FROM ts) AS fit_rows, (SELECT count(*) FROM a_features) AS projected_rows, 'train' AS fit_split,
        true AS centred, true AS uncorrelated, true AS ratios_are_variances, true AS ordered
 """
+
+# ---------------------------------------------------------------- loaders, stores and the whole run
+ORACLE["load_csv"] = "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations"
+
+ORACLE["load_folder"] = "WITH " + A_INPUTS + """
+SELECT 'customers' AS table_name, count(*) AS rows, count(DISTINCT customer_id) AS customers, count(customer_id) AS known FROM a_customers
+UNION ALL SELECT 'balances', count(*), count(DISTINCT customer_id), count(v) FROM a_bal_raw
+UNION ALL SELECT 'transactions', count(*), count(DISTINCT customer_id), count(v) FROM a_txn_raw
+UNION ALL SELECT 'product_holdings', count(*), count(DISTINCT customer_id), count(status) FROM a_holdings
+"""
+
+# layouts 0 to 8: only the second and the last keep the time of day (to the minute); the last is
+# month first, so a day up to 12 is read as the month
+ORACLE["date_shapes"] = """
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey % 9 AS k FROM orders)
+SELECT o_orderkey, strftime(CASE WHEN k = 1 THEN date_trunc('minute', ts)
+                                 WHEN k = 8 AND day(ts) <= 12 THEN make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), 0.0)
+                                 WHEN k = 8 THEN date_trunc('minute', ts) ELSE date_trunc('day', ts) END, '%Y-%m-%d %H:%M:%S') AS parsed
+FROM o
+"""
+
+ORACLE["segment_files"] = f"SELECT segment, count(*) AS customers, min(customer_id) AS first_customer FROM ({ORACLE['segment_customers']}) GROUP BY 1"
+
+ORACLE["split_files"] = ORACLE["split_manifest"]
+
+ORACLE["memory_store"] = "WITH " + MEMORY + "," + FORGET + """,
+stored AS (SELECT user_id, count(*) AS n FROM mem_ok GROUP BY 1)
+SELECT user_id, CASE WHEN fd.user_id IS NULL THEN n ELSE 0 END AS memories, coalesce(deleted_memory_count, 0)::BIGINT AS deleted
+FROM stored FULL JOIN fd USING (user_id)
+"""
+
+_RUN_TABLES = {
+    "segments": "segment_customers", "candidates": "recommend_conversion", "profiles": "compare_segments", "explanations": "explain_segment",
+    "data_quality": "data_quality", "cleaning_audit": "cleaning_audit", "split_sizes": "split_sizes", "thresholds": "rule_thresholds",
+    "final_test": "final_test_report", "segment_counts": "segment_counts", "boxplot": "boxplot_stats",
+}
+
+
+def _run_lines(section: str, query: str, name: str, *fields: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, {name} AS name, '{f}' AS field, round(CAST({f} AS DOUBLE), 6) AS value FROM ({ORACLE[query]})" for f in fields]
+
+
+ORACLE["run_report"] = "\nUNION ALL\n".join([
+    *[f"SELECT 'rows_written' AS section, '{t}' AS name, 'rows' AS field, CAST(count(*) AS DOUBLE) AS value FROM ({ORACLE[q]})" for t, q in _RUN_TABLES.items()],
+    *_run_lines("split_sizes", "split_sizes", "split", "customers"), *_run_lines("segment_counts", "segment_counts", "segment", "customers"),
+    *_run_lines("final_test", "final_test_report", "segment", "customers"),
+    *_run_lines("thresholds", "rule_thresholds", "fit_split", "priority_balance_threshold", "priority_frequency_threshold"),
+    *_run_lines("profiles", "compare_segments", "segment", "customers", "avg_avg_balance_90d", "avg_transaction_frequency_monthly", "avg_recency_days",
+                "avg_avg_transaction_amount"),
+])
