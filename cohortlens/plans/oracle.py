@@ -399,7 +399,7 @@ SELECT run_id, event_id, intent, err IS NULL AS valid, err AS error FROM (
     CASE WHEN NOT {_IS_OBJ} THEN 'plan is not a JSON object'
          WHEN NOT coalesce((CASE WHEN {_IS_OBJ} THEN json_extract_string(detail, '$.intent') END) IN
               ('segment_customers', 'explain_segment', 'compare_segments', 'recommend_conversion'), false)
-         THEN 'provider returned an unsupported intent' END AS err
+         THEN 'the plan names no known intent' END AS err
   FROM elog WHERE step = 'query_planning')
 """
 

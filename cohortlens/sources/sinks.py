@@ -43,9 +43,11 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_memories(saved: Mapping[str, DataFrame], memories_path: str, audit_path: str) -> None:
-    saved["stored"].write.mode("append").parquet(memories_path)
-    saved["audit"].write.mode("append").parquet(audit_path)
+def append_memories(saved: Mapping[str, DataFrame], memories_path: str, audit_path: str, batch_key: str) -> None:
+    """Both tables of a save under a batch key; a retried batch takes the place of its first attempt.
+    (A store with versions and forgets of single users: :mod:`memory_store`.)"""
+    for name, path in (("stored", memories_path), ("audit", audit_path)):
+        saved[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_key}")
 
 
 def forget_users(memories_path: str, users: DataFrame, new_path: str, audit_path: str, as_of=None) -> DataFrame:

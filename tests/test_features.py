@@ -1,98 +1,115 @@
+"""Features against a plain-Python reading of a small random ledger, and their edge cases."""
 import datetime as dt
+import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.config import SegmentConfig
 from cohortlens.operators import features, quality, rules
 
-
-def frames(spark):
-    return {
-        "customers": spark.createDataFrame([("a",), ("b",)], "customer_id string"),
-        "balances": spark.createDataFrame([("a", "2025-01-01", 100.0, 1), ("a", "2025-03-31", 200.0, 2)],
-                                          "customer_id string, timestamp string, balance double, seq int"),
-        "transactions": spark.createDataFrame([("a", "2025-03-31", 30.0, 1)], "customer_id string, timestamp string, amount double, seq int"),
-        "product_holdings": spark.createDataFrame([("a", "checking", "active")], "customer_id string, product_name string, status string"),
-    }
+BALANCE = "customer_id string, timestamp string, balance double, seq int"
+AMOUNT = "customer_id string, timestamp string, amount double, seq int"
+CLIENTS = ["kira", "moss", "odin", "pell", "quay"]
 
 
-def thresholds_of(feats):
-    return rules.derive_rule_thresholds(feats)
+def ledger(seed=11):
+    """Rows of five clients over a year; ``quay`` has products only, ``pell`` no balance."""
+    rng = random.Random(seed)
+    day = lambda: (dt.datetime(2023, 2, 1) + dt.timedelta(days=rng.randint(0, 364), hours=rng.choice([0, 7, 23]))).isoformat(sep=" ")
+    balances = [(c, day(), round(rng.uniform(5, 900), 2), i) for i, c in enumerate(rng.choices(["kira", "moss", "odin"], k=60))]
+    amounts = [(c, day(), round(rng.uniform(1, 80), 2), i) for i, c in enumerate(rng.choices(["kira", "moss", "pell"], k=80))]
+    holdings = [("kira", "loan", "ACTIVE"), ("kira", "loan", "closed"), ("quay", "deposit", "active"), ("moss", "card", "paused")]
+    return balances, amounts, holdings
 
 
-def test_customer_without_balances_is_flagged_and_counted_as_idle(spark):
-    out = {r["customer_id"]: r for r in features.build_customer_features(frames(spark)).collect()}
-    assert out["b"]["insufficient_balance_history"] is True
-    assert out["a"]["active_product_count"] == 1
-    assert out["b"]["recency_days"] == 91 and out["b"]["transaction_count_90d"] == 0
+def frames(spark, balances=None, amounts=None):
+    b, a, h = ledger()
+    return {
+        "customers": spark.createDataFrame([(c,) for c in CLIENTS], "customer_id string"),
+        "balances": spark.createDataFrame(b if balances is None else balances, BALANCE),
+        "transactions": spark.createDataFrame(a if amounts is None else amounts, AMOUNT),
+        "product_holdings": spark.createDataFrame(h, "customer_id string, product_name string, status string"),
+    }
 
 
-def test_missing_history_is_sent_to_review(spark):
+def first_rows(rows):
+    """The first row of each client and time, in seq order."""
+    kept = {}
+    for c, t, v, _ in sorted(rows, key=lambda r: r[3]):
+        kept.setdefault((c, t), v)
+    return kept
+
+
+def test_a_ledger_read_in_plain_python(spark):
+    balances, amounts, _ = ledger()
+    b, a = first_rows(balances), first_rows(amounts)
+    moment = dt.datetime.fromisoformat
+    latest = max(moment(t) for _, t in [*b, *a])
+    since = latest - dt.timedelta(days=90)
+    for r in features.build_customer_features(frames(spark)).collect():
+        held = [v for (c, t), v in b.items() if c == r["customer_id"] and moment(t) >= since]
+        spent = {t: v for (c, t), v in a.items() if c == r["customer_id"] and moment(t) >= since}
+        assert r["insufficient_balance_history"] is (not held) and r["transaction_count_90d"] == len(spent)
+        assert r["recency_days"] == (min((latest - moment(t)).days for t in spent) if spent else 91)
+        if held:
+            assert r["avg_balance_90d"] == pytest.approx(statistics.mean(held)) and r["min_balance_90d"] == min(held)
+        if spent:
+            assert r["median_transaction_amount"] == pytest.approx(statistics.median(spent.values()))
+
+
+def test_clients_without_balances_go_to_review(spark):
     feats = features.build_customer_features(frames(spark))
-    seg = {r["customer_id"]: r for r in rules.assign_rule_segments(feats, thresholds_of(feats)).collect()}
-    assert seg["b"]["segment"] == "needs_review"
-    assert seg["b"]["fallback_level"] == 3 and seg["b"]["assignment_confidence"] == "low"
+    segments = {r["customer_id"]: (r["segment"], r["fallback_level"], r["assignment_confidence"]) for r in rules.assign_rule_segments(feats, rules.derive_rule_thresholds(feats)).collect()}
+    assert {c for c, s in segments.items() if s == ("needs_review", 3, "low")} >= {"pell", "quay"} and len(segments) == len(CLIENTS)
 
 
-def test_dedup_precedes_null_drop_and_single_balance_std(spark):
-    bal = spark.createDataFrame(
-        [("a", "2025-01-01", None, 1), ("a", "2025-01-01", 5.0, 2), ("b", "2025-01-01", 7.0, 1)],
-        "customer_id string, timestamp string, balance double, seq int")
-    cleaned = quality.clean_events(bal, "balance").collect()
-    assert [r["customer_id"] for r in cleaned] == ["b"]
-    fr = frames(spark)
-    fr["balances"] = bal
-    out = {r["customer_id"]: r for r in features.build_customer_features(fr).collect()}
-    assert out["b"]["balance_stability_90d"] is None
+def test_dedup_precedes_null_drop_and_single_balance_has_no_spread(spark):
+    rows = [("kira", "2024-03-05", None, 1), ("kira", "2024-03-05", 12.0, 2), ("moss", "2024-03-05", 3.5, 1)]
+    cleaned = quality.clean_events(spark.createDataFrame(rows, BALANCE), "balance").collect()
+    assert [r["customer_id"] for r in cleaned] == ["moss"]
+    out = {r["customer_id"]: r for r in features.build_customer_features(frames(spark, rows, [])).collect()}
+    assert out["moss"]["balance_stability_90d"] is None and out["kira"]["insufficient_balance_history"]
 
 
 def test_recency_is_floor_of_elapsed_days(spark):
-    fr = frames(spark)
-    fr["transactions"] = spark.createDataFrame(
-        [("a", "2025-03-30 22:00:00", 1.0, 1), ("b", "2025-04-01 00:00:00", 1.0, 2)],
-        "customer_id string, timestamp string, amount double, seq int")
-    fr["balances"] = spark.createDataFrame([("a", "2025-04-01 00:00:00", 1.0, 1)], "customer_id string, timestamp string, balance double, seq int")
-    out = {r["customer_id"]: r for r in features.build_customer_features(fr).collect()}
-    assert out["a"]["recency_days"] == 1  # 26 hours, two midnights
+    amounts = [("odin", "2024-07-09 13:00:00", 2.0, 1), ("moss", "2024-07-11 12:00:00", 2.0, 2)]
+    out = {r["customer_id"]: r for r in features.build_customer_features(frames(spark, [("odin", "2024-07-11 12:00:00", 9.0, 1)], amounts)).collect()}
+    assert out["odin"]["recency_days"] == 1  # 47 hours
+    assert out["moss"]["recency_days"] == 0
 
 
 def test_cleaning_audit_counts(spark):
     fr = frames(spark)
     fr["transactions"] = spark.createDataFrame(
-        [("a", "2025-01-01", "inf", 1), ("a", "junk", "3", 2), ("a", "2025-01-02", "4", 3)],
+        [("pell", "2024-01-01", "-inf", 1), ("pell", "someday", "3", 2), ("pell", "2024-01-02", "4", 3), ("pell", "2024-01-03", "x", 4)],
         "customer_id string, timestamp string, amount string, seq int")
     audit = {r["table_name"]: r for r in quality.cleaning_audit(fr).collect()}
-    assert (audit["transactions"]["input_rows"], audit["transactions"]["usable_rows"], audit["transactions"]["dropped_rows"]) == (3, 1, 2)
+    assert (audit["transactions"]["input_rows"], audit["transactions"]["usable_rows"], audit["transactions"]["dropped_rows"]) == (4, 1, 3)
 
 
 def test_features_do_not_depend_on_row_order_or_partitions(spark):
     fr = frames(spark)
-    a = sorted(map(tuple, features.build_customer_features(fr).collect()))
-    fr2 = {k: v.repartition(3).orderBy(F.rand(7)) for k, v in fr.items()}
-    b = sorted(map(tuple, features.build_customer_features(fr2).collect()))
-    assert a == b
+    once = sorted(map(tuple, features.build_customer_features(fr).collect()))
+    shuffled = {k: v.repartition(3).orderBy(F.rand(7)) for k, v in fr.items()}
+    assert once == sorted(map(tuple, features.build_customer_features(shuffled).collect()))
 
 
 def test_multi_snapshot_matches_single_snapshot(spark):
     fr = frames(spark)
-    single = {r["customer_id"]: r for r in features.build_customer_features(fr, SegmentConfig(), as_of=dt.datetime(2025, 3, 31)).collect()}
-    multi = {r["customer_id"]: r for r in features.build_features_at(fr, ["2025-03-31"]).collect()}
-    for cid in ("a", "b"):
-        assert single[cid]["avg_balance_90d"] == multi[cid]["avg_balance_90d"]
-        assert single[cid]["recency_days"] == multi[cid]["recency_days"]
+    single = {r["customer_id"]: r for r in features.build_customer_features(fr, SegmentConfig(), as_of=dt.datetime(2023, 10, 15)).collect()}
+    multi = {r["customer_id"]: r for r in features.build_features_at(fr, ["2023-10-15"]).collect()}
+    assert set(single) == set(multi) == set(CLIENTS)
+    for c in CLIENTS:
+        assert single[c]["avg_balance_90d"] == multi[c]["avg_balance_90d"] and single[c]["recency_days"] == multi[c]["recency_days"]
 
 
 def test_history_pruning_falls_back_when_newest_rows_are_unusable(spark):
-    fr = frames(spark)
-    # the newest rows (December) have no usable value: U is in December, but the last
-    # usable event is 2025-03-31, older than U - lookback
-    fr["balances"] = spark.createDataFrame(
-        [("a", "2025-01-01", 100.0, 1), ("a", "2025-03-31", 200.0, 2), ("a", "2025-12-31", None, 3)],
-        "customer_id string, timestamp string, balance double, seq int")
-    fr["transactions"] = spark.createDataFrame(
-        [("a", "2025-03-31", 30.0, 1), ("b", "2025-12-30", float("inf"), 2)],
-        "customer_id string, timestamp string, amount double, seq int")
-    out = {r["customer_id"]: r for r in features.build_customer_features(fr).collect()}
-    assert out["a"]["as_of_date"] == "2025-03-31"
-    assert out["a"]["avg_balance_90d"] == 150.0 and out["a"]["transaction_count_90d"] == 1
-    assert out["a"]["recency_days"] == 0 and out["b"]["transaction_count_90d"] == 0
+    # the newest rows (November) have no usable value; the last usable event is in May,
+    # further back than a lookback
+    balances = [("odin", "2024-04-20", 60.0, 1), ("odin", "2024-05-06", 20.0, 2), ("odin", "2024-11-30", None, 3)]
+    amounts = [("odin", "2024-05-06", 7.0, 1), ("moss", "2024-11-29", float("inf"), 2)]
+    out = {r["customer_id"]: r for r in features.build_customer_features(frames(spark, balances, amounts)).collect()}
+    assert out["odin"]["as_of_date"] == "2024-05-06" and out["odin"]["avg_balance_90d"] == 40.0
+    assert out["odin"]["transaction_count_90d"] == 1 and out["odin"]["recency_days"] == 0 and out["moss"]["transaction_count_90d"] == 0

@@ -12,32 +12,41 @@ def entry(mid, user, content, context, consented, products=(), outcome=None):
     return (mid, user, dt.datetime(2025, 1, 1), "query", content, context, outcome or {}, consented, None, list(products), [])
 
 
-def test_memory_is_customer_scoped_deterministic_and_forgettable(spark):
-    entries = spark.createDataFrame([
-        entry("m1", "user-a", {"topic": "credit card"}, {"contact_method": "chat"}, True, ["card"]),
-        entry("m2", "user-b", {"topic": "mortgage"}, {}, True),
-    ], SCHEMA)
-    saved = mem.save(entries, as_of=NOW)
-    stored = saved["stored"]
-    q = spark.createDataFrame([(1, "user-a", "credit card")], "query_id int, user_id string, query string")
-    res = mem.search(mem.decode(stored), q, as_of=NOW)["results"].collect()
-    assert [r["memory_id"] for r in res] == ["m1"]
-    out = mem.forget(stored, spark.createDataFrame([("user-a",)], "user_id string"), as_of=NOW)
-    assert out["deleted"].collect()[0]["deleted_memory_count"] == 1
-    assert mem.search(mem.decode(out["remaining"]), q, as_of=NOW)["results"].count() == 0
-
-
-def test_memory_requires_consent_and_does_not_override_ineligibility(spark):
-    entries = spark.createDataFrame([
-        entry("m0", "user-a", {}, {}, False),
-        entry("m1", "user-a", {"topic": "card"}, {}, True, ["card", "card"]),
-    ], SCHEMA)
-    saved = mem.save(entries, as_of=NOW)
-    assert [r["reason"] for r in saved["rejected"].collect()] == [mem.CONSENT_REFUSAL]
-    profiles = mem.build_profiles(mem.decode(saved["stored"]), as_of=NOW)
-    assert profiles.collect()[0]["product_interest_counts"] == {"card": 2}
-    recs = spark.createDataFrame([("user-a", "card", False)], "user_id string, product string, eligible boolean")
-    assert mem.rerank(recs, profiles).collect()[0]["memory_rank_adjustment"] == 0
+def notes():
+    """Five notes of three people; one was written without consent."""
+    return [
+        entry("n-1", "ines", {"topic": "lost parcel"}, {"contact_method": "phone"}, True, ["courier", "courier", "courier", "courier"]),
+        entry("n-2", "ines", {"topic": "invoice copy"}, {}, True, ["archive"]),
+        entry("n-3", "jonas", {"topic": "lost parcel"}, {"contact_method": "letter"}, True),
+        entry("n-4", "jonas", {"topic": "lost parcel again"}, {}, False, ["courier"]),
+        entry("n-5", "karla", {"topic": "opening hours"}, {}, True),
+    ]
+
+
+def test_searches_see_own_consented_notes_until_forgotten(spark):
+    saved = mem.save(spark.createDataFrame(notes(), SCHEMA), as_of=NOW)
+    assert [(r["memory_id"], r["reason"]) for r in saved["rejected"].collect()] == [("n-4", mem.CONSENT_REFUSAL)]
+    asked = spark.createDataFrame([(7, "ines", "parcel"), (8, "jonas", "parcel lost"), (9, "lars", "parcel")], "query_id int, user_id string, query string")
+
+    def found(rows):
+        return sorted((r["query_id"], r["rank"], r["memory_id"]) for r in mem.search(mem.decode(rows), asked, as_of=NOW)["results"].collect())
+
+    assert found(saved["stored"]) == [(7, 1, "n-1"), (7, 2, "n-2"), (8, 1, "n-3")]
+    out = mem.forget(saved["stored"], spark.createDataFrame([("jonas",), ("lars",)], "user_id string"), as_of=NOW)
+    assert {r["user_id"]: r["deleted_memory_count"] for r in out["deleted"].collect()} == {"jonas": 1, "lars": 0}
+    assert found(out["remaining"]) == [(7, 1, "n-1"), (7, 2, "n-2")]
+
+
+def test_interest_raises_eligible_offers_up_to_a_bound(spark):
+    profiles = mem.build_profiles(mem.decode(mem.save(spark.createDataFrame(notes(), SCHEMA), as_of=NOW)["stored"]), as_of=NOW)
+    counts = {r["user_id"]: r["product_interest_counts"] for r in profiles.collect()}
+    assert counts["ines"] == {"courier": 4, "archive": 1} and counts["karla"] == {}
+    offers = [("ines", "archive", True), ("ines", "courier", True), ("ines", "boxes", None), ("karla", "courier", True), ("ines", "archive-plus", False)]
+    ranked = mem.rerank(spark.createDataFrame(offers, "user_id string, product string, eligible boolean"), profiles).collect()
+    assert {(r["user_id"], r["product"]): (r["memory_rank_adjustment"], r["rank"]) for r in ranked} == {
+        ("ines", "courier"): (mem.MAX_ADJUSTMENT, 1), ("ines", "archive"): (1, 2), ("ines", "archive-plus"): (0, 3), ("ines", "boxes"): (0, 4), ("karla", "courier"): (0, 1)}
+    blocked = spark.createDataFrame([("ines", "courier", False)], "user_id string, product string, eligible boolean")
+    assert mem.rerank(blocked, profiles).first()["memory_rank_adjustment"] == 0
 
 
 def test_encrypted_payload_round_trip(spark):

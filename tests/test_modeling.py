@@ -5,29 +5,38 @@ from cohortlens.config import SegmentConfig
 from cohortlens.operators import clustering, models, splits
 
 
-def _features(spark, n=30):
-    rng = np.random.default_rng(42)
+FEATURES = ("customer_id string, avg_balance_90d double, min_balance_90d double, balance_stability_90d double, transaction_count_90d bigint, "
+            "transaction_frequency_monthly double, avg_transaction_amount double, median_transaction_amount double, recency_days int, "
+            "active_product_count bigint, insufficient_balance_history boolean, as_of_date string")
+
+
+def clients(spark, n):
+    """Savers (high balance, few payments) and spenders, in turn; every ninth has no balance."""
     rows = []
     for i in range(n):
-        rows.append((f"c{i}", float(rng.normal(1000, 100)), float(rng.normal(800, 100)), float(rng.uniform(10, 50)),
-                     int(rng.integers(1, 30)), float(rng.uniform(1, 10)), float(rng.uniform(20, 500)),
-                     float(rng.uniform(20, 500)), int(rng.integers(1, 60)), int(rng.integers(0, 4)), False, "2025-01-01"))
-    schema = ("customer_id string, avg_balance_90d double, min_balance_90d double, balance_stability_90d double, "
-              "transaction_count_90d bigint, transaction_frequency_monthly double, avg_transaction_amount double, "
-              "median_transaction_amount double, recency_days int, active_product_count bigint, "
-              "insufficient_balance_history boolean, as_of_date string")
-    return spark.createDataFrame(rows, schema)
-
-
-def test_tuned_family_and_missing_family_are_told_apart(spark):
-    f = _features(spark).withColumn("_i", F.regexp_extract("customer_id", r"(\d+)", 1).cast("int"))
-    cfg = SegmentConfig(cluster_candidates=(2, 3), kmeans_n_init=(1,), gmm_n_init=1)
-    d = models.design_matrix(f.where("_i < 24").drop("_i"), f.where("_i >= 24").drop("_i"), cfg)
-    scores = models.tune_kmeans(d, cfg)
-    diag = {r["family"]: r for r in models.fit_diagnostics(scores).collect()}
-    assert diag["kmeans"]["status"] == "tuned"
-    assert diag["kmeans"]["fit_status"] in {"acceptable_generalization", "overfitting_risk", "underfitting_risk"}
-    assert diag["gmm"]["status"] == "fallback_to_rules"
+        saver, wobble = i % 2 == 0, (i * 37 % 11) / 10
+        balance = None if i % 9 == 8 else (5200.0 if saver else 310.0) + 90 * wobble
+        count = 2 + i % 3 if saver else 25 + i % 7
+        amount = 18.0 + wobble if saver else 64.0 - 3 * wobble
+        rows.append((f"client-{i}", balance, balance and balance * 0.7, balance and 12.0 + wobble, count, count / 3, amount, amount - wobble,
+                     (40 if saver else 3) + i % 5, i % 4, balance is None, "2024-06-30"))
+    return spark.createDataFrame(rows, FEATURES)
+
+
+def test_two_groups_are_found_and_a_family_without_candidates_is_told_apart(spark):
+    number = F.regexp_extract("customer_id", r"(\d+)", 1).cast("int")
+    everyone = clients(spark, 60)
+    cfg = SegmentConfig(cluster_candidates=(2, 4), kmeans_n_init=(2,), gmm_n_init=1)
+    d = models.design_matrix(everyone.where(number < 45), everyone.where(number >= 45), cfg)
+    diag = {r["family"]: r for r in models.fit_diagnostics(models.tune_kmeans(d, cfg)).collect()}
+    assert diag["kmeans"]["best_params"] == '{"n_clusters": 2, "n_init": 2}' and diag["kmeans"]["train_silhouette"] > 0.4
+    assert diag["kmeans"]["candidates_tested"] == 2 and diag["gmm"]["status"] == "fallback_to_rules"
+    assert (d.fit_split, d.tuning_splits) == ("unlabelled", "unlabelled")
+
+
+def test_folds_score_the_two_groups(spark):
+    folds = models.cross_validate_stability(clients(spark, 60), SegmentConfig(cv_folds=3, kmeans_n_init=(3,))).collect()
+    assert [r["fold"] for r in folds] == [0, 1, 2] and all(r["silhouette"] > 0.2 and r["cv_folds"] == 3 for r in folds)
 
 
 LINEAGE = "thresholds_fit_split string, selection_fit_split string, pca_fit_split string, tuning_splits string"
@@ -52,11 +61,11 @@ def test_every_audit_check_can_fail(spark):
 def test_artefacts_name_the_splits_they_were_fitted_on(spark):
     from cohortlens.operators import rules, transform
 
-    feats = _features(spark).withColumn("split", F.when(F.col("recency_days") > 30, "train").otherwise("validation"))
+    feats = clients(spark, 30).withColumn("split", F.when(F.col("recency_days") > 20, "train").otherwise("validation"))
     assert rules.derive_rule_thresholds(feats).first()["fit_split"] == "train,validation"
     assert rules.derive_rule_thresholds(feats.where("split = 'validation'")).first()["fit_split"] == "validation"
     assert {r["fit_split"] for r in transform.fit_impute_scale(feats.where("split = 'train'")).collect()} == {"train"}
-    assert rules.derive_rule_thresholds(_features(spark)).first()["fit_split"] == "unlabelled"
+    assert rules.derive_rule_thresholds(clients(spark, 30)).first()["fit_split"] == "unlabelled"
 
 
 def test_no_customer_is_left_out_by_default(spark):
@@ -109,11 +118,11 @@ def test_evaluation_sample_prefilter_equals_plain_top_k(spark):
 
 
 def test_cv_guard_and_one_segment_per_customer(spark):
-    small = _features(spark, 10)
+    small = clients(spark, 10)
     out = models.cv_summary(models.cross_validate_stability(small)).collect()[0]
     assert out["note"] == models.CV_TOO_SMALL and out["mean_silhouette"] is None
     from cohortlens.operators import rules
-    feats = _features(spark, 30)
+    feats = clients(spark, 30)
     seg = rules.assign_rule_segments(feats, rules.derive_rule_thresholds(feats))
     per = seg.groupBy("customer_id").count().where("count <> 1").count()
     assert per == 0 and seg.count() == 30

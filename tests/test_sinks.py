@@ -55,3 +55,10 @@ def test_generated_memory_id_is_one_id(spark):
     saved = mem.save(spark.createDataFrame([(None, "u", None, "query", {"a": "b"}, {}, {}, True, None, [], [])], schema), as_of="2025-01-01 00:00:00")
     stored, audit = saved["stored"].first(), saved["audit"].first()
     assert stored["memory_id"] and json.loads(stored["payload"])["memory_id"] == stored["memory_id"] == json.loads(audit["detail"])["memory_id"]
+
+
+def test_a_retried_append_does_not_repeat_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "u"), ("m2", "v")], "memory_id string, user_id string")
+    for batch in ("1", "1", "2"):
+        sinks.append_memories({"stored": rows, "audit": rows.limit(1)}, str(tmp_path / "m"), str(tmp_path / "a"), batch)
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 4 and spark.read.parquet(str(tmp_path / "a")).count() == 2
