@@ -45,10 +45,12 @@ def test_approximate_options_stay_close(spark):
     from cohortlens.operators import features, rules
     from tests.test_features import frames
 
-    fr = frames(spark)
+    # an odd number of payments: the median is one of them, interpolated or not
+    payments = [("odin", f"2024-05-0{i}", v, i) for i, v in enumerate((9.0, 2.0, 4.0, 7.5, 3.0), 1)]
+    fr = frames(spark, [("odin", "2024-05-06", 150.0, 1)], payments)
     exact = {r["customer_id"]: r["median_transaction_amount"] for r in features.build_customer_features(fr).collect()}
     approx = {r["customer_id"]: r["median_transaction_amount"] for r in features.build_customer_features(fr, approx_median=True).collect()}
-    assert exact == approx
+    assert exact == approx and exact["odin"] == 4.0
     feats = features.build_customer_features(fr)
     a = rules.derive_rule_thresholds(feats.withColumn("split", F.lit("train")), approx=True).collect()[0]
     assert a["priority_balance_threshold"] == 150.0 and a["fit_split"] == "train"
