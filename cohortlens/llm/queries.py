@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import conversation_repair, decontam, exact_dedup, lexical_search, near_dedup, secrets, sentence_pieces, sharding, substring_dedup, token_counts, token_output, toxicity, warc_zip
 from .common import scratch_path, table
+from .oracle_sql import SQL
+
+__all__ = ["QUERIES", "SQL", "piece_model"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,37 +103,3 @@ QUERIES: dict[str, Query] = {
         op10_exact_dedup, op11_lexical_search, op12_token_counts, op13_conversation_repair,
     )
 }
-
-# DuckDB SQL of the same results, where SQL can express them over whole tables.
-_EQUAL_TEXT = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
-SQL: dict[str, str] = {
-    "op10_exact_dedup": f"""
-        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, sha256({_EQUAL_TEXT}) AS text_sha256 FROM documents)
-        SELECT doc_id,
-               first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id NULLS LAST) AS keep_id,
-               count(*) OVER (PARTITION BY text_sha256) AS group_size,
-               doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id NULLS LAST) AS kept,
-               text_sha256
-        FROM d""",    "op11_lexical_search": r"""
-        WITH d AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS r
-            FROM documents),
-        q AS (
-            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
-            FROM benchmark),
-        size AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
-        tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
-        w AS (
-            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
-            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
-        impact AS (
-            SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) AS impact
-            FROM tf JOIN w USING (term), size),
-        asked AS (SELECT item_id, unnest(terms) AS term FROM q),
-        scored AS (SELECT item_id, r, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY ALL)
-        SELECT item_id, rank::INT AS rank, doc_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored WHERE score > 0)
-        WHERE rank <= 10""",
-}
