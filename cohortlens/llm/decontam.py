@@ -6,8 +6,9 @@ task hashes every window of a document's words by each gram length, looks the ha
 and verifies each hit word by word. Covered words are marked; a document is contaminated
 when at least 5 % of its words are.
 
-The broadcast has a size bound: items are taken in blocks of at most ``block_bytes`` of
-text. One block is a single map-only pass; more blocks are further map-only passes, each
+The broadcast has a size bound: items are taken in blocks of about ``block_bytes`` of text at
+most, and the index is flat arrays: a word and the gram that begins with it take 20 bytes beside the
+text itself, so at most 11 bytes a byte of text (words of one letter). One block is a single map-only pass; more blocks are further map-only passes, each
 adding its spans to the row, so a benchmark of any size works and no document is shuffled.
 
 Defined cases: a null or wordless document has no words and is clean; a null or wordless
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from .common import cut_lineage, free_name, ngram_hashes, slices, word_hashes
 
 WORDS_PER_GRAM = 13
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 SHARE = 20  # contaminated when SHARE * hit words >= words
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -42,35 +44,69 @@ def benchmark_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_NORMAL).split() if text else []
 
 
-def gram_index(items: list[tuple], n: int = WORDS_PER_GRAM) -> dict[int, tuple[np.ndarray, list]]:
-    """Grams of one block of items: per gram length the sorted hashes, and beside each the
-    distinct grams of that hash with the items that hold them (plain data, for a broadcast)."""
-    found: dict[tuple, set] = {}
-    for item_id, text in items:
-        words = benchmark_words(text)
-        for at in range(max(1, len(words) - n + 1) if words else 0):
-            found.setdefault(tuple(words[at:at + n]), set()).add(item_id)
-    by_hash: dict[int, dict[int, list]] = {}
-    for gram, ids in found.items():
-        code = int(ngram_hashes(word_hashes(list(gram)), len(gram))[0])
-        by_hash.setdefault(len(gram), {}).setdefault(code, []).append((gram, sorted(ids, key=str)))
-    return {size: (np.array(sorted(codes), np.uint64), [codes[c] for c in sorted(codes)]) for size, codes in by_hash.items()}
+@dataclass(frozen=True)
+class GramIndex:
+    """Grams of one block of items in flat arrays. ``blob`` holds the items' words, one blank apart;
+    word ``w`` begins at byte ``starts[w]``. Per gram length, ``grams`` has the sorted hashes and
+    beside each the number of its item and its first word."""
+
+    ids: list
+    blob: bytes
+    starts: np.ndarray
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def words_at(self, first: int, size: int) -> bytes:
+        return self.blob[self.starts[first]:self.starts[first + size] - 1]
 
 
-def find_spans(index: dict[int, tuple[np.ndarray, list]], words: list[bytes]) -> list[tuple[int, int, list]]:
+def gram_index(items: list[tuple], n: int = WORDS_PER_GRAM) -> GramIndex:
+    """Index of (item_id, text) rows. A gram that an item repeats is held once for it."""
+    ids, blobs, lengths, found, first = [], [], [], {}, 0
+    for item_id, text in items:
+        words = benchmark_words(text)
+        if not words:
+            continue
+        size = min(n, len(words))
+        codes = ngram_hashes(word_hashes(words), size)
+        found.setdefault(size, []).append((codes, np.full(len(codes), len(ids), np.uint32), np.arange(first, first + len(codes), dtype=np.uint32)))
+        ids.append(item_id)
+        blobs.append(b" ".join(words))
+        lengths.append(np.fromiter(map(len, words), np.uint32, len(words)))
+        first += len(words)
+    starts = np.zeros(first + 1, np.uint32)
+    if first:
+        np.cumsum(np.concatenate(lengths) + np.uint32(1), out=starts[1:])
+    index = GramIndex(ids, b" ".join(blobs), starts, {})
+    for size in list(found):
+        codes, item, at = (np.concatenate(c) for c in zip(*found.pop(size)))
+        order = np.lexsort((item, codes))
+        codes, item, at = codes[order], item[order], at[order]
+        keep, last = np.ones(len(codes), bool), -1
+        for i in (np.flatnonzero((codes[1:] == codes[:-1]) & (item[1:] == item[:-1])) + 1).tolist():
+            last = last if last >= 0 and codes[last] == codes[i] and item[last] == item[i] else i - 1
+            keep[i] = index.words_at(at[last], size) != index.words_at(at[i], size)
+        index.grams[size] = codes[keep], item[keep], at[keep]
+    return index
+
+
+def find_spans(index: GramIndex, words: list[bytes]) -> list[tuple[int, int, list]]:
     """Verified occurrences in a document as (first word, end, items)."""
     out = []
     hashes = word_hashes(words)
-    for size, (codes, grams) in index.items():
+    for size, (codes, item, first) in index.grams.items():
         windows = ngram_hashes(hashes, size)
         if not len(windows):
             continue
-        at = np.searchsorted(codes, windows)
-        at[at == len(codes)] = 0
-        for start in np.flatnonzero(codes[at] == windows).tolist():
-            for gram, ids in grams[at[start]]:
-                if tuple(words[start:start + size]) == gram:
-                    out.append((start, start + size, ids))
+        low = np.searchsorted(codes, windows)
+        low[low == len(codes)] = 0
+        hits, known = np.flatnonzero(codes[low] == windows), {}
+        high = np.searchsorted(codes, windows[hits], "right")
+        for start, a, b in zip(hits.tolist(), low[hits].tolist(), high.tolist()):
+            gram = b" ".join(words[start:start + size])
+            if gram not in known:
+                known[gram] = [index.ids[i] for i, w in zip(item[a:b].tolist(), first[a:b].tolist()) if index.words_at(w, size) == gram]
+            if known[gram]:
+                out.append((start, start + size, known[gram]))
     return out
 
 
