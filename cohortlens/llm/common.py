@@ -35,9 +35,9 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores appended until ``df`` has no such column (Spark ignores case)."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame | list[str], name: str) -> str:
+    """``name``, with underscores appended until ``df`` (or a list of column names) has no such column (Spark ignores case)."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
     while name.lower() in taken:
         name += "_"
     return name

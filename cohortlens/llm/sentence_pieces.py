@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import free_name, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -143,12 +143,13 @@ def load_model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", check: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array of piece ids). ``check`` also decodes every document and
-    adds ``decoded_ok``: whether that gives the normalised text back."""
+    """``docs`` with ``ids`` (array of piece ids) in place of a column of that name. ``check`` also
+    decodes every document and adds ``decoded_ok``: whether that gives the normalised text back.
+    Columns that differ from these in case only stay; the new ones then end in an underscore."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded_ok", T.BooleanType())] * check
-    clash = {f.name for f in added}
-    keep = [c for c in docs.columns if c not in clash]
+    wanted = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded_ok": T.BooleanType()} if check else {})
+    keep = [c for c in docs.columns if c not in wanted]
+    added = [T.StructField(free_name(keep, c), kind) for c, kind in wanted.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, memo = PieceModel(shared.value), {}
@@ -171,9 +172,10 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", check: bool = Fals
 
 
 def decode(coded: DataFrame, model: bytes, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its piece ids (null ids: null)."""
+    """``coded`` with the text of its piece ids (null ids: null), named as ``encode`` names its columns."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in coded.columns if c != column]
+    column = free_name(keep, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel(shared.value)
