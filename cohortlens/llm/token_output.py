@@ -14,7 +14,8 @@ global running sum. Parquet and Spark's commit make a lost executor's part re-wr
 
 Speed comes from a memo in front of the library: at a single blank or line break between
 other characters the byte-level pre-tokeniser always starts a new piece, so the parts of a
-text between them are encoded independently and each distinct part once per task. Texts
+text between them are encoded independently. A Python worker keeps its memo, of bounded size, from
+task to task; a lost or new worker starts afresh. Texts
 with other white space, and other kinds of tokenizers, go to the library whole; both ways
 give the library's ids.
 
@@ -26,18 +27,20 @@ from __future__ import annotations
 import json
 import os
 import string
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, slices
 
-MEMO_PARTS = 400_000  # distinct parts remembered per task
+MEMO_PARTS = 400_000  # distinct parts remembered per Python worker
 
 # White space other than the single blank or line break between two other characters
 # (Unicode White_Space and the ASCII separators), and NUL, which marks text starts here.
@@ -141,6 +144,7 @@ class MemoEncoder:
         if len(self.memo) > self.limit:
             self.memo.clear()
             self.stems.clear()
+            self.tails = {"": b""}
         self._learn([p for p in distinct if p not in self.memo])
         known = [self.memo[p] for p in distinct]
         raw = list(map(known.__getitem__, index))
@@ -148,6 +152,16 @@ class MemoEncoder:
         return [b"".join(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def kept_encoder(tokenizer_json: str, dtype: str) -> MemoEncoder:
+    """The encoder that this Python worker keeps from task to task."""
+    kept = sys.__dict__.setdefault("_kept_memo_encoders", {})
+    name = (xxhash.xxh3_128_hexdigest(tokenizer_json), dtype)
+    if name not in kept:
+        kept.clear()  # one tokenizer at a time
+        kept[name] = MemoEncoder(tokenizer_json, dtype)
+    return kept[name]
+
+
 def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and the ids (end id appended) as zstd-compressed integers."""
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -155,7 +169,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, vocabula
     end = np.array([end_id], dtype).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = MemoEncoder(shared.value, dtype), zstandard.ZstdCompressor(level=3)
+        encoder, pack = kept_encoder(shared.value, dtype), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = [b + end for b in encoder.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([
