@@ -546,7 +546,7 @@ import uuid  # noqa: E402
 
 from ..functions import parsing  # noqa: E402
 from ..sources import memory_store, sinks  # noqa: E402
-from . import report  # noqa: E402
+from . import preparation, report  # noqa: E402
 
 
 def _scratch(spark, kind: str) -> str:
@@ -609,6 +609,26 @@ def q_split_files(spark, sf_dir):
     return spark.read.json(f"{path}-manifest").select("split", "rows", "customers")
 
 
+def _prepared(spark, sf_dir) -> str:
+    """The raw rows as a CSV export, prepared in one call."""
+    source = _scratch(spark, "export") + "/rows.csv"
+    bindings.raw_bank_rows(spark, sf_dir).write.option("header", True).option("escape", '"').csv(source)
+    return preparation.prepare(spark, source, _scratch(spark, "preparation"))
+
+
+@register("prepared_manifest")
+def q_prepared_manifest(spark, sf_dir):
+    """Rows and customers of each split, with seed and unit, from the job's manifest."""
+    return preparation.read_manifest(spark, _prepared(spark, sf_dir)).select("split", "rows", "customers", "seed", "split_unit")
+
+
+@register("prepared_customers")
+def q_prepared_customers(spark, sf_dir):
+    """Every customer's split and rows, from the split files."""
+    rows = preparation.read_prepared(spark, _prepared(spark, sf_dir))
+    return rows.groupBy("CustomerID", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("memory_store")
 def q_memory_store(spark, sf_dir):
     """Two appends, one of them retried, and a forget on a versioned store: what each user has left."""

@@ -762,6 +762,23 @@ ORACLE["segment_files"] = f"SELECT segment, count(*) AS customers, min(customer_
 
 ORACLE["split_files"] = ORACLE["split_manifest"]
 
+_PREPARED = f"""
+r AS (SELECT CAST(c_custkey AS VARCHAR) AS cid FROM orders JOIN customer ON o_custkey = c_custkey),
+ids AS (SELECT DISTINCT cid FROM r WHERE cid IS NOT NULL),
+placed AS (SELECT cid, row_number() OVER (ORDER BY md5('{SEED}:' || cid), cid) - 1 AS pos, round_even(count(*) OVER () * 0.2, 0) AS nt,
+                  round_even(count(*) OVER () * 0.15, 0) AS nv FROM ids),
+prep AS (SELECT r.cid, CASE WHEN r.cid IS NULL THEN 'rejected' WHEN pos < nt THEN 'test' WHEN pos < nt + nv THEN 'validation' ELSE 'train' END AS split
+         FROM r LEFT JOIN placed ON placed.cid = r.cid)"""
+
+ORACLE["prepared_manifest"] = "WITH " + _PREPARED + f"""
+SELECT coalesce(split, 'total') AS split, count(*) AS rows, count(DISTINCT cid) AS customers, CAST({SEED} AS BIGINT) AS seed, 'CustomerID' AS split_unit
+FROM prep GROUP BY ROLLUP (split)
+"""
+
+ORACLE["prepared_customers"] = "WITH " + _PREPARED + """
+SELECT cid AS "CustomerID", split, count(*) AS rows FROM prep GROUP BY 1, 2
+"""
+
 ORACLE["memory_store"] = "WITH " + MEMORY + "," + FORGET + """,
 stored AS (SELECT user_id, count(*) AS n FROM mem_ok GROUP BY 1)
 SELECT user_id, CASE WHEN fd.user_id IS NULL THEN n ELSE 0 END AS memories, coalesce(deleted_memory_count, 0)::BIGINT AS deleted
