@@ -7,7 +7,8 @@ Layout under one folder (any Hadoop file system)::
 
 Data files are never changed or overwritten. A write puts its rows into a new data folder and
 then commits the next version; a version counts once Spark has marked it complete, so a job
-that dies leaves the store as it was. An append carries a batch key: repeating it (a retried
+that dies leaves the store as it was. A write of no rows leaves one empty file in ``bucket=-1``, so
+that a store that was emptied still reads, with its columns. An append carries a batch key: repeating it (a retried
 batch) changes nothing. A forget rewrites only the buckets of the named users; the files of all
 other buckets stay as they are. Two writers that commit the same version number collide and
 one of them fails.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .contract import list_names, path_kind
 
 BUCKETS = 64
+EMPTY = -1  # bucket of a write without rows
 
 
 class MemoryStore:
@@ -50,10 +52,13 @@ class MemoryStore:
         rows.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/v{version}.parquet")
 
     def _write(self, rows: DataFrame, batch: str) -> list[tuple[str, int]]:
-        """Rows into a data folder of their own; its buckets."""
+        """Rows into a data folder of their own; its buckets (without rows: ``EMPTY``)."""
         target = f"{self.path}/data/batch={batch}"
         rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-        return [(batch, r["bucket"]) for r in self.spark.read.parquet(target).select("bucket").distinct().collect()] if self._any(target) else []
+        if self._any(target):
+            return [(batch, r["bucket"]) for r in self.spark.read.parquet(target).select("bucket").distinct().collect()]
+        self.spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(f"{target}/bucket={EMPTY}")
+        return [(batch, EMPTY)]
 
     def _any(self, target: str) -> bool:
         return any(n.startswith("bucket=") for n in folder_names(self.spark, target))
@@ -63,18 +68,24 @@ class MemoryStore:
 
     # ------------------------------------------------------------ reads and writes
     def read(self, users: DataFrame | None = None, version: int | None = None) -> DataFrame:
-        """Rows of a version; with ``users`` only theirs, from their buckets' files."""
-        pairs = [(r["batch"], r["bucket"]) for r in self.live(version).collect()]  # batches x buckets at most
+        """Rows of a version; with ``users`` only theirs, from their buckets' files. A version without
+        such rows gives none, with the store's columns; a store without a version is an error."""
+        live = [(r["batch"], r["bucket"]) for r in self.live(version).collect()]  # batches x buckets at most
+        if not live:
+            raise FileNotFoundError(f"{self.path} holds no version for this reading")
+        pairs = [p for p in live if p[1] != EMPTY]
         if users is not None:
             names = users.select(F.col("user_id").cast("string").alias("user_id")).distinct()
             wanted = {r[0] for r in names.select(self.bucket()).distinct().collect()}
             pairs = [p for p in pairs if p[1] in wanted]
-        if not pairs:
-            raise FileNotFoundError(f"{self.path} holds no rows for this reading")
-        paths = [f"{self.path}/data/batch={b}/bucket={n}" for b, n in pairs]
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).drop("batch", "bucket")
+        rows = self._rows(pairs or live[:1])
+        rows = rows if pairs else rows.limit(0)
         return rows if users is None else rows.join(names, "user_id", "left_semi")
 
+    def _rows(self, pairs: list[tuple[str, int]]) -> DataFrame:
+        paths = [f"{self.path}/data/batch={b}/bucket={n}" for b, n in pairs]
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).drop("batch", "bucket")
+
     def append(self, rows: DataFrame, batch_key: str) -> bool:
         """Add rows (user_id and any further columns) under a batch key; False if it is there already."""
         batch = "append-" + re.sub(r"[^A-Za-z0-9_-]", "_", batch_key)
@@ -83,7 +94,7 @@ class MemoryStore:
         applied = {r["batch"] for r in self._applied(version).collect()}
         if batch in applied:
             return False
-        self._commit(pairs + (self._write(rows, batch) or [(batch, -1)]), version + 1)
+        self._commit(pairs + self._write(rows, batch), version + 1)
         return True
 
     def _applied(self, version: int) -> DataFrame:
@@ -102,7 +113,7 @@ class MemoryStore:
         old = [p for p in pairs if p[1] in touched]
         if not old:
             return names.withColumn("deleted_memory_count", F.lit(0).cast("bigint"))
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/batch={b}/bucket={n}" for b, n in old]).drop("batch", "bucket")
+        rows = self._rows(old)
         counts = rows.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
         kept = self._write(rows.join(names, "user_id", "left_anti"), f"forget-{uuid.uuid4().hex}")
         self._commit([p for p in pairs if p[1] not in touched] + kept, version + 1)

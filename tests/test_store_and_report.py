@@ -33,6 +33,21 @@ def test_an_unfinished_version_does_not_count(spark, tmp_path):
     assert store.version() == 1 and store.read().count() == 1
 
 
+def test_an_emptied_store_reads_as_no_rows(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "m"))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    rows = spark.createDataFrame([("u", 1), ("v", 2), (None, 3)], "user_id string, memory_id int")
+    users = lambda *names: spark.createDataFrame([(n,) for n in names], "user_id string")
+    assert store.append(rows.limit(0), "none") and store.read().columns == rows.columns and store.read().count() == 0
+    assert store.append(rows.where("user_id IS NOT NULL"), "a") and store.read().count() == 2
+    assert store.read(users("nobody at all")).count() == 0
+    assert sorted(map(tuple, store.forget(users("u", "v")).collect())) == [("u", 1), ("v", 1)]
+    assert store.read().count() == 0 and store.read().columns == rows.columns and store.read(users("u")).count() == 0
+    assert sorted(map(tuple, store.forget(users("u")).collect())) == [("u", 0)]
+    assert store.append(rows, "b") and store.read().count() == 3
+
+
 def test_a_run_is_committed_whole(spark, tmp_path, monkeypatch):
     run = SegmentationRun(bindings.binding_a(spark, "/root/testdata/sf0.001"))
     out = str(tmp_path / "out")
