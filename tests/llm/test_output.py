@@ -68,6 +68,36 @@ def test_memo_gives_the_library_s_ids():
             assert np.frombuffer(raw, "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_common_parts_are_learnt_once_though_the_memo_overflows(monkeypatch):
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_output.MemoEncoder(f.read(), "<u2", limit=60)
+    learnt, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda parts: (learnt.extend(parts), learn(parts))[1])
+    rng = random.Random(1)
+    for _ in range(20):
+        rare = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(40)]
+        encoder.encode(pa.array([f"x the of, and\nor {' '.join(rare)}"]))
+    assert [learnt.count(p) for p in ("the", "of,", "and", "\nor")] == [1, 1, 1, 1]
+
+
+def test_many_pieces_in_one_call_of_the_model():
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    encoder = token_output.MemoEncoder(text, "<u2")
+    rng = random.Random(2)
+    pieces = [" " + "".join(rng.choices("aeiounthsé漢ß", k=rng.randint(1, 40))) for _ in range(450)]
+    spec = json.loads(text)
+    spec["model"]["ignore_merges"] = True  # whole words first: pieces go to the model one by one
+    for encoder in (encoder, token_output.MemoEncoder(json.dumps(spec), "<u2")):
+        one_by_one = [[t.id for t in encoder.tokenizer.model.tokenize(encoder._mapped(p))] for p in pieces]
+        assert [np.frombuffer(raw, "<u2").tolist() for raw in encoder._model(pieces)] == one_by_one
+    assert token_output.MemoEncoder(text, "<u2").mark and not encoder.mark
+
+
 # ---------------------------------------------------------------- shards
 def md5_key(i) -> int:
     import hashlib
