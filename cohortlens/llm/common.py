@@ -58,7 +58,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of every word."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -59,8 +59,15 @@ def window_anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarr
     width = window - gram + 1
     if len(grams) < width:
         return grams, np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    return grams, np.arange(len(view)) + view.argmin(1)
+    # least of 1, 2, 4, ... grams, then of ``width``; the right one only if less, so leftmost
+    least, at, size = grams, np.arange(len(grams)), 1
+    while size < width:
+        step = min(size, width - size)
+        right = least[step:] < least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        size += step
+    return grams, at
 
 
 # ---------------------------------------------------------------- the automaton
@@ -163,7 +170,7 @@ def anchor_rows(keyed: DataFrame, window: int, gram: int) -> DataFrame:
 def packed_texts(keyed: DataFrame) -> DataFrame:
     """(doc, th, packed): texts compressed before they are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=5)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary()),

@@ -118,3 +118,20 @@ def test_empty_tables(spark):
     assert exact_dedup.keep_first_copies(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_window_anchors_are_the_leftmost_least_grams():
+    import numpy as np
+    import xxhash
+
+    from cohortlens.llm.common import word_hashes
+    from cohortlens.llm.substring_dedup import window_anchors
+
+    words = [b"a", b"", "ü".encode(), b"word"]
+    assert word_hashes(words).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words] and len(word_hashes([])) == 0
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 6, 19, 20, 21, 60, 300):
+        for window, gram in ((20, 6), (7, 6), (6, 6), (13, 4)):
+            grams, at = window_anchors(rng.integers(0, 3, n).astype(np.uint64), window, gram)
+            width = window - gram + 1
+            assert at.tolist() == [i + int(np.argmin(grams[i:i + width])) for i in range(len(grams) - width + 1)]
