@@ -25,6 +25,12 @@ def test_exact_quantiles_light_and_heavy_paths_match_pandas(spark):
     assert abs(glob - pdf["v"].dropna().quantile(0.5)) < 1e-9
 
 
+def test_group_without_a_key_stays_beside_a_heavy_group(spark):
+    rows = [("hot", float(v)) for v in range(40)] + [(None, 1.0), (None, 3.0), ("cold", 7.0)]
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", {"m": 0.5}, ["g"], light_distinct=5, buckets=4)
+    assert {r["g"]: r["m"] for r in got.collect()} == {"hot": 19.5, None: 2.0, "cold": 7.0}
+
+
 def test_weighted_and_empty_global(spark):
     df = spark.createDataFrame([(1.0, 3), (5.0, 1)], "v double, w bigint")
     assert exact_quantiles(df, "v", {"m": 0.5}, weight_col="w").collect()[0]["m"] == 1.0
