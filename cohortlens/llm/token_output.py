@@ -43,6 +43,7 @@ from .common import cut_lineage, slices
 
 MEMO_PARTS = 500_000  # distinct parts in each of the two memos of a Python worker
 BATCH_BYTES = 8_000_000  # text that is encoded at once
+TOGETHER = 64  # documents whose ids are coded or decoded at once
 
 # White space other than the single blank or line break between two other characters
 # (Unicode White_Space and the ASCII separators), and NUL, which marks text starts here.
@@ -122,39 +123,43 @@ class MemoEncoder:
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
     def _learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of new parts. A part follows a blank, starts with a line break, or (behind
-        ``START``) starts a text; only the first kind is encoded with its blank."""
-        marks, library, plain, stems, tailed = string.punctuation, [], [], [], []
-        for at, part in enumerate(parts):
-            stem = part.rstrip(marks)
-            if stem.isalpha():
-                stems.append(" " + stem)
-            elif part[0] in "\0\n" and stem.lstrip("\0\n").isalpha() and (part[0] == "\n" or part.startswith(START)):
-                stems.append(stem.lstrip("\0\n"))
-            else:
-                library.append(at)
-                continue
-            plain.append(at)
-            if len(stem) < len(part):
-                tailed.append((at, part[len(stem):]))
-        out: list[bytes] = [b""] * len(parts)
-        for at, raw in zip(plain, self._model(stems)):
-            out[at] = self._line() + raw if parts[at][0] == "\n" else raw
+        """Ids of new parts. A part follows a blank, starts with a line break, or (behind ``START``)
+        starts a text; only the first kind is encoded with its blank. What lies between its lead and
+        its punctuation often repeats in other parts and goes to the model once."""
+        texts = pa.array(parts, pa.string())
+        begins, line = (pc.starts_with(texts, mark).to_numpy(zero_copy_only=False) for mark in (START, "\n"))
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[:len(texts) + 1].astype(np.int64)
+        starts, ends = bounds[:-1] + begins * len(START), bounds[1:]
+        stem_ends = bounds[:-1] + pc.binary_length(pc.utf8_rtrim(texts, characters=string.punctuation)).to_numpy()
+        stems = cut_strings(texts, starts + line, np.maximum(stem_ends, starts + line))
+        plain = pc.ascii_is_alpha(stems).to_numpy(zero_copy_only=False)
+        foreign = np.flatnonzero(~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False))
+        plain[foreign] = [s.isalpha() for s in stems.take(pa.array(foreign)).to_pylist()]
+        # plain parts are cut into lead, letters and punctuation, others go to the library whole
+        bodies = cut_strings(texts, np.where(plain, starts + line, starts), np.where(plain, stem_ends, ends))
+        coded = pc.if_else(pa.array(begins | line), bodies, pc.binary_join_element_wise(" ", bodies, "")).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False)
+        to_model = np.zeros(len(pieces), bool)
+        to_model[coded.indices.to_numpy()] = plain
+        learnt = np.empty(len(pieces), object)
+        for chosen, learner in ((to_model, self._model), (~to_model, self._library)):
+            learnt[chosen] = as_objects(learner(pieces[chosen].tolist()))
+        tails = cut_strings(texts, np.where(plain, stem_ends, ends), ends).dictionary_encode()
+        binary = pa.large_binary()
+        none = pa.scalar(b"", binary)
+        breaks = pc.if_else(pa.array(line & plain), pa.scalar(self._tail_ids(["\n"])[0], binary), none)
+        tail_ids = pa.array(self._tail_ids(tails.dictionary.to_pylist()), binary).take(tails.indices)
+        return pc.binary_join_element_wise(breaks, pa.array(learnt, binary).take(coded.indices), tail_ids, none).to_numpy(zero_copy_only=False).tolist()
+
+    def _tail_ids(self, tails: list[str]) -> list[bytes]:
+        """Ids of runs of ASCII punctuation and of the line break."""
         if len(self.tails) > self.limit:
             self.tails = {"": b""}
-        new = list({tail for _, tail in tailed} - self.tails.keys())
+        new = [t for t in tails if t not in self.tails and t != "\n"]
         self.tails.update(zip(new, self._model(new)))
-        for at, tail in tailed:
-            out[at] += self.tails[tail]
-        bodies = [p[2:] if p.startswith(START) else p if p[0] == "\n" else " " + p for p in (parts[at] for at in library)]
-        for at, raw in zip(library, self._library(bodies)):
-            out[at] = raw
-        return out
-
-    def _line(self) -> bytes:
         if "\n" not in self.tails:
             self.tails["\n"] = self._library(["\n"])[0]
-        return self.tails["\n"]
+        return [self.tails[t] for t in tails]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none)."""
@@ -184,21 +189,36 @@ class MemoEncoder:
             known[i] = raw
         if len(self.memo) + len(missing) > self.limit:
             self.earlier, self.memo = self.memo, {}
-        self.memo.update([(parts[i], known[i]) for i in missing])
+        self.memo.update(zip(map(parts.__getitem__, missing), map(known.__getitem__, missing)))
         return known
 
     def _by_parts(self, texts: pa.Array) -> list[bytes]:
         marked = pc.replace_substring(pc.binary_join_element_wise(START, texts, ""), "\n", " \n")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # far faster than to_pylist
-        at = pc.take(pa.array(list(map(len, known)), pa.int64()), coded.indices).to_numpy()
+        known = pa.array(self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())  # far faster than to_pylist
+        at = pc.take(pc.binary_length(known), coded.indices).to_numpy()
         ends = np.concatenate([[0], np.cumsum(at)])
         cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
-        raw = memoryview(pa.array(known, pa.large_binary()).take(coded.indices).buffers()[2] or b"")  # the parts' ids in a row
+        raw = memoryview(known.take(coded.indices).buffers()[2] or b"")  # the parts' ids in a row
         return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def as_objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def cut_strings(texts: pa.Array, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of a string array's data from each start to its end, as strings."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    taken = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)]
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken)])
+
+
 def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches put together until they hold ``size`` bytes: parts repeat more within them."""
     held, n = [], 0
@@ -262,27 +282,41 @@ def token_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 LENGTHS = np.array([[((control >> shift) & 3) + 1 for shift in (0, 2, 4, 6)] for control in range(256)], np.int64)
 
 
-def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
+def _in_fours(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes of each document, and where its values lie when every document begins a new control byte."""
+    fours = -(-counts // 4)
+    ahead = 4 * (np.cumsum(fours) - fours) - (np.cumsum(counts) - counts)
+    return fours, np.arange(counts.sum()) + np.repeat(ahead, counts)
+
+
+def vbyte_encode_many(values: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control, data) of each document; ``values`` holds ``counts`` unsigned 32-bit values of one after the other."""
     values = np.ascontiguousarray(values, "<u4")
-    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
+    fours, places = _in_fours(counts)
+    code = np.zeros(len(values), np.uint8)
     widest = int(values.max()) if len(values) else 0
     for limit in (0xFF, 0xFFFF, 0xFFFFFF):
         if widest > limit:
-            code[:len(values)] += values > limit
-    a, b, c, d = code.reshape(-1, 4).T
-    control = a | b << 2 | c << 4 | d << 6
+            code += values > limit
+    padded = np.zeros(4 * int(fours.sum()), np.uint8)
+    padded[places] = code
+    a, b, c, d = padded.reshape(-1, 4).T
+    control = (a | b << 2 | c << 4 | d << 6).tobytes()
     columns = int(code.max(initial=0)) + 1
-    used = np.arange(columns, dtype=np.uint8) <= code[:len(values), None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :columns][used].tobytes()
+    used = np.arange(columns, dtype=np.uint8) <= code[:, None]
+    data = values.view(np.uint8).reshape(-1, 4)[:, :columns][used].tobytes()
+    control_ends = np.cumsum(fours).tolist()
+    data_ends = np.concatenate([[0], np.cumsum(code + np.int64(1))])[np.cumsum(counts)].tolist()
+    return [(control[a:b], data[c:d]) for a, b, c, d in zip([0, *control_ends], control_ends, [0, *data_ends], data_ends)]
 
 
-def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` values of (control, data)."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def vbyte_decode_many(controls: list[bytes], datas: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The ``counts`` values of each (control, data), one document after the other."""
+    _, places = _in_fours(counts)
+    lengths = LENGTHS[np.frombuffer(b"".join(controls), np.uint8)].reshape(-1)[places]
     ends = np.cumsum(lengths)
-    raw = np.frombuffer(data, np.uint8)
-    if n and ends[-1] != len(raw):
+    raw = np.frombuffer(b"".join(datas), np.uint8)
+    if not np.array_equal(np.concatenate([[0], ends])[np.cumsum(counts)], np.cumsum([len(d) for d in datas])):
         raise ValueError("control and data bytes disagree")
     starts = ends - lengths
     values = raw[starts].astype(np.uint32)
@@ -294,6 +328,16 @@ def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
+def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of unsigned 32-bit values."""
+    return vbyte_encode_many(values, np.array([len(values)]))[0]
+
+
+def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The ``n`` values of (control, data)."""
+    return vbyte_decode_many([control], [data], np.array([n]))
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text",
 ) -> None:
@@ -315,9 +359,10 @@ def write_token_files(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, unpack, at = shared.value, zstandard.ZstdDecompressor(), 0
-        for batch in slices(batches):
-            pairs = [vbyte_encode(ranks[np.frombuffer(unpack.decompress(b), dtype)]) for b in batch.column(2).to_pylist()]
+        for batch in slices(batches, TOGETHER):
             sizes = np.array(batch.column(1).to_pylist(), np.int64)
+            ids = np.frombuffer(b"".join(unpack.decompress(b) for b in batch.column(2).to_pylist()), dtype)
+            pairs = vbyte_encode_many(ranks[ids], sizes)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([
@@ -344,9 +389,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank = shared.value
-        for batch in slices(batches):
-            columns = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_pylist())
-            ids = [by_rank[vbyte_decode(c, d, n)].tobytes() for c, d, n in columns]
+        for batch in slices(batches, TOGETHER):
+            sizes = np.array(batch.column(2).to_pylist(), np.int64)
+            raw = by_rank[vbyte_decode_many(batch.column(3).to_pylist(), batch.column(4).to_pylist(), sizes)].tobytes()
+            ends = (4 * np.cumsum(sizes)).tolist()
+            ids = [raw[a:b] for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     kind = coded.schema["doc_id"].dataType.simpleString()

@@ -53,6 +53,33 @@ def test_variable_bytes():
         token_output.vbyte_decode(control, data[:-1], 4)
 
 
+def test_many_documents_are_coded_at_once():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, top, n) for n, top in ((0, 1), (5, 200), (4, 70_000), (1, 1 << 25), (0, 1), (9, 300))]
+    counts = np.array([len(d) for d in docs])
+    pairs = token_output.vbyte_encode_many(np.concatenate(docs), counts)
+    assert pairs == [token_output.vbyte_encode(d) for d in docs]
+    controls, datas = map(list, zip(*pairs))
+    assert (token_output.vbyte_decode_many(controls, datas, counts) == np.concatenate(docs)).all()
+    datas[1], datas[2] = datas[1] + datas[2][:1], datas[2][1:]
+    with pytest.raises(ValueError):
+        token_output.vbyte_decode_many(controls, datas, counts)
+
+
+def test_letters_of_many_parts_go_to_the_model_once(monkeypatch):
+    import pyarrow as pa
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    with open(file, encoding="utf-8") as f:
+        encoder = token_output.MemoEncoder(f.read(), "<u2")
+    asked, model = [], encoder._model
+    monkeypatch.setattr(encoder, "_model", lambda pieces: (asked.extend(pieces), model(pieces))[1])
+    text = "zorvik zorvik, (zorvik) zorvik. zorvik?!\nzorvik\nzorvik; élan élan, élan."
+    ids = Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(pa.array([text]))[0], "<u2").tolist() == ids
+    assert [asked.count(p) for p in (" zorvik", "zorvik", " élan")] == [1, 1, 1]
+
+
 def test_memo_gives_the_library_s_ids():
     import pyarrow as pa
 
