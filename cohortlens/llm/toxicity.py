@@ -92,24 +92,28 @@ class _Batch:
     term_starts: np.ndarray
 
     @classmethod
-    def of(cls, indices: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> _Batch:
-        filled, row_starts = np.unique(rows, return_index=True)
+    def of(cls, indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> _Batch:
+        filled = np.flatnonzero(lengths)
+        row_starts = (np.cumsum(lengths) - lengths)[filled]
         order = np.argsort(indices, kind="stable")
-        terms, term_starts = np.unique(indices[order], return_index=True)
+        by_term = indices[order]
+        term_starts = np.flatnonzero(np.append(True, by_term[1:] != by_term[:-1])[:len(by_term)])
+        terms = by_term[term_starts]
+        rows = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         return cls(labels, filled, indices, row_starts, terms, rows[order], term_starts)
 
 
-def _batches(indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> list[_Batch]:
-    """The rows dealt at random into batches of about ``BATCH_ROWS``."""
+def _batches(indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> list[_Batch]:
+    """The rows dealt at random into batches of about ``BATCH_ROWS``; besides the batches only one of them is held."""
     n = len(labels)
     count = max(1, round(n / BATCH_ROWS))
-    batch_of, place = rng.permutation(n) % count, np.empty(n, np.int32)
+    batch_of, starts = rng.permutation(n) % count, np.cumsum(lengths) - lengths
     out = []
     for b in range(count):
         own = np.flatnonzero(batch_of == b)
-        place[own] = np.arange(len(own))
-        at = np.flatnonzero(batch_of[rows] == b)
-        out.append(_Batch.of(indices[at], place[rows[at]], labels[own]))
+        sizes = lengths[own]
+        at = np.arange(sizes.sum()) + np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes)
+        out.append(_Batch.of(indices[at], sizes, labels[own]))
     return out
 
 
@@ -124,15 +128,20 @@ def _sums(table: np.ndarray, picks: np.ndarray, starts: np.ndarray, chunk: int =
     return out
 
 
-def _chi2(indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, m: int) -> np.ndarray:
-    """Chi-squared of each term's 2x2 counts."""
+def _chi2(indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, m: int) -> np.ndarray:
+    """Chi-squared of each term's 2x2 counts, which are taken some rows at a time."""
     n, p = len(labels), labels.sum()
-    seen, toxic = np.bincount(indices, minlength=m).astype(float), np.bincount(indices, labels[rows], m)
+    seen, toxic, ends = np.zeros(m), np.zeros(m), np.append(0, np.cumsum(lengths))
+    for at in range(0, n, BATCH_ROWS):
+        some = indices[ends[at]:ends[min(at + BATCH_ROWS, n)]]
+        seen += np.bincount(some, minlength=m)
+        toxic += np.bincount(some, np.repeat(labels[at:at + BATCH_ROWS], lengths[at:at + BATCH_ROWS]), m)
     return (toxic * n - seen * p) ** 2 * n / np.maximum(seen * (n - seen) * p * (n - p), 1.0)
 
 
-def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, labels: np.ndarray, steps: int = 250) -> FactorisationMachine:
-    """Adam on the logistic loss, over batches in turn; deterministic. ``rows`` is sorted. Linear
+def fit_machine(places: np.ndarray, indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = 250) -> FactorisationMachine:
+    """Adam on the logistic loss, over batches in turn; deterministic. ``indices`` holds the terms
+    of one row after the other, ``lengths`` their numbers; it is given up once dealt. Linear
     weights move faster than factors, so pairs explain what single terms do not. A term's linear
     weight is scaled by its own evidence, else many rare terms would fit noise; its factors are
     not. Factors move slower the more terms a row has."""
@@ -141,13 +150,14 @@ def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, label
     if n == 0 or share in (0.0, 1.0):
         return FactorisationMachine(places, 40.0 if share else -800.0, np.zeros(m), np.zeros((FACTORS, m)))
     rng = np.random.default_rng(7)
-    batches = _batches(indices, rows, labels, rng)
+    batches = _batches(indices, lengths, labels, rng)
     theta = np.zeros((m + 1, FACTORS + 1), np.float32)  # the last row is the bias; the first column has the weights
     theta[:m, 1:] = rng.normal(0, 0.02, (m, FACTORS))
     theta[m, 0] = np.log(share / (1 - share))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    scale = np.append(np.minimum(1.0, (_chi2(indices, rows, labels, m) / EVIDENCE) ** 2), 1.0).astype(np.float32)
+    scale = np.append(np.minimum(1.0, (_chi2(indices, lengths, labels, m) / EVIDENCE) ** 2), 1.0).astype(np.float32)
     rate = np.array([RATE] + [FACTOR_RATE / max(1.0, (len(indices) / n) ** 0.5)] * FACTORS, np.float32)
+    del indices
     penalty = np.array([L2] + [FACTOR_L2] * FACTORS, np.float32)
     for t in range(1, steps + 1):
         batch = batches[t % len(batches)]
@@ -167,8 +177,10 @@ def fit_machine(places: np.ndarray, indices: np.ndarray, rows: np.ndarray, label
         grad[m] = 0
         grad[batch.terms] += by_term / np.float32(size)
         grad[m, 0] = error.mean()
-        first = 0.9 * first + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad ** 2
+        first *= 0.9
+        first += 0.1 * grad
+        second *= 0.999
+        second += 0.001 * grad ** 2
         theta -= rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
     return FactorisationMachine(places, float(theta[m, 0]), theta[:m, 0] * scale[:m], theta[:m, 1:].T.copy())
 
@@ -221,14 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 picked.append(at.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.binary())], names=["label", "picked"])
 
+    def joined(got: list[tuple[int, bytes]]) -> np.ndarray:
+        raw = b"".join(b for _, b in got)
+        got.clear()
+        return np.frombuffer(raw, "<i4")
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        lengths = [len(b) // 4 for _, b in got]
-        rows = np.repeat(np.arange(len(got), dtype=np.int32), lengths)
-        indices = np.frombuffer(b"".join(b for _, b in got), "<i4")
+        lengths = np.array([len(b) // 4 for _, b in got], np.int64)
         truth = np.array([float(y > 0) for y, _ in got])
-        got.clear()
-        machine = fit_machine(shared.value, indices, rows, truth)
+        machine = fit_machine(shared.value, joined(got), lengths, truth)
         yield pa.RecordBatch.from_arrays([
             pa.array([machine.bias]), pa.array([machine.weights.astype("<f8").tobytes()], pa.binary()), pa.array([machine.factors.astype("<f8").tobytes()], pa.binary()),
         ], names=["bias", "weights", "factors"])
