@@ -152,8 +152,9 @@ def _candidates(decoded: DataFrame, as_of) -> DataFrame:
     )
 
 
-BLOCK_MEMORIES = 4096
-OPENED_FIRST = 2
+BLOCK_MEMORIES = 16_384
+PART_QUERIES = 16_384  # queries that one task asks a block
+DENSE = 32  # a token in one of so many memories of a block has a row of bytes there
 
 
 def _memory_blocks(cand: DataFrame, block_rows: int) -> DataFrame:
@@ -168,93 +169,127 @@ def _memory_blocks(cand: DataFrame, block_rows: int) -> DataFrame:
     return attach(hourly, places, ["user_id", "_hour"], "_n").withColumn("block", named).drop("_hour", "_n", "_at")
 
 
+class _BlockIndex:
+    """Inverted lists of one block of memories (recency, memory_id, tokens); those of frequent tokens
+    are rows of bytes, which add up fast."""
+
+    def __init__(self, rows: list[tuple]):
+        rows.sort(key=lambda r: (-r[0], r[1]))
+        self.ids, self.ages = [r[1] for r in rows], np.array([r[0] for r in rows])
+        lists: dict[str, list[int]] = {}
+        for at, (_, _, own) in enumerate(rows):
+            for word in own:
+                lists.setdefault(word, []).append(at)
+        self.rare, self.frequent = {}, {}
+        for word, own in lists.items():
+            if len(own) * DENSE < len(rows):
+                self.rare[word] = np.array(own, np.int32)
+            else:
+                self.frequent[word] = np.zeros(len(rows), np.uint8)
+                self.frequent[word][own] = 1
+
+    def best(self, words: list[str], limit: int, floor: float | None) -> list[tuple]:
+        """(memory_id, recency, shared tokens) of the best ``limit`` memories that share a token and score at least ``floor``."""
+        rare = [self.rare[w] for w in words if w in self.rare]
+        frequent = [self.frequent[w] for w in words if w in self.frequent]
+        least = 1.0 if floor is None else max(1.0, (floor - self.ages[0]) / 10 - 1e-6)
+        if len(rare) + len(frequent) < least:
+            return []
+        shared = np.bincount(np.concatenate(rare), minlength=len(self.ids)) if rare else np.zeros(len(self.ids), np.int64)
+        for at in range(0, len(frequent), 255):  # as many as a byte can count
+            some = frequent[at].copy()
+            for row in frequent[at + 1:at + 255]:
+                some += row
+            shared += some
+        near = np.flatnonzero(shared >= least)
+        if len(near) > limit:
+            at_least = np.cumsum(np.bincount(shared[near])[::-1])  # memories with the most shared tokens, with one less, ...
+            near = near[shared[near] >= shared[near].max() - np.searchsorted(at_least, limit)]
+        near = near[np.argsort(-shared[near], kind="stable")[:limit]]  # equal ones by age, then id
+        found = zip(near.tolist(), self.ages[near].tolist(), shared[near].tolist())
+        return [(self.ids[i], age, n) for i, age, n in found if floor is None or 10.0 * n + age >= floor]
+
+
 def _open_blocks(pairs: DataFrame, memories: DataFrame, limit: int) -> DataFrame:
     """query_id, memory_id, recency, overlap: the best ``limit`` memories with a shared token of each
-    pair (query_id, qt, block), from the block's inverted lists."""
+    pair (query_id, qt, block, part, floor) that score at least ``floor`` (null: any), from the block's
+    inverted lists. ``memories`` has a copy of a block for each of its parts."""
     empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    wanted = pairs.select("block").distinct()
-    held = memories.join(wanted, "block", "left_semi").select(
-        "block", F.lit(0).alias("kind"), empty(pairs.schema["query_id"].dataType, "query_id"), "memory_id", "recency", "mt")
-    asked = pairs.select("block", F.lit(1).alias("kind"), "query_id", empty("string", "memory_id"), empty("double", "recency"), F.col("qt").alias("mt"))
+    held = memories.select("block", "part", F.lit(0).alias("kind"), empty(pairs.schema["query_id"].dataType, "query_id"), "memory_id", "recency", "mt")
+    asked = pairs.where(F.size("qt") > 0).select(
+        "block", "part", F.lit(1).alias("kind"), "query_id", empty("string", "memory_id"), F.col("floor").alias("recency"), F.col("qt").alias("mt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, lists, ids, ages = None, [], None, None, None
+        opened, rows, index = None, [], None
         for batch in batches:
             out = []
-            for name, kind, query, memory, recency_, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if name != block:
-                    block, rows, lists = name, [], None
+            for block, part, kind, query, memory, number, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if (block, part) != opened:
+                    opened, rows, index = (block, part), [], None
                 if kind == 0:
-                    rows.append((-recency_, memory, words))
+                    rows.append((number, memory, words))
                     continue
-                if lists is None:
-                    rows.sort(key=lambda r: r[:2])
-                    lists, ids, ages = {}, [r[1] for r in rows], [-r[0] for r in rows]
-                    for at, (_, _, own) in enumerate(rows):
-                        for word in own:
-                            lists.setdefault(word, []).append(at)
-                    lists = {word: np.array(own) for word, own in lists.items()}
-                met = [lists[w] for w in words if w in lists]
-                if met:
-                    shared = np.bincount(np.concatenate(met), minlength=len(ids))
-                    best = np.argsort(-shared, kind="stable")[:limit]  # equal ones by age, then id
-                    out += [(query, ids[i], ages[i], int(shared[i])) for i in best.tolist() if shared[i]]
+                if index is None:
+                    index = _BlockIndex(rows) if rows else None
+                    rows = []
+                if index is not None:
+                    out += [(query, *found) for found in index.best(words, limit, number)]
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (batch.column(2).type, pa.string(), pa.float64(), pa.int64()))], names=["query_id", "memory_id", "recency", "overlap"])
+                [pa.array(c, t) for c, t in zip(columns, (batch.column(3).type, pa.string(), pa.float64(), pa.int64()))], names=["query_id", "memory_id", "recency", "overlap"])
 
     kind = pairs.schema["query_id"].dataType.simpleString()
-    ordered = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
+    ordered = held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
     return ordered.mapInArrow(run, f"query_id {kind}, memory_id string, recency double, overlap bigint")
 
 
-def search(decoded: DataFrame, queries: DataFrame, limit: int = 10, as_of=None, block_rows: int = BLOCK_MEMORIES) -> dict[str, DataFrame]:
+def search(decoded: DataFrame, queries: DataFrame, limit: int = 10, as_of=None, block_rows: int = BLOCK_MEMORIES, part_queries: int = PART_QUERIES) -> dict[str, DataFrame]:
     """``queries(query_id, user_id, query)`` → best ``limit`` memories per query
     (``query_id, user_id, rank, memory_id, score``) plus ``audit`` rows.
 
     Exact, without a pair for every query and memory of a user. A user's memories lie in blocks
-    by age, and an inverted list per (user, token) names the blocks that hold the token. So a
-    query knows each block's greatest possible score: ten times the tokens they share, plus the
-    recency of the block's newest memory. The best ``OPENED_FIRST`` blocks are opened first; the
-    scores found there tell which others could still enter the top ``limit``, and only those are
-    opened. Memories that share no token can only fill up the ranks, the newest first: a user's
-    ``limit`` newest memories stand for them."""
+    by age. Every query opens the block with the newest memories first; the scores found there are
+    a floor for what can still enter the top ``limit``. In each other block it is answered from the
+    block's inverted lists: ten times the tokens that they hold, plus the recency of the newest
+    memory, bound the block's scores, and only memories that reach the floor leave the task. A block
+    with many queries is copied for every ``part_queries`` of them. Memories that share no token can
+    only fill up the ranks, the newest first: a user's ``limit`` newest memories stand for them."""
     cand = _candidates(decoded, as_of)
     words = tokens(searchable_text(F.col("content"), F.col("context"), F.col("products_mentioned")))
     memories = cut_lineage(_memory_blocks(cand.select("memory_id", "user_id", "ts", "recency", words.alias("mt")), block_rows))
     asked = cut_lineage(queries.select("query_id", "user_id", tokens(F.col("query")).alias("qt")))
 
-    # inverted lists of blocks, and each query's bound per block
-    newest = memories.groupBy("block").agg(F.max("recency").alias("_newest"))
-    lists = memories.select("user_id", "block", F.explode("mt").alias("token")).distinct()
-    shared = asked.select("query_id", "user_id", F.explode("qt").alias("token")).join(lists, ["user_id", "token"]).groupBy("query_id", "block").agg(
-        F.count(F.lit(1)).alias("_shared"))
-    bounds = cut_lineage(shared.join(newest, "block").select(
-        "query_id", "block", (F.lit(10.0) * F.col("_shared") + F.col("_newest")).alias("_bound")))
-    by_bound = [F.col("_bound").desc(), F.col("block").asc()]
-    first = top_k_per_group(bounds, ["query_id"], by_bound, OPENED_FIRST, F.col("block"), out="_place")
-    texts = asked.select("query_id", "qt")
-    score = F.lit(10.0) * F.col("overlap") + F.col("recency")
-    found = cut_lineage(_open_blocks(first.join(texts, "query_id"), memories, limit).withColumn("score", score))
-
-    # the newest memories of the user, with their own overlap
+    # a row a user: the newest memories, the blocks (newest first), the parts of its queries
     by_age = [F.col("recency").desc(), F.col("memory_id").asc()]
     recent = top_k_per_group(memories, ["user_id"], by_age, limit, F.col("memory_id"), out="_r").groupBy("user_id").agg(
         F.collect_list(F.struct("memory_id", "recency", "mt")).alias("_recent"))  # limit rows a user
+    blocks = memories.groupBy("user_id", "block").agg(F.max("recency").alias("_newest"), F.count(F.lit(1)).alias("_rows")).groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("_newest", "block")), asc=False)["block"].alias("_blocks"), F.sum("_rows").alias("_memories"))
     copies = asked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_queries"))
-    recent = cut_lineage(recent.join(copies, "user_id"))
-    fill = attach(asked, recent, ["user_id"], "_queries").select("query_id", "qt", F.explode("_recent").alias("m")).select(
+    users = cut_lineage(recent.join(blocks, "user_id").join(copies, "user_id").withColumn("_parts", F.ceil(F.col("_queries") / F.lit(part_queries)).cast("int")))
+
+    # the newest block, and the newest memories with their own overlap
+    score = F.lit(10.0) * F.col("overlap") + F.col("recency")
+    part = F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("part")
+    own = attach(asked, users.select("user_id", "_recent", "_blocks", "_parts", "_queries"), ["user_id"], "_queries").where(F.col("_parts").isNotNull())
+    held = attach(memories, users.select("user_id", F.col("_blocks")[0].alias("_first"), "_parts", "_memories"), ["user_id"], "_memories").where(
+        F.col("_parts").isNotNull()).select("block", "_first", "memory_id", "recency", "mt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    first = own.select("query_id", "qt", F.col("_blocks")[0].alias("block"), part, F.lit(None).cast("double").alias("floor"))
+    found = _open_blocks(first, held.where(F.col("block") == F.col("_first")), limit).withColumn("score", score)
+    fill = own.select("query_id", "qt", F.explode("_recent").alias("m")).select(
         "query_id", F.col("m.memory_id").alias("memory_id"), F.col("m.recency").alias("recency"),
         F.size(F.array_intersect("qt", "m.mt")).cast("bigint").alias("overlap")).withColumn("score", score)
     found = cut_lineage(found.unionByName(fill).distinct())
 
-    # blocks that could still enter
-    floor = top_k_per_group(found, ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"), out="_place").where(
-        F.col("_place") == limit).select("query_id", F.col("score").alias("_floor"))
-    rest = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(floor, "query_id", "left").where(
-        F.col("_floor").isNull() | (F.col("_bound") >= F.col("_floor")))
-    more = _open_blocks(rest.select("query_id", "block").join(texts, "query_id"), memories, limit).withColumn("score", score)
-    best = top_k_per_group(found.unionByName(more).distinct(), ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"))
+    # the other blocks, where a user has more than one
+    if not users.where(F.size("_blocks") > 1).isEmpty():
+        floor = top_k_per_group(found, ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"), out="_place").where(
+            F.col("_place") == limit).select("query_id", F.col("score").alias("floor"))
+        rest = own.where(F.size("_blocks") > 1).select("query_id", "qt", "_blocks", part).join(floor, "query_id", "left").select(
+            "query_id", "qt", "part", "floor", F.explode(F.slice("_blocks", F.lit(2), F.size("_blocks") - 1)).alias("block"))
+        more = _open_blocks(rest, held.where(F.col("block") != F.col("_first")), limit).withColumn("score", score)
+        found = found.unionByName(more).distinct()
+    best = top_k_per_group(found, ["query_id"], [F.col("score").desc(), F.col("memory_id").asc()], limit, F.col("memory_id"))
     result = best.join(asked.select("query_id", "user_id"), "query_id").select("query_id", "user_id", "rank", "memory_id", "score")
 
     per_user = cand.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidate_count"))

@@ -95,3 +95,33 @@ def test_search_over_blocks_matches_brute_force(spark):
     for block in (4096, 9, 1):
         got = {(r["query_id"], r["rank"]): r["memory_id"] for r in mem.search(dec, q, limit=7, as_of=NOW, block_rows=block)["results"].collect()}
         assert got == want, block
+
+
+def test_blocks_of_many_queries_are_copied_and_answer_the_same(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["loan", "card", "savings", "mortgage", "chat", "email", "branch", "fees"]
+    rows = [entry(f"m{i:02d}", f"u{i % 2}", {"text": " ".join(rng.sample(words, 3))}, {}, True) for i in range(40)]
+    dec = mem.decode(mem.save(spark.createDataFrame(rows, SCHEMA), as_of=NOW)["stored"]).cache()
+    q = spark.createDataFrame([(j, f"u{j % 3}", " ".join(rng.sample(words, 3))) for j in range(30)], "query_id int, user_id string, query string")
+
+    def found(**sizes):
+        return sorted(map(tuple, mem.search(dec, q, limit=4, as_of=NOW, **sizes)["results"].collect()))
+
+    whole = found()
+    assert len(whole) == 20 * 4 and found(part_queries=3) == whole and found(block_rows=7, part_queries=3) == whole
+
+
+def test_other_blocks_give_only_what_reaches_the_floor():
+    rng = __import__("random").Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(rng.random(), f"m{i:03d}", rng.sample(words, rng.randint(1, 290))) for i in range(200)]
+    asked = rng.sample(words, 280) + ["nowhere"]  # more shared tokens than a byte counts
+    scored = sorted(((-len(set(own) & set(asked)), -age, m) for age, m, own in rows))
+    want = [(m, -age, -n) for n, age, m in scored if n]
+    index = mem._BlockIndex(list(rows))
+    assert index.best(asked, 12, None) == want[:12] and index.best(asked, 500, None) == want
+    floor = 10.0 * want[5][2] + want[5][1]
+    assert index.best(asked, 12, floor) == want[:6]
+    assert index.best(asked[:3], 12, 31.5) == [] and index.best(["nowhere"], 12, None) == []
