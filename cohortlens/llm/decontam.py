@@ -19,7 +19,7 @@ document clean. Extra columns of ``docs`` are carried by ``scan`` untouched.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,24 +149,33 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) ->
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def scan(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+def _scan(
+    docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, finish: Callable, schema: T.StructType | None = None,
     n: int = WORDS_PER_GRAM, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``_n_words`` and the verified spans ``_starts``, ``_ends`` and ``_items`` as
-    its last four columns (underscores are appended to names that ``docs`` has already)."""
+    """``docs`` after every block's pass. ``finish`` takes the last pass's batches in the same task (a map of its
+    own would start a second Python worker for each running task) and the names of the four added columns."""
     added = tuple(free_name(docs, c) for c in ADDED)
     item_type = benchmark.schema[item].dataType
     out = docs.select(
         "*", F.lit(0).cast("bigint").alias(added[0]), F.lit(None).cast("array<bigint>").alias(added[1]),
         F.lit(None).cast("array<bigint>").alias(added[2]), F.lit(None).cast(T.ArrayType(item_type)).alias(added[3]),
     )
-    context = docs.sparkSession.sparkContext
-    for number, items in enumerate(item_blocks(benchmark, item, item_text, block_bytes)):
-        if number:
-            out = cut_lineage(out)  # else every block's table would be in one task's memory
-        out = out.mapInArrow(_pass(context.broadcast(gram_index(items, n)), text, added), out.schema)
-    return out
+    context, step = docs.sparkSession.sparkContext, None
+    for items in item_blocks(benchmark, item, item_text, block_bytes):
+        if step:
+            out = cut_lineage(out.mapInArrow(step, out.schema))  # else every block's table would be in one task's memory
+        step = _pass(context.broadcast(gram_index(items, n)), text, added)
+    return out.mapInArrow(lambda batches: finish(step(batches), added), schema or out.schema)
+
+
+def scan(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    n: int = WORDS_PER_GRAM, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``docs`` with ``_n_words`` and the verified spans ``_starts``, ``_ends`` and ``_items`` as
+    its last four columns (underscores are appended to names that ``docs`` has already)."""
+    return _scan(docs, benchmark, text, item, item_text, lambda batches, added: batches, None, n, block_bytes)
 
 
 def _cover(n_words: int, starts, ends) -> np.ndarray:
@@ -197,10 +206,9 @@ def verdicts(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are clean, with their own columns."""
-    scanned = scan(docs, benchmark, text, item, item_text)
-    names, schema, added = docs.columns, docs.schema, scanned.columns[-4:]
+    names = docs.columns
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch], added: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             keep = [
@@ -209,14 +217,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
             ]
             yield pa.RecordBatch.from_arrays([got[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    return scanned.mapInArrow(clean, schema)
+    return _scan(docs, benchmark, text, item, item_text, clean, docs.schema)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with hit words removed from ``text``; other characters, also those between
     words, stay. Rows without hits are unchanged."""
-    scanned = scan(docs, benchmark, text, item, item_text)
-    names, schema, added = docs.columns, docs.schema, scanned.columns[-4:]
+    names = docs.columns
 
     def remove(value: str, n_words: int, starts, ends) -> str:
         hit, raw = _cover(n_words, starts, ends), value.encode()
@@ -229,11 +236,11 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
                 at = end
         return b"".join([*kept, raw[at:]]).decode()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], added: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             parts = zip(*(got[c].to_pylist() for c in (text, *added[:3])))
             got[text] = pa.array([remove(t, n, s, e) if s else t for t, n, s, e in parts], pa.string())
             yield pa.RecordBatch.from_arrays([got[c] for c in names], names=names)
 
-    return scanned.mapInArrow(cut, schema)
+    return _scan(docs, benchmark, text, item, item_text, cut, docs.schema)

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ RATE, L2 = 0.1, 1e-5
 EVIDENCE = 20.0  # chi-squared of a term's own counts from which its linear weight moves freely
 FACTOR_RATE, FACTOR_L2 = 0.02, 5e-3
 BATCH_ROWS = 2500
+STEP_TERMS = 1 << 14  # parameters of so many terms are moved at once
 THRESHOLD = 0.3
 MEMO_WORDS = 200_000
 
@@ -99,21 +101,21 @@ class _Batch:
         by_term = indices[order]
         term_starts = np.flatnonzero(np.append(True, by_term[1:] != by_term[:-1])[:len(by_term)])
         terms = by_term[term_starts]
-        rows = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        rows = np.repeat(np.arange(len(lengths), dtype=np.min_scalar_type(len(lengths))), lengths)
         return cls(labels, filled, indices, row_starts, terms, rows[order], term_starts)
 
 
-def _batches(indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> list[_Batch]:
+def _batches(picked: list, labels: np.ndarray, rng: np.random.Generator) -> list[_Batch]:
     """The rows dealt at random into batches of about ``BATCH_ROWS``; besides the batches only one of them is held."""
     n = len(labels)
     count = max(1, round(n / BATCH_ROWS))
-    batch_of, starts = rng.permutation(n) % count, np.cumsum(lengths) - lengths
+    batch_of = rng.permutation(n) % count
     out = []
     for b in range(count):
         own = np.flatnonzero(batch_of == b)
-        sizes = lengths[own]
-        at = np.arange(sizes.sum()) + np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes)
-        out.append(_Batch.of(indices[at], sizes, labels[own]))
+        rows = [picked[i] for i in own.tolist()]
+        lengths = np.array([len(r) // 4 for r in rows], np.int64)
+        out.append(_Batch.of(np.frombuffer(b"".join(rows), "<i4"), lengths, labels[own]))
     return out
 
 
@@ -128,20 +130,19 @@ def _sums(table: np.ndarray, picks: np.ndarray, starts: np.ndarray, chunk: int =
     return out
 
 
-def _chi2(indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, m: int) -> np.ndarray:
-    """Chi-squared of each term's 2x2 counts, which are taken some rows at a time."""
-    n, p = len(labels), labels.sum()
-    seen, toxic, ends = np.zeros(m), np.zeros(m), np.append(0, np.cumsum(lengths))
-    for at in range(0, n, BATCH_ROWS):
-        some = indices[ends[at]:ends[min(at + BATCH_ROWS, n)]]
-        seen += np.bincount(some, minlength=m)
-        toxic += np.bincount(some, np.repeat(labels[at:at + BATCH_ROWS], lengths[at:at + BATCH_ROWS]), m)
+def _chi2(batches: list[_Batch], m: int) -> np.ndarray:
+    """Chi-squared of each term's 2x2 counts."""
+    n, p = sum(len(b.labels) for b in batches), sum(b.labels.sum() for b in batches)
+    seen, toxic = np.zeros(m), np.zeros(m)
+    for b in batches:
+        seen[b.terms] += np.diff(b.term_starts, append=len(b.by_term))
+        toxic[b.terms] += np.add.reduceat(b.labels[b.by_term], b.term_starts)
     return (toxic * n - seen * p) ** 2 * n / np.maximum(seen * (n - seen) * p * (n - p), 1.0)
 
 
-def fit_machine(places: np.ndarray, indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = 250) -> FactorisationMachine:
-    """Adam on the logistic loss, over batches in turn; deterministic. ``indices`` holds the terms
-    of one row after the other, ``lengths`` their numbers; it is given up once dealt. Linear
+def fit_machine(places: np.ndarray, picked: list, labels: np.ndarray, steps: int = 250) -> FactorisationMachine:
+    """Adam on the logistic loss, over batches in turn; deterministic. ``picked`` holds each row's
+    terms as bytes (32-bit integers); it is emptied once dealt. Linear
     weights move faster than factors, so pairs explain what single terms do not. A term's linear
     weight is scaled by its own evidence, else many rare terms would fit noise; its factors are
     not. Factors move slower the more terms a row has."""
@@ -150,14 +151,14 @@ def fit_machine(places: np.ndarray, indices: np.ndarray, lengths: np.ndarray, la
     if n == 0 or share in (0.0, 1.0):
         return FactorisationMachine(places, 40.0 if share else -800.0, np.zeros(m), np.zeros((FACTORS, m)))
     rng = np.random.default_rng(7)
-    batches = _batches(indices, lengths, labels, rng)
+    batches = _batches(picked, labels, rng)
+    picked.clear()
     theta = np.zeros((m + 1, FACTORS + 1), np.float32)  # the last row is the bias; the first column has the weights
     theta[:m, 1:] = rng.normal(0, 0.02, (m, FACTORS))
     theta[m, 0] = np.log(share / (1 - share))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    scale = np.append(np.minimum(1.0, (_chi2(indices, lengths, labels, m) / EVIDENCE) ** 2), 1.0).astype(np.float32)
-    rate = np.array([RATE] + [FACTOR_RATE / max(1.0, (len(indices) / n) ** 0.5)] * FACTORS, np.float32)
-    del indices
+    scale = np.append(np.minimum(1.0, (_chi2(batches, m) / EVIDENCE) ** 2), 1.0).astype(np.float32)
+    rate = np.array([RATE] + [FACTOR_RATE / max(1.0, (sum(len(b.by_row) for b in batches) / n) ** 0.5)] * FACTORS, np.float32)
     penalty = np.array([L2] + [FACTOR_L2] * FACTORS, np.float32)
     for t in range(1, steps + 1):
         batch = batches[t % len(batches)]
@@ -177,11 +178,13 @@ def fit_machine(places: np.ndarray, indices: np.ndarray, lengths: np.ndarray, la
         grad[m] = 0
         grad[batch.terms] += by_term / np.float32(size)
         grad[m, 0] = error.mean()
-        first *= 0.9
-        first += 0.1 * grad
-        second *= 0.999
-        second += 0.001 * grad ** 2
-        theta -= rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
+        for at in range(0, m + 1, STEP_TERMS):
+            f, s, g = (x[at:at + STEP_TERMS] for x in (first, second, grad))
+            f *= 0.9
+            f += 0.1 * g
+            s *= 0.999
+            s += 0.001 * g ** 2
+            theta[at:at + STEP_TERMS] -= rate * (f / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-8)
     return FactorisationMachine(places, float(theta[m, 0]), theta[:m, 0] * scale[:m], theta[:m, 1:].T.copy())
 
 
@@ -215,6 +218,15 @@ def choose_terms(sample: DataFrame) -> np.ndarray:
     return np.sort(per.where(F.col("n") >= MIN_DOCS).select("place").toArrow()["place"].to_numpy())
 
 
+def ordered_rows(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray]:
+    """Each row's terms and its label (0 or 1), in order of both; the terms stay in Arrow's buffers, no copy is made."""
+    held = list(batches)
+    rows = pa.table({"label": pa.chunked_array([b.column(0) for b in held], pa.int32()), "picked": pa.chunked_array([b.column(1) for b in held], pa.binary())})
+    order = pc.sort_indices(rows, [("label", "ascending"), ("picked", "ascending")]).to_numpy()
+    labels, picked = rows["label"].to_numpy()[order], rows["picked"]
+    return [picked[i].as_buffer() for i in order.tolist()], (labels > 0).astype(float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> FactorisationMachine:
     """Fit on the bounded sample, in a task of its own (``fit_rows`` bounds what it holds); only the
     parameters reach the driver."""
@@ -233,16 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 picked.append(at.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.binary())], names=["label", "picked"])
 
-    def joined(got: list[tuple[int, bytes]]) -> np.ndarray:
-        raw = b"".join(b for _, b in got)
-        got.clear()
-        return np.frombuffer(raw, "<i4")
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted(row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        lengths = np.array([len(b) // 4 for _, b in got], np.int64)
-        truth = np.array([float(y > 0) for y, _ in got])
-        machine = fit_machine(shared.value, joined(got), lengths, truth)
+        machine = fit_machine(shared.value, *ordered_rows(batches))
         yield pa.RecordBatch.from_arrays([
             pa.array([machine.bias]), pa.array([machine.weights.astype("<f8").tobytes()], pa.binary()), pa.array([machine.factors.astype("<f8").tobytes()], pa.binary()),
         ], names=["bias", "weights", "factors"])
